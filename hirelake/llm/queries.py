@@ -7,12 +7,40 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hirelake.llm import leakage, repetition
+from hirelake.llm import charform, leakage, repetition
+from hirelake.llm.neardup import NearDuplicates
 from hirelake.runtime import ship, spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "parsed_detail").select("detail_id", "title", "description_raw")
+    return charform.changed_fields(spread(rows), "detail_id", ["title", "description_raw"]).select(
+        "detail_id", "field_name"
+    )
+
+
+def p4_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "parsed_detail").select("detail_id", "title", "description_raw")
+    formed = charform.normalise(spread(rows), ["title", "description_raw"])
+    return formed.select("detail_id", "title_form", "title_key", "description_raw_form", "description_raw_changed")
+
+
+def _near_duplicates(spark: SparkSession, sf_dir: str) -> NearDuplicates:
+    return NearDuplicates(
+        table(spark, sf_dir, "parsed_detail"), "detail_id", ["title", "company", "description_raw"]
+    )
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _near_duplicates(spark, sf_dir).pairs()
+
+
+def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _near_duplicates(spark, sf_dir).groups()
+
+
 def p9_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return leakage.matches(documents, table(spark, sf_dir, "eval_items"))
@@ -40,6 +68,10 @@ def p10_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "p4_found": p4_found,
+    "p4_forms": p4_forms,
+    "p5_found": p5_found,
+    "p5_groups": p5_groups,
     "p9_found": p9_found,
     "p9_matches": p9_matches,
     "p9_kept": p9_kept,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from hirelake.llm.charform import LOOK_ALIKES
+
 _WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
 
 _EXACT_MATCHES = rf"""
@@ -23,9 +25,25 @@ WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL),
 SELECT d.doc_id, c.n / len(d.w) AS share FROM d JOIN c USING (doc_id)
 """
 
+# Variants and joined forms, separate accents, invisible characters, odd spaces, look-alikes in Latin words.
+_ODD_CHARACTERS = (
+    r"[\x{FF01}-\x{FF5E}\x{FB00}-\x{FB06}\x{1D400}-\x{1D7FF}\x{AD}\x{200B}-\x{200F}\x{2060}-\x{2064}\x{FEFF}"
+    r"\x{A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}\t]|\p{L}\p{Mn}"
+)
+_ALIKE = "[" + "".join(LOOK_ALIKES) + "]"
+_ODD_WORDS = rf"\p{{Latin}}\p{{L}}*{_ALIKE}|{_ALIKE}\p{{L}}*\p{{Latin}}"
+
+_ODD_FIELDS = f"""
+SELECT detail_id, field_name FROM (
+    SELECT detail_id, 'title' AS field_name, title AS v FROM parsed_detail
+    UNION ALL SELECT detail_id, 'description_raw', description_raw FROM parsed_detail)
+WHERE regexp_matches(v, '{_ODD_CHARACTERS}') OR regexp_matches(v, '{_ODD_WORDS}')
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p4_found": _ODD_FIELDS,
         "p9_found": _EXACT_MATCHES,
         "p9_kept": f"SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM ({_EXACT_MATCHES}))",
         "p10_found": f"SELECT doc_id FROM ({_SEQUENCE_SHARES}) WHERE share >= 0.3",
