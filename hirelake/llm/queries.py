@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hirelake.llm import charform, leakage, repetition
+from hirelake.llm import charform, leakage, packing, repetition
 from hirelake.llm.neardup import NearDuplicates
 from hirelake.runtime import ship, spread, table
 
@@ -41,6 +41,11 @@ def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _near_duplicates(spark, sf_dir).groups()
 
 
+def p8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return packing.packing(documents, table(spark, sf_dir, "containers"))
+
+
 def p9_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return leakage.matches(documents, table(spark, sf_dir, "eval_items"))
@@ -72,6 +77,7 @@ QUERIES: dict[str, Query] = {
     "p4_forms": p4_forms,
     "p5_found": p5_found,
     "p5_groups": p5_groups,
+    "p8_packing": p8_packing,
     "p9_found": p9_found,
     "p9_matches": p9_matches,
     "p9_kept": p9_kept,
