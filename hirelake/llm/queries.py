@@ -8,12 +8,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hirelake.llm import charform, leakage, packing, repetition
+from hirelake.llm.boilerplate import SiteTemplates
 from hirelake.llm.neardup import NearDuplicates
 from hirelake.runtime import ship, spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "parsed_detail").select(
+        "detail_id", "url", "title", "company", "location_raw", "description_raw"
+    )
+    return SiteTemplates(
+        pages, "detail_id", "url", "description_raw", "company", ["title", "company", "location_raw"]
+    ).marked()
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _templates(spark, sf_dir).select("detail_id", F.explode("furniture_lines").alias("line_no"))
+
+
+def p1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _templates(spark, sf_dir).select("detail_id", F.col("main").alias("description_main"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "parsed_detail").select("detail_id", "title", "description_raw")
     return charform.changed_fields(spread(rows), "detail_id", ["title", "description_raw"]).select(
@@ -73,6 +91,8 @@ def p10_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "p1_found": p1_found,
+    "p1_main_text": p1_main_text,
     "p4_found": p4_found,
     "p4_forms": p4_forms,
     "p5_found": p5_found,
