@@ -4,7 +4,8 @@ A description is a tree: blocks divided by empty lines, lines, and the segments
 a menu separator. Lines and segments are hashed after masking (leading marks, digits, the host's own
 name, letter case, the character form of problem 4) and counted per host and over all hosts:
 
-1. `counts`: on how many pages of its host each element stands.
+1. On how many pages of its host each element stands, and how many of them are of one employer: what
+   recurs only because one employer's posting was copied is no template.
 2. Elements that recur on a host, or on several hosts at once where hosts are small, are candidates.
    Section headings and stock phrases of employers recur as well, so the candidates are told apart by
    their surroundings: template elements stand beside other template elements, a heading stands
@@ -39,9 +40,14 @@ from pyspark.sql import functions as F
 from hirelake.llm.charform import form
 from hirelake.runtime import cut, spread
 
-LEAST_SHARE = 0.004
-LEAST_PAGES = 8
-LEAST_HOSTS = 3
+LEAST_SHARE = 0.008
+LEAST_PAGES = 20
+#: The same for elements counted over several hosts.
+LEAST_POOLED_PAGES = 8
+#: Share of an element's pages that must be of other employers than its most frequent one.
+LEAST_VARIED = 0.3
+#: Of all pages, for elements that stand on several hosts.
+LEAST_POOLED_SHARE = 0.006
 LEAST_WORD_SHARE = 0.0005
 MOST_BESIDE_TEXT = 0.5
 LIST_WORDS = 0.5
@@ -50,7 +56,7 @@ MOST_WORDS = 200_000
 
 _LEAD = re.compile(r"^[\W_]+")
 _DIGITS = re.compile(r"\d+")
-_SEGMENTS = re.compile(r"\s[·>|•–]\s")
+_SEGMENTS = re.compile(r"\s+[^\w\s]+\s+|\s{2,}")
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 _LONG = pa.int64()
@@ -87,7 +93,7 @@ class _Page:
             key = masked(line, brand) if line.strip() else ""
             self.lines.append(key)
             self.keys.append(hashed(key) if key else 0)
-            parts = _SEGMENTS.split(line)
+            parts = _SEGMENTS.split(line.strip())
             if len(parts) > 1:
                 found = [masked(p, brand) for p in parts]
                 self.segments[n] = [hashed(p) for p in found if p]
@@ -105,22 +111,30 @@ def _rows(batch: pa.RecordBatch):
 
 def _count_elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found: dict[str, Counter] = defaultdict(Counter)
-        for host, text in _rows(batch):
+        found: dict[tuple[str, int], Counter] = defaultdict(Counter)
+        for host, text, company in _rows(batch):
             if text:
                 elements = _Page(text, brand_of(host)).elements()
                 elements.add(0)  # counts the pages
-                found[host].update(elements)
-        hosts, keys, pages = [], [], []
-        for host, counter in found.items():
+                found[host, hashed(_employer(company)) & 0x7FFFFFFF].update(elements)
+        hosts, employers, keys, pages = [], [], [], []
+        for (host, employer), counter in found.items():
             hosts += [host] * len(counter)
+            employers += [employer] * len(counter)
             keys += counter.keys()
             pages += counter.values()
         yield pa.RecordBatch.from_arrays(
-            [pa.array(hosts, pa.string()), pa.array(keys, _LONG), pa.array(pages, _LONG)], names=["host", "key", "pages"]
+            [pa.array(hosts, pa.string()), pa.array(employers, _LONG), pa.array(keys, _LONG), pa.array(pages, _LONG)],
+            names=["host", "employer", "key", "pages"],
         )
 
 
+def _employer(company: str | None) -> str:
+    """The first word of a company's name."""
+    found = _LETTERS.findall(form(company).casefold()) if company else []
+    return found[0] if found else ""
+
+
 def _looks_listed(key: str, words: frozenset[str]) -> bool:
     found = _LETTERS.findall(key)
     return 0 < len(found) <= 16 and sum(w in words for w in found) >= LIST_WORDS * len(found)
@@ -146,7 +160,7 @@ def _surroundings(candidates, words):
                 recurs = [bool(k) and known.has(host, k) for k in page.keys]
                 listed = [bool(k) and not r and _looks_listed(line, frequent) for k, r, line in zip(page.keys, recurs, page.lines)]
                 only_here = [bool(k) and not r and not x for k, r, x in zip(page.keys, recurs, listed)]
-                name = _LETTERS.findall(form(company).casefold())[:1] if company else []
+                name = _employer(company)
                 last = len(recurs) - 1
                 for n, here in enumerate(recurs):
                     if here:
@@ -154,7 +168,7 @@ def _surroundings(candidates, words):
                         row[0] += 1
                         row[1] += (n > 0 and only_here[n - 1]) or (n < last and only_here[n + 1])
                         row[2] += n < last and listed[n + 1]
-                        row[3] += bool(name) and len(name[0]) > 2 and name[0] in page.lines[n]
+                        row[3] += len(name) > 2 and name in page.lines[n]
         rows = [(k, *v) for k, v in seen.items()]
         columns = list(zip(*rows)) if rows else [[]] * 5
         yield pa.RecordBatch.from_arrays(
@@ -185,7 +199,7 @@ def _marker(candidates, furniture, headings, words):
                     if k in removable and known.has(host, k):
                         inside = k in heads
                         lines.append(n)
-                    elif inside and _looks_listed(page.lines[n], frequent):
+                    elif inside and not known.has(host, k) and _looks_listed(page.lines[n], frequent):
                         lines.append(n)
                     elif segments and all(s in removable and known.has(host, s) for s in segments):
                         inside = False
@@ -254,25 +268,29 @@ class SiteTemplates:
     def _recurring(self, least_share: float, least_pages: int) -> DataFrame:
         """(host, key) on many pages of the host; host null: on many pages over several hosts."""
         counted = (
-            self.pages.select("host", "text")
-            .mapInArrow(_count_elements, "host string, key bigint, pages bigint")
-            .repartition("key")
-            .groupBy("key", "host")
+            self.pages.select("host", "text", "company")
+            .mapInArrow(_count_elements, "host string, employer bigint, key bigint, pages bigint")
+            .repartition("key")  # all sums below are by key and more, and need no other shuffle
+            .groupBy("key", "host", "employer")
             .agg(F.sum("pages").alias("pages"))
         )
-        overall = counted.groupBy("key").agg(
-            F.sum("pages").alias("pages"), F.count(F.lit(1)).alias("hosts")
-        )
-        frequent = counted.where((F.col("pages") >= least_pages) | (F.col("key") == 0)).select("key", "host", "pages")
-        pooled = overall.where((F.col("hosts") >= LEAST_HOSTS) & (F.col("pages") >= least_pages) | (F.col("key") == 0)).select(
-            "key", F.lit(None).cast("string").alias("host"), "pages"
+        sums = [F.sum("pages").alias("pages"), F.max("pages").alias("most")]
+        of_host = counted.groupBy("key", "host").agg(*sums)
+        of_employer = counted.groupBy("key", "employer").agg(
+            F.sum("pages").alias("pages"), F.min("host").alias("low"), F.max("host").alias("high")
         )
+        overall = of_employer.groupBy("key").agg(*sums, F.min("low").alias("low"), F.max("high").alias("high"))
+        varied = F.col("pages") - F.col("most") >= LEAST_VARIED * F.col("pages")
+        frequent = of_host.where((F.col("pages") >= least_pages) & varied | (F.col("key") == 0)).select("key", "host", "pages")
+        pooled = overall.where(
+            (F.col("low") < F.col("high")) & (F.col("pages") >= LEAST_POOLED_PAGES) & varied | (F.col("key") == 0)
+        ).select("key", F.lit(None).cast("string").alias("host"), "pages")
         rows = cut(frequent.unionByName(pooled))
         sizes = rows.where(F.col("key") == 0).select(F.col("host").alias("h"), F.col("pages").alias("all"))
         return (
             rows.where(F.col("key") != 0)
             .join(sizes, F.col("host").eqNullSafe(F.col("h")))
-            .where(F.col("pages") >= F.col("all") * least_share)
+            .where(F.col("pages") >= F.col("all") * F.when(F.col("host").isNull(), LEAST_POOLED_SHARE).otherwise(least_share))
             .select("host", "key")
         )
 
