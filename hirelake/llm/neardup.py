@@ -10,7 +10,7 @@
 
 A candidate pair shares all rows of a band, so a bucket with many members holds texts that almost
 all resemble one another; exact copies, the usual reason of a hot bucket, are one representative.
-The bucket join is an equi-join on 64-bit keys, which adaptive execution splits where it is skewed.
+The bucket join is an equi-join on hashed bands, which adaptive execution splits where it is skewed.
 
 Defined results: null fields count as empty; records with fewer than `least_words` words in the
 description take no part; repeated keys are kept as one; a record is never paired with itself;
@@ -53,12 +53,12 @@ def sequences(parts: list[str | None], known: WordHashes) -> np.ndarray:
 
 
 def minima(hashes: np.ndarray) -> np.ndarray:
-    """16 bits of the least value of every hash function over the set, in blocks of bounded size."""
+    """8 bits of the least value of every hash function over the set, in blocks of bounded size."""
     least = np.full(len(_A), np.iinfo(np.uint64).max, dtype=np.uint64)
     for at in range(0, len(hashes), 512):
         block = (hashes[at : at + 512, None] * _A + _B) >> np.uint64(16)
         np.minimum(least, block.min(axis=0), out=least)
-    return (least >> np.uint64(11)).astype(np.uint16)
+    return (least >> np.uint64(11)).astype(np.uint8)
 
 
 def _signer(least_words: int):
@@ -97,7 +97,7 @@ def _agreement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n = batch.num_rows
         left, right = (
-            np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint16).reshape(n, BANDS * ROWS)
+            np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint8).reshape(n, BANDS * ROWS)
             for i in (2, 3)
         )
         share = (left == right).mean(axis=1) if n else np.zeros(0)
@@ -143,7 +143,7 @@ class NearDuplicates:
     def _candidates(self, reps: DataFrame) -> DataFrame:
         bands = F.transform(
             F.sequence(F.lit(0), F.lit(BANDS - 1)),
-            lambda i: F.xxhash64(i, F.substring("signature", i * (2 * ROWS) + 1, F.lit(2 * ROWS))),
+            lambda i: F.hash(i, F.substring("signature", i * ROWS + 1, F.lit(ROWS))),
         )
         rows = reps.select("id", F.explode(bands).alias("band"))
         return (
