@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hirelake.llm import charform, leakage, packing, repetition
+from hirelake.llm import charform, leakage, packing, repetition, residue
 from hirelake.llm.boilerplate import SiteTemplates
 from hirelake.llm.neardup import NearDuplicates
 from hirelake.runtime import ship, spread, table
@@ -32,6 +32,21 @@ def p1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _templates(spark, sf_dir).select("detail_id", F.col("main").alias("description_main"))
 
 
+def p2_residue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "parsed_detail").select("detail_id", "title", "description_raw", "source")
+    found = residue.residue(spread(rows), "detail_id", "title", "description_raw", "source")
+    return found.select("detail_id", "field_name", F.array_join("kinds", ",").alias("kinds"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_residue(spark, sf_dir).select("detail_id", "field_name")
+
+
+def p2_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "parsed_detail").select("detail_id", "title", "description_raw")
+    return residue.without_residue(rows, p2_found(spark, sf_dir), "detail_id").select("detail_id")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "parsed_detail").select("detail_id", "title", "description_raw")
     return charform.changed_fields(spread(rows), "detail_id", ["title", "description_raw"]).select(
@@ -93,6 +108,9 @@ def p10_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_main_text": p1_main_text,
+    "p2_found": p2_found,
+    "p2_residue": p2_residue,
+    "p2_kept": p2_kept,
     "p4_found": p4_found,
     "p4_forms": p4_forms,
     "p5_found": p5_found,
