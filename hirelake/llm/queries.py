@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hirelake.llm import charform, leakage, packing, repetition, residue
+from hirelake.llm import charform, langid, leakage, packing, repetition, residue
 from hirelake.llm.boilerplate import SiteTemplates
 from hirelake.llm.neardup import NearDuplicates
 from hirelake.runtime import ship, spread, table
@@ -47,6 +47,24 @@ def p2_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.without_residue(rows, p2_found(spark, sf_dir), "detail_id").select("detail_id")
 
 
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = table(spark, sf_dir, "parsed_detail").select("detail_id", "description_raw")
+    labels = table(spark, sf_dir, "classified").select("detail_id", "posting_language")
+    return texts.join(labels, "detail_id", "left")
+
+
+def p3_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = langid.segments(_labelled(spark, sf_dir), "detail_id", "description_raw", "posting_language")
+    return found.select("detail_id", "segment_no", "language", "confidence")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = langid.segments(_labelled(spark, sf_dir), "detail_id", "description_raw", "posting_language")
+    labels = table(spark, sf_dir, "classified").select("detail_id", "posting_language")
+    wrong = langid.corrections(found, labels, "detail_id", "posting_language")
+    return wrong.select("detail_id", "segment_no", "language")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "parsed_detail").select("detail_id", "title", "description_raw")
     return charform.changed_fields(spread(rows), "detail_id", ["title", "description_raw"]).select(
@@ -111,6 +129,8 @@ QUERIES: dict[str, Query] = {
     "p2_found": p2_found,
     "p2_residue": p2_residue,
     "p2_kept": p2_kept,
+    "p3_found": p3_found,
+    "p3_languages": p3_languages,
     "p4_found": p4_found,
     "p4_forms": p4_forms,
     "p5_found": p5_found,
