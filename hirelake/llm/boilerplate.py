@@ -29,7 +29,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -72,11 +72,6 @@ def hashed(key: str) -> int:
     return xxhash.xxh64_intdigest(key) >> 1 or 1
 
 
-def at_host(host: str, key: int) -> int:
-    """One number for an element of a host."""
-    return (xxhash.xxh64_intdigest(host, seed=1) ^ key * 0x9E3779B97F4A7C15) & 0x7FFFFFFFFFFFFFFF
-
-
 def brand_of(host: str) -> str:
     parts = host.split(".")
     return parts[-2] if len(parts) > 1 else ""
@@ -98,37 +93,11 @@ class _Page:
                 found = [masked(p, brand) for p in parts]
                 self.segments[n] = [hashed(p) for p in found if p]
 
-    def elements(self) -> set[int]:
-        found = {k for k in self.keys if k}
-        for segments in self.segments.values():
-            found.update(segments)
-        return found
-
 
 def _rows(batch: pa.RecordBatch):
     return zip(*(column.to_pylist() for column in batch.columns))
 
 
-def _count_elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found: dict[tuple[str, int], Counter] = defaultdict(Counter)
-        for host, text, company in _rows(batch):
-            if text:
-                elements = _Page(text, brand_of(host)).elements()
-                elements.add(0)  # counts the pages
-                found[host, hashed(_employer(company)) & 0x7FFFFFFF].update(elements)
-        hosts, employers, keys, pages = [], [], [], []
-        for (host, employer), counter in found.items():
-            hosts += [host] * len(counter)
-            employers += [employer] * len(counter)
-            keys += counter.keys()
-            pages += counter.values()
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(hosts, pa.string()), pa.array(employers, _LONG), pa.array(keys, _LONG), pa.array(pages, _LONG)],
-            names=["host", "employer", "key", "pages"],
-        )
-
-
 def _employer(company: str | None) -> str:
     """The first word of a company's name."""
     found = _LETTERS.findall(form(company).casefold()) if company else []
@@ -140,35 +109,78 @@ def _looks_listed(key: str, words: frozenset[str]) -> bool:
     return 0 < len(found) <= 16 and sum(w in words for w in found) >= LIST_WORDS * len(found)
 
 
+LISTED, NAMES_EMPLOYER = 1, 2
+
+
+def _parser(words):
+    """Pages as numbers: an element hash and flags per line, and the menu segments with their lines."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent = words.value
+        for batch in batches:
+            ids, hosts, employers, keys, flags, segments, at = [], [], [], [], [], [], []
+            for key, host, text, company in _rows(batch):
+                name = _employer(company)
+                page = _Page(text or "", brand_of(host))
+                named = len(name) > 2
+                ids.append(key)
+                hosts.append(host)
+                employers.append(hashed(name))
+                keys.append(page.keys)
+                flags.append(
+                    bytes(
+                        LISTED * _looks_listed(line, frequent) + NAMES_EMPLOYER * (named and name in line)
+                        for line in page.lines
+                    )
+                )
+                segments.append([k for found in page.segments.values() for k in found])
+                at.append([n for n, found in page.segments.items() for _ in found])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(ids, batch.schema.field(0).type),
+                    pa.array(hosts, pa.string()),
+                    pa.array(employers, _LONG),
+                    pa.array(keys, pa.list_(_LONG)),
+                    pa.array(flags, pa.binary()),
+                    pa.array(segments, pa.list_(_LONG)),
+                    pa.array(at, pa.list_(pa.int32())),
+                ],
+                names=["id", "host", "employer", "keys", "flags", "segments", "segment_lines"],
+            )
+
+    return run
+
+
 class _Candidates:
-    def __init__(self, at_hosts: frozenset[int], anywhere: frozenset[int]):
-        self.at_hosts, self.anywhere = at_hosts, anywhere
+    """Elements that recur on a host or on several hosts."""
+
+    def __init__(self, by_host: dict[str, frozenset[int]], anywhere: frozenset[int]):
+        self.by_host, self.anywhere = by_host, anywhere
 
-    def has(self, host: str, key: int) -> bool:
-        return key in self.anywhere or at_host(host, key) in self.at_hosts
+    def of(self, host: str) -> frozenset[int]:
+        return self.by_host.get(host, frozenset())
 
 
-def _surroundings(candidates, words):
+def _surroundings(candidates):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, frequent = candidates.value, words.value
+        known = candidates.value
+        anywhere = known.anywhere
         seen: dict[int, list[int]] = defaultdict(lambda: [0, 0, 0, 0])
         for batch in batches:
-            for host, text, company in _rows(batch):
-                if not text:
+            for host, keys, flags in _rows(batch):
+                here = known.of(host)
+                recurs = [k in anywhere or k in here for k in keys]
+                if True not in recurs:
                     continue
-                page = _Page(text, brand_of(host))
-                recurs = [bool(k) and known.has(host, k) for k in page.keys]
-                listed = [bool(k) and not r and _looks_listed(line, frequent) for k, r, line in zip(page.keys, recurs, page.lines)]
-                only_here = [bool(k) and not r and not x for k, r, x in zip(page.keys, recurs, listed)]
-                name = _employer(company)
-                last = len(recurs) - 1
-                for n, here in enumerate(recurs):
-                    if here:
-                        row = seen[page.keys[n]]
+                text = [bool(k) and not r and not f & LISTED for k, r, f in zip(keys, recurs, flags)] + [False]
+                last = len(keys) - 1
+                for n, recurring in enumerate(recurs):
+                    if recurring:
+                        row = seen[keys[n]]
                         row[0] += 1
-                        row[1] += (n > 0 and only_here[n - 1]) or (n < last and only_here[n + 1])
-                        row[2] += n < last and listed[n + 1]
-                        row[3] += len(name) > 2 and name in page.lines[n]
+                        row[1] += text[n - 1] or text[n + 1]
+                        row[2] += n < last and keys[n + 1] != 0 and not recurs[n + 1] and flags[n + 1] & LISTED > 0
+                        row[3] += flags[n] & NAMES_EMPLOYER > 0
         rows = [(k, *v) for k, v in seen.items()]
         columns = list(zip(*rows)) if rows else [[]] * 5
         yield pa.RecordBatch.from_arrays(
@@ -178,41 +190,36 @@ def _surroundings(candidates, words):
     return run
 
 
-def _marker(candidates, furniture, headings, words):
+def _marker(candidates, furniture, headings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, removable, heads, frequent = candidates.value, furniture.value, headings.value, words.value
+        known, removable, heads = candidates.value, furniture.value, headings.value
         for batch in batches:
-            ids, marked, kept = [], [], []
-            for key, host, text in _rows(batch):
-                ids.append(key)
-                if not text:
-                    marked.append([])
-                    kept.append(text)
-                    continue
-                page = _Page(text, brand_of(host))
+            ids, marked = [], []
+            for key, host, keys, flags, segments, segment_lines in _rows(batch):
+                here = known.of(host)
+                menus: dict[int, bool] = {}
+                for n, k in zip(segment_lines, segments):
+                    menus[n] = menus.get(n, True) and k in removable and (k in known.anywhere or k in here)
                 lines, inside = [], False
-                for n, k in enumerate(page.keys):
+                for n, k in enumerate(keys):
                     if not k:
                         inside = False
                         continue
-                    segments = page.segments.get(n, ())
-                    if k in removable and known.has(host, k):
+                    recurs = k in known.anywhere or k in here
+                    if recurs and k in removable:
                         inside = k in heads
                         lines.append(n)
-                    elif inside and not known.has(host, k) and _looks_listed(page.lines[n], frequent):
-                        lines.append(n)
-                    elif segments and all(s in removable and known.has(host, s) for s in segments):
-                        inside = False
+                    elif inside and not recurs and flags[n] & LISTED:
                         lines.append(n)
                     else:
                         inside = False
+                        if menus.get(n):
+                            lines.append(n)
+                ids.append(key)
                 marked.append(lines)
-                gone = set(lines)
-                main = "\n".join(x for n, x in enumerate(text.split("\n")) if n not in gone)
-                kept.append(re.sub(r"\n{3,}", "\n\n", main).strip("\n") if gone else text)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, batch.schema.field(0).type), pa.array(marked, pa.list_(pa.int32())), pa.array(kept, pa.string())],
-                names=["id", "furniture_lines", "main"],
+                [pa.array(ids, batch.schema.field(0).type), pa.array(marked, pa.list_(pa.int32()))],
+                names=["id", "furniture_lines"],
             )
 
     return run
@@ -237,7 +244,7 @@ def frequent_words(df: DataFrame, columns: list[str], least_share: float = LEAST
 
 
 class SiteTemplates:
-    """The furniture of the hosts in a table of pages; `marked()` applies it to them."""
+    """The furniture of the hosts in a table of pages; `marked()` gives the furniture lines of each page."""
 
     def __init__(
         self,
@@ -251,82 +258,102 @@ class SiteTemplates:
         least_pages: int = LEAST_PAGES,
         most_elements: int = MOST_ELEMENTS,
     ):
-        self.spark, self.key = pages.sparkSession, key
+        self.spark, self.key, self.text = pages.sparkSession, key, text
+        self.texts = pages.select(key, text)
         self.kind = pages.schema[key].dataType.simpleString()
-        self.pages = spread(
-            pages.select(F.col(key).alias("id"), host_of(F.col(url)).alias("host"), F.col(text).alias("text"), F.col(company).alias("company"))
-        )
         found = frequent_words(pages, titles).limit(MOST_WORDS + 1).collect()
         if len(found) > MOST_WORDS:
             raise ValueError(f"more than {MOST_WORDS} frequent title words")
-        self.words = self.spark.sparkContext.broadcast(frozenset(r["word"] for r in found))
-        counts = cut(self._recurring(least_share, least_pages))
-        n = counts.count()
-        self.groups = max(1, math.ceil(n / most_elements))
-        self.counts = counts
+        words = self.spark.sparkContext.broadcast(frozenset(r["word"] for r in found))
+        rows = pages.select(
+            F.col(key).alias("id"), host_of(F.col(url)).alias("host"), F.col(text).alias("text"), F.col(company).alias("company")
+        )
+        self.parsed = cut(
+            spread(rows).mapInArrow(
+                _parser(words),
+                f"id {self.kind}, host string, employer bigint, keys array<bigint>, flags binary, "
+                "segments array<bigint>, segment_lines array<int>",
+            )
+        )
+        self.recurring = cut(self._recurring(least_share, least_pages))
+        self.groups = max(1, math.ceil(self.recurring.count() / most_elements))
 
     def _recurring(self, least_share: float, least_pages: int) -> DataFrame:
         """(host, key) on many pages of the host; host null: on many pages over several hosts."""
+        filled = self.parsed.where(F.size("keys") > 0)
+        elements = F.array_distinct(F.filter(F.concat("keys", "segments"), lambda k: k != 0))
         counted = (
-            self.pages.select("host", "text", "company")
-            .mapInArrow(_count_elements, "host string, employer bigint, key bigint, pages bigint")
-            .repartition("key")  # all sums below are by key and more, and need no other shuffle
+            filled.select("host", "employer", F.explode(elements).alias("key"))
             .groupBy("key", "host", "employer")
-            .agg(F.sum("pages").alias("pages"))
+            .agg(F.count(F.lit(1)).alias("pages"))
         )
         sums = [F.sum("pages").alias("pages"), F.max("pages").alias("most")]
-        of_host = counted.groupBy("key", "host").agg(*sums)
-        of_employer = counted.groupBy("key", "employer").agg(
-            F.sum("pages").alias("pages"), F.min("host").alias("low"), F.max("host").alias("high")
-        )
-        overall = of_employer.groupBy("key").agg(*sums, F.min("low").alias("low"), F.max("high").alias("high"))
         varied = F.col("pages") - F.col("most") >= LEAST_VARIED * F.col("pages")
-        frequent = of_host.where((F.col("pages") >= least_pages) & varied | (F.col("key") == 0)).select("key", "host", "pages")
-        pooled = overall.where(
-            (F.col("low") < F.col("high")) & (F.col("pages") >= LEAST_POOLED_PAGES) & varied | (F.col("key") == 0)
-        ).select("key", F.lit(None).cast("string").alias("host"), "pages")
-        rows = cut(frequent.unionByName(pooled))
-        sizes = rows.where(F.col("key") == 0).select(F.col("host").alias("h"), F.col("pages").alias("all"))
-        return (
-            rows.where(F.col("key") != 0)
-            .join(sizes, F.col("host").eqNullSafe(F.col("h")))
-            .where(F.col("pages") >= F.col("all") * F.when(F.col("host").isNull(), LEAST_POOLED_SHARE).otherwise(least_share))
-            .select("host", "key")
+        of_host = (
+            counted.groupBy("key", "host").agg(*sums).where((F.col("pages") >= least_pages) & varied).select("host", "key", "pages")
         )
+        pooled = (
+            counted.groupBy("key", "employer")
+            .agg(F.sum("pages").alias("pages"), F.min("host").alias("low"), F.max("host").alias("high"))
+            .groupBy("key")
+            .agg(*sums, F.min("low").alias("low"), F.max("high").alias("high"))
+            .where((F.col("low") < F.col("high")) & (F.col("pages") >= LEAST_POOLED_PAGES) & varied)
+            .select(F.lit(None).cast("string").alias("host"), "key", "pages")
+        )
+        sizes = filled.groupBy("host").agg(F.count(F.lit(1)).alias("all"))
+        of_host = of_host.join(sizes, "host").where(F.col("pages") >= F.col("all") * least_share)
+        total = filled.count()
+        pooled = pooled.where(F.col("pages") >= total * LEAST_POOLED_SHARE)
+        return of_host.select("host", "key").unionByName(pooled.select("host", "key"))
 
     def _group(self, df: DataFrame, g: int) -> DataFrame:
         return df if self.groups == 1 else df.where(F.pmod(F.xxhash64("host"), F.lit(self.groups)) == g)
 
     def _candidates(self, g: int):
-        of_hosts = self._group(self.counts.where(F.col("host").isNotNull()), g)
-        at_hosts = frozenset(at_host(r["host"], r["key"]) for r in of_hosts.toLocalIterator())
-        anywhere = frozenset(r["key"] for r in self.counts.where(F.col("host").isNull()).toLocalIterator())
-        return self.spark.sparkContext.broadcast(_Candidates(at_hosts, anywhere))
+        by_host: dict[str, set[int]] = defaultdict(set)
+        for row in self._group(self.recurring.where(F.col("host").isNotNull()), g).toLocalIterator():
+            by_host[row["host"]].add(row["key"])
+        anywhere = frozenset(r["key"] for r in self.recurring.where(F.col("host").isNull()).toLocalIterator())
+        return self.spark.sparkContext.broadcast(_Candidates({h: frozenset(k) for h, k in by_host.items()}, anywhere))
 
-    def marked(self) -> DataFrame:
-        """(key, furniture_lines, main) of every page."""
-        shared = self.spark.sparkContext.broadcast
-        models, seen = [self._candidates(g) for g in range(self.groups)], None
+    def _over_groups(self, models: list, columns: list[str], function, ddl: str) -> DataFrame:
+        result = None
         for g, candidates in enumerate(models):
-            part = self._group(self.pages, g).select("host", "text", "company").mapInArrow(
-                _surroundings(candidates, self.words),
-                "key bigint, n bigint, beside_text bigint, before_list bigint, names_employer bigint",
-            )
-            seen = part if seen is None else seen.unionByName(part)
+            part = self._group(self.parsed, g).select(*columns).mapInArrow(function(candidates), ddl)
+            result = part if result is None else result.unionByName(part)
+        return result
+
+    def marked(self) -> DataFrame:
+        """(key, furniture_lines) of every page."""
+        models = [self._candidates(g) for g in range(self.groups)]
+        seen = self._over_groups(
+            models,
+            ["host", "keys", "flags"],
+            _surroundings,
+            "key bigint, n bigint, beside_text bigint, before_list bigint, names_employer bigint",
+        )
         judged = (
             seen.groupBy("key")
             .agg(*(F.sum(c).alias(c) for c in ("n", "beside_text", "before_list", "names_employer")))
             .where((F.col("beside_text") <= MOST_BESIDE_TEXT * F.col("n")) & (F.col("names_employer") <= 0.5 * F.col("n")))
             .select("key", (F.col("before_list") > 0.5 * F.col("n")).alias("heads"))
-            .collect()  # candidates only: their number is checked
+            .collect()  # candidates only: their number is bounded
+        )
+        furniture = self.spark.sparkContext.broadcast(frozenset(r["key"] for r in judged))
+        headings = self.spark.sparkContext.broadcast(frozenset(r["key"] for r in judged if r["heads"]))
+        return self._over_groups(
+            models,
+            ["id", "host", "keys", "flags", "segments", "segment_lines"],
+            lambda candidates: _marker(candidates, furniture, headings),
+            f"id {self.kind}, furniture_lines array<int>",
+        ).withColumnRenamed("id", self.key)
+
+    def main_texts(self) -> DataFrame:
+        """(key, main) of every page: the text without its furniture and the empty lines it leaves."""
+        lines = self.marked().dropDuplicates([self.key])
+        kept = F.filter(F.split(self.text, "\n"), lambda x, n: ~F.array_contains("furniture_lines", n))
+        main = F.regexp_replace(F.array_join(kept, "\n"), "\n{3,}", "\n\n")
+        return self.texts.join(lines, self.key).select(
+            self.key,
+            F.when(F.size("furniture_lines") > 0, F.regexp_replace(main, r"^\n+|\n+$", "")).otherwise(F.col(self.text)).alias("main"),
         )
-        furniture = shared(frozenset(r["key"] for r in judged))
-        headings = shared(frozenset(r["key"] for r in judged if r["heads"]))
-        result = None
-        for g, candidates in enumerate(models):
-            part = self._group(self.pages, g).select("id", "host", "text").mapInArrow(
-                _marker(candidates, furniture, headings, self.words),
-                f"id {self.kind}, furniture_lines array<int>, main string",
-            )
-            result = part if result is None else result.unionByName(part)
-        return result.withColumnRenamed("id", self.key)

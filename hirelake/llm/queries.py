@@ -15,21 +15,20 @@ from hirelake.runtime import ship, spread, table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _templates(spark: SparkSession, sf_dir: str) -> SiteTemplates:
     pages = table(spark, sf_dir, "parsed_detail").select(
         "detail_id", "url", "title", "company", "location_raw", "description_raw"
     )
-    return SiteTemplates(
-        pages, "detail_id", "url", "description_raw", "company", ["title", "company", "location_raw"]
-    ).marked()
+    return SiteTemplates(pages, "detail_id", "url", "description_raw", "company", ["title", "company", "location_raw"])
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _templates(spark, sf_dir).select("detail_id", F.explode("furniture_lines").alias("line_no"))
+    marked = _templates(spark, sf_dir).marked()
+    return marked.select("detail_id", F.explode("furniture_lines").alias("line_no"))
 
 
 def p1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _templates(spark, sf_dir).select("detail_id", F.col("main").alias("description_main"))
+    return _templates(spark, sf_dir).main_texts().withColumnRenamed("main", "description_main")
 
 
 def p2_residue(spark: SparkSession, sf_dir: str) -> DataFrame:
