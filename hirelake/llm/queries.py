@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hirelake.llm import charform, langid, leakage, packing, repetition, residue
+from hirelake.llm import canonical, charform, langid, leakage, packing, repetition, residue
 from hirelake.llm.boilerplate import SiteTemplates
 from hirelake.llm.neardup import NearDuplicates
 from hirelake.runtime import ship, spread, table
 
+FREE_FIELDS = ["location_raw", "employment_type_raw", "workplace_type_raw"]
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -96,6 +98,20 @@ def p8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packing(documents, table(spark, sf_dir, "containers"))
 
 
+def p6_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canonical.mapping(
+        table(spark, sf_dir, "parsed_detail").select("detail_id", *FREE_FIELDS),
+        table(spark, sf_dir, "canonical_values"),
+        "detail_id",
+        FREE_FIELDS,
+        ["location_raw"],
+    )
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p6_mapping(spark, sf_dir).select("detail_id", "field_name", "ref_id").distinct()
+
+
 def p9_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return leakage.matches(documents, table(spark, sf_dir, "eval_items"))
@@ -134,6 +150,8 @@ QUERIES: dict[str, Query] = {
     "p4_forms": p4_forms,
     "p5_found": p5_found,
     "p5_groups": p5_groups,
+    "p6_found": p6_found,
+    "p6_mapping": p6_mapping,
     "p8_packing": p8_packing,
     "p9_found": p9_found,
     "p9_matches": p9_matches,
