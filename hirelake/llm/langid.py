@@ -176,65 +176,60 @@ def _segmenter(matrix):
                     "id": [ids[i] for i in own] + [ids[i] for i in owner],
                     "segment_no": [0] * len(own) + [r[1] for r in rows],
                     "words": [int(total[i]) for i in own] + [int(w) for w in words],
+                    "text_words": [int(total[i]) for i in own] + [int(total[i]) for i in owner],
                     "sentences": [True] * len(own) + [r[3] for r in rows],
                     "language": [*named[main[own]], *named[best]],
                     "main": [*named[main[own]], *named[main[owner]]],
                     "confidence": [*(trust[own] / total[own]), *(odds.max(axis=1) if len(odds) else ())],
                 }
-                kinds = [batch.schema.field(0).type, pa.int32(), pa.int32(), pa.bool_(), pa.string(), pa.string(), pa.float64()]
+                kinds = [batch.schema.field(0).type, pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.string(), pa.string(), pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds)], names=list(out))
 
     return run
 
 
-def training_sample(texts: DataFrame, key: str, text: str, label: str, sample: int = SAMPLE) -> tuple[list[str], list[str]]:
+def training_sample(
+    texts: DataFrame, labels: DataFrame, key: str, text: str, label: str, sample: int = SAMPLE
+) -> tuple[list[str], list[str]]:
     """At most `sample` labelled descriptions per language, in hash order, as paragraphs."""
-    known = texts.select(key, label_of(F.col(label)).alias("language"), F.length(text).alias("size")).where(
-        F.col("language").isNotNull() & F.col("size").between(200, 20_000)
-    )
+    sizes = texts.select(key, F.length(text).alias("size")).where(F.col("size").between(200, 20_000))
+    known = labels.select(key, label_of(F.col(label)).alias("language")).where(F.col("language").isNotNull())
     order = Window.partitionBy("language").orderBy(F.xxhash64(key), key)
-    picked = known.withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample).select(key, "language")
+    picked = known.join(sizes, key).withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample)
+    picked = picked.select(key, "language")  # at most `sample` rows per language
     rows = texts.select(key, F.col(text).alias("text")).join(F.broadcast(picked), key).collect()
-    parts, labels = [], []
+    parts, named = [], []
     for row in sorted(rows, key=lambda r: (r["language"], str(r[key]))):
-        for part in paragraphs(form(row["text"])):
+        for part in paragraphs(form(row["text"] or "")):
             if len(part.split()) >= PARAGRAPH_WORDS:
                 parts.append(part)
-                labels.append(row["language"])
-    return parts, labels
+                named.append(row["language"])
+    return parts, named
 
 
-def segments(texts: DataFrame, key: str, text: str, label: str, sample: int = SAMPLE) -> DataFrame:
-    """(key, segment_no, words, sentences, language, main, confidence); segment 0 is the description."""
-    matrix = texts.sparkSession.sparkContext.broadcast(fit(*training_sample(texts, key, text, label, sample)))
+def segments(texts: DataFrame, labels: DataFrame, key: str, text: str, label: str, sample: int = SAMPLE) -> DataFrame:
+    """(key, segment_no, words, text_words, sentences, language, main, confidence); segment 0 is the description."""
+    matrix = texts.sparkSession.sparkContext.broadcast(fit(*training_sample(texts, labels, key, text, label, sample)))
     kind = texts.schema[key].dataType.simpleString()
     return (
         spread(texts.select(F.col(key).alias("id"), F.col(text).alias("text")))
         .mapInArrow(
             _segmenter(matrix),
-            f"id {kind}, segment_no int, words int, sentences boolean, language string, main string, confidence double",
+            f"id {kind}, segment_no int, words int, text_words int, sentences boolean, language string, main string, "
+            "confidence double",
         )
         .withColumnRenamed("id", key)
     )
 
 
 def corrections(found: DataFrame, labels: DataFrame, key: str, label: str) -> DataFrame:
-    """(key, segment_no, language, confidence) where a label is missing or wrong, or a paragraph differs.
-
-    The words of a description are those of its segment 0; labels are joined by key.
-    """
-    size = found.where((F.col("segment_no") == 0) & (F.col("words") >= DESCRIPTION_WORDS)).select(key)
+    """(key, segment_no, language, confidence) where a label is missing or wrong, or a paragraph differs."""
+    foreign = (F.col("words") >= PARAGRAPH_WORDS) & F.col("sentences") & (F.col("language") != F.col("main"))
     named = labels.select(key, label_of(F.col(label)).alias("named"))
-    whole = (
-        found.where((F.col("segment_no") == 0) & (F.col("words") >= DESCRIPTION_WORDS))
-        .join(named, key)
-        .where(~F.col("named").eqNullSafe(F.col("language")))
+    return (
+        found.where((F.col("text_words") >= DESCRIPTION_WORDS) & ((F.col("segment_no") == 0) | foreign))
+        .join(named, key, "left")
+        .where((F.col("segment_no") > 0) | ~F.col("named").eqNullSafe(F.col("language")))
+        .select(key, "segment_no", "language", "confidence")
+        .dropDuplicates([key, "segment_no"])
     )
-    parts = found.where(
-        (F.col("segment_no") > 0)
-        & (F.col("words") >= PARAGRAPH_WORDS)
-        & F.col("sentences")
-        & (F.col("language") != F.col("main"))
-    ).join(size, key, "left_semi")
-    columns = [key, "segment_no", "language", "confidence"]
-    return whole.select(*columns).unionByName(parts.select(*columns)).dropDuplicates([key, "segment_no"])

@@ -48,21 +48,18 @@ def p2_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.without_residue(rows, p2_found(spark, sf_dir), "detail_id").select("detail_id")
 
 
-def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _languages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     texts = table(spark, sf_dir, "parsed_detail").select("detail_id", "description_raw")
     labels = table(spark, sf_dir, "classified").select("detail_id", "posting_language")
-    return texts.join(labels, "detail_id", "left")
+    return langid.segments(texts, labels, "detail_id", "description_raw", "posting_language"), labels
 
 
 def p3_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = langid.segments(_labelled(spark, sf_dir), "detail_id", "description_raw", "posting_language")
-    return found.select("detail_id", "segment_no", "language", "confidence")
+    return _languages(spark, sf_dir)[0].select("detail_id", "segment_no", "language", "confidence")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = langid.segments(_labelled(spark, sf_dir), "detail_id", "description_raw", "posting_language")
-    labels = table(spark, sf_dir, "classified").select("detail_id", "posting_language")
-    wrong = langid.corrections(found, labels, "detail_id", "posting_language")
+    wrong = langid.corrections(*_languages(spark, sf_dir), "detail_id", "posting_language")
     return wrong.select("detail_id", "segment_no", "language")
 
 
