@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from hirelake.llm import canonical, charform, langid, leakage, packing, repetition, residue
 from hirelake.llm.boilerplate import SiteTemplates
+from hirelake.llm.linkage import Linkage
 from hirelake.llm.neardup import NearDuplicates
 from hirelake.runtime import ship, spread, table
 
@@ -90,6 +91,18 @@ def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _near_duplicates(spark, sf_dir).groups()
 
 
+def p7_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["title", "company", "location_raw", "source_job_url"]
+    postings = table(spark, sf_dir, "parsed_detail").select("detail_id", "url", "apply_url", *columns)
+    feed = table(spark, sf_dir, "employer_feed").select("feed_id", *columns)
+    places = table(spark, sf_dir, "canonical_values").where(F.col("field_name") == "location_raw")
+    return Linkage(postings, "detail_id", "url", "apply_url", feed, "feed_id", places).matches()
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_matches(spark, sf_dir).select("detail_id", "feed_id")
+
+
 def p8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return packing.packing(documents, table(spark, sf_dir, "containers"))
@@ -149,6 +162,8 @@ QUERIES: dict[str, Query] = {
     "p5_groups": p5_groups,
     "p6_found": p6_found,
     "p6_mapping": p6_mapping,
+    "p7_found": p7_found,
+    "p7_matches": p7_matches,
     "p8_packing": p8_packing,
     "p9_found": p9_found,
     "p9_matches": p9_matches,
