@@ -232,16 +232,21 @@ SAME_PAGE = 10.0
 STEP, ROUNDS = 1.0, 60
 
 
-def solve(similar: np.ndarray, weight: np.ndarray, reading: np.ndarray, page_job: np.ndarray) -> np.ndarray:
+def solve(
+    similar: np.ndarray, weight: np.ndarray, reading: np.ndarray, listing: np.ndarray, page_job: np.ndarray
+) -> np.ndarray:
     """The variables: similar and weight by candidate and attribute (support, against in weight[..., 0:2]).
 
-    reading: which candidates exclude one another; page_job: which are one job seen twice.
+    reading: which candidates exclude one another, unless they are one job listed twice (listing);
+    page_job: which are one job seen twice.
     """
     n, k = similar.shape
     copies = np.full((n, k + 3), 0.5)
     duals = np.zeros((n, k + 3))
     shared = np.full(n, 0.5)
-    in_reading, in_page = np.bincount(reading), np.bincount(page_job)
+    in_page = np.bincount(page_job)
+    part = 1 / np.bincount(listing)[listing]  # a job listed n times counts once
+    squares = np.bincount(reading, weights=part**2)
     for _ in range(ROUNDS):
         start = shared[:, None] - duals
         rules = start[:, :k]
@@ -249,9 +254,9 @@ def solve(similar: np.ndarray, weight: np.ndarray, reading: np.ndarray, page_job
         down = np.maximum(similar, rules - weight[..., 1] / STEP)
         copies[:, :k] = np.where(rules < similar, up, down)
         copies[:, k] = start[:, k] - DEFAULT / STEP
-        excess = np.bincount(reading, weights=start[:, k + 1], minlength=len(in_reading)) - 1
-        step = np.minimum(np.maximum(excess, 0) / np.maximum(in_reading, 1), EXCLUSIVE / STEP)
-        copies[:, k + 1] = start[:, k + 1] - step[reading]
+        excess = np.bincount(reading, weights=part * start[:, k + 1]) - 1
+        step = np.minimum(np.maximum(excess, 0) / squares, EXCLUSIVE / STEP)
+        copies[:, k + 1] = start[:, k + 1] - part * step[reading]
         mean = np.bincount(page_job, weights=start[:, k + 2], minlength=len(in_page)) / np.maximum(in_page, 1)
         copies[:, k + 2] = mean[page_job] + (start[:, k + 2] - mean[page_job]) / (1 + 2 * SAME_PAGE / STEP)
         shared = np.clip((copies + duals).mean(axis=1), 0, 1)
@@ -271,8 +276,8 @@ def _solver(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = np.broadcast_to(np.array([WEIGHTS[n] for n in names]), (*similar.shape, 2)).copy()
         weight[unknown] = UNKNOWN
         number = lambda *columns: np.unique(np.stack(columns, axis=1), axis=0, return_inverse=True)[1].ravel()
-        a, f, page = (rows[c].to_numpy(zero_copy_only=False) for c in ("a", "f", "page"))
-        found = solve(np.where(unknown, 0.5, similar), weight, number(a), number(page, f))
+        a, f, page, job = (rows[c].to_numpy(zero_copy_only=False) for c in ("a", "f", "page", "job"))
+        found = solve(np.where(unknown, 0.5, similar), weight, number(a), number(a, job), number(page, f))
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(f), pa.array(found)], names=["a", "f", "confidence"])
 
     for batch in batches:
@@ -300,7 +305,7 @@ def _employer_similarity() -> Column:
             F.when(F.col(x) == F.col(y), 1.0)
             .when(F.levenshtein(x, y) == 1, 0.95)
             .when((F.levenshtein(x, y) == 2) & (F.length(x) == F.length(y)) & (F.sort_array(F.split(x, "")) == F.sort_array(F.split(y, ""))), 0.95)
-            .when(F.levenshtein(x, y) == 2, 0.4)
+            .when(F.levenshtein(x, y) == 2, F.when(F.length(x) >= 8, 0.8).otherwise(0.4))
             .when(F.col(x).isNotNull() & F.col(y).isNotNull(), 0.0)
             for x, y in pairs
         )
@@ -364,7 +369,8 @@ class Linkage:
             .withColumn("subject", equal("a_subject", "f_subject"))
             .withColumn("place", equal("a_place", "f_place"))
             .where(F.isnan("employer") | (F.col("employer") > 0))
-            .select("page", "a", "f", *WEIGHTS)
+            .withColumn("job", F.xxhash64("f_role", "f_level", "f_subject", "f_place"))
+            .select("page", "a", "f", "job", *WEIGHTS)
         )
 
     def matches(self, least: float = LEAST_CONFIDENCE) -> DataFrame:
