@@ -94,8 +94,25 @@ CRAFT = (
     r"(?iu:\b(templates?|vorlagen?|placeholders?|platzhalter|checks?|handling|fields?|felder?|werte?n?|notes?|notizen"
     r"|run time|runtime|laufzeit|syntax|beispieltexte?|sample texts)\b)"
 )
-#: Anything in a long description that a rule could name.
+#: Anything in a line of a long description that a rule could name.
 _SUSPECT = f"{PLACEHOLDER}|{MISSING}|(?iu:{FILLER}|{PSEUDO_LATIN.replace('sit|', '').replace('|est|', '|')})"
+# What a text must hold, in lower case, for any of these rules to apply; found faster than they.
+_SIGNS = (
+    "undefined", "null", " nan", "nan ", " nil", "nil ", "xxxx", "lorem", "ipsum", "cillum", "nostrud", "veniam", "irure",
+    "mollit", "laboris", "aliqua", "fugiat", "culpa", "tempor ", "consectetur", "blindtext", "dummy", "placeholder",
+    "platzhalter", "goes here", "bla ", "asdf", "qwert", "foo bar", "beispielabsatz", "beispieltext", "sample desc",
+    "sample text", "sample copy", "abc ", "test test", "hier steht", "folgt", "to follow", "coming soon", "todo:",
+    "this section", "mustertext", "musterabsatz",
+)
+_SIGN_CHARACTERS = r"[{}%@#$]|<<|<%|__|\[[^\s\]]"
+
+
+def _suspect_text(text: Column) -> Column:
+    low = F.lower(text)
+    found = text.rlike(_SIGN_CHARACTERS)
+    for sign in _SIGNS:
+        found = found | low.contains(sign)
+    return found
 
 
 def mask(value: Column) -> Column:
@@ -158,7 +175,7 @@ def units(df: DataFrame, key: str, title: str, description: str, source: str) ->
     """(key, source, field_name, short, unit, bare): what the rules look at."""
     formed = df.select(
         key, F.col(source).alias("source"), form_of(F.col(title)).alias("title"), form_of(F.col(description)).alias("text")
-    ).withColumn("short", F.size(F.split(F.trim("text"), r"\s+")) < POSTING_WORDS)
+    ).withColumn("short", ~F.col("text").rlike(rf"^\s*(?:\S+\s+){{{POSTING_WORDS - 1}}}\S"))
     lines = F.split("text", "\n")
     sentences = F.flatten(
         F.transform(
@@ -166,7 +183,7 @@ def units(df: DataFrame, key: str, title: str, description: str, source: str) ->
             lambda x: F.filter(F.split(x, r"(?<=[.!?]) "), lambda s: s.rlike(_SUSPECT) | F.lower(s).rlike(FILLER)),
         )
     )
-    parts = F.when(F.col("short"), lines).when(F.col("text").rlike(_SUSPECT), F.concat(sentences, F.filter(lines, _pseudo_latin)))
+    parts = F.when(F.col("short"), lines).when(_suspect_text(F.col("text")), F.concat(sentences, F.filter(lines, _pseudo_latin)))
     body = (
         formed.select(key, "source", "short", F.explode(parts).alias("unit"))
         .where(F.trim("unit") != "")
