@@ -102,7 +102,7 @@ _SIGNS = (
     "mollit", "laboris", "aliqua", "fugiat", "culpa", "tempor ", "consectetur", "blindtext", "dummy", "placeholder",
     "platzhalter", "goes here", "bla ", "asdf", "qwert", "foo bar", "beispielabsatz", "beispieltext", "sample desc",
     "sample text", "sample copy", "abc ", "test test", "hier steht", "folgt", "to follow", "coming soon", "todo:",
-    "this section", "mustertext", "musterabsatz",
+    "this section", "mustertext", "musterabsatz", "dolor", "amet", "magna", "velit", "nisi", "aute", "sint",
 )
 _SIGN_CHARACTERS = r"[{}%@#$]|<<|<%|__|\[[^\s\]]"
 
