@@ -22,10 +22,14 @@ repeated rows give one row per key; empty tables give no rows; extra columns are
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hirelake.llm.charform import form_of
+from hirelake.llm.charform import form
 from hirelake.runtime import cut
 
 #: Below this number of words a description is no posting.
@@ -94,8 +98,6 @@ CRAFT = (
     r"(?iu:\b(templates?|vorlagen?|placeholders?|platzhalter|checks?|handling|fields?|felder?|werte?n?|notes?|notizen"
     r"|run time|runtime|laufzeit|syntax|beispieltexte?|sample texts)\b)"
 )
-#: Anything in a line of a long description that a rule could name.
-_SUSPECT = f"{PLACEHOLDER}|{MISSING}|(?iu:{FILLER}|{PSEUDO_LATIN.replace('sit|', '').replace('|est|', '|')})"
 # What a text must hold, in lower case, for any of these rules to apply; found faster than they.
 _SIGNS = (
     "undefined", "null", " nan", "nan ", " nil", "nil ", "xxxx", "lorem", "ipsum", "cillum", "nostrud", "veniam", "irure",
@@ -104,17 +106,53 @@ _SIGNS = (
     "sample text", "sample copy", "abc ", "test test", "hier steht", "folgt", "to follow", "coming soon", "todo:",
     "this section", "mustertext", "musterabsatz", "dolor", "amet", "magna", "velit", "nisi", "aute", "sint",
 )
-_SIGN_CHARACTERS = r"[{}%@#$]|<<|<%|__|\[[^\s\]]"
+_SIGN_CHARACTERS = ("{", "}", "%", "@", "#", "$", "<<", "<%", "__")
+_BRACKET = re.compile(r"\[[^\s\]]")
+_SENTENCE = re.compile(r"(?<=[.!?]) ")
+_WORDS = re.compile(rf"\s*(?:\S+\s+){{{POSTING_WORDS - 1}}}\S")
+
 
+def _signs():
+    """One automaton that finds any sign in one pass over a text."""
+    import ahocorasick
 
-def _suspect_text(text: Column) -> Column:
-    low = F.lower(text)
-    found = text.rlike(_SIGN_CHARACTERS)
-    for sign in _SIGNS:
-        found = found | low.contains(sign)
+    found = ahocorasick.Automaton()
+    for sign in (*_SIGNS, *_SIGN_CHARACTERS):
+        found.add_word(sign, True)
+    found.make_automaton()
     return found
 
 
+def _looked_at(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    signs = _signs()
+
+    def suspect(text: str) -> bool:
+        return next(signs.iter(text.lower()), None) is not None or _BRACKET.search(text) is not None
+
+    for batch in batches:
+        rows = []
+        for key, source, title, text in zip(*(c.to_pylist() for c in batch.columns)):
+            if title and not title.isspace():
+                rows.append((key, source, "title", False, form(title)))
+            if not text or text.isspace():
+                continue
+            text = form(text)
+            short = _WORDS.match(text) is None
+            if short:
+                units = [line for line in text.split("\n") if line.strip()]
+            elif suspect(text):
+                lines = [line for line in text.split("\n") if suspect(line)]
+                units = list(dict.fromkeys(u for line in lines for u in (line, *_SENTENCE.split(line)) if u.strip()))
+            else:
+                continue
+            rows += [(key, source, "description_raw", short, unit) for unit in units]
+        columns = list(zip(*rows)) if rows else [[]] * 5
+        kinds = [batch.schema.field(0).type, pa.string(), pa.string(), pa.bool_(), pa.string()]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, k) for c, k in zip(columns, kinds)], names=["id", "source", "field_name", "short", "unit"]
+        )
+
+
 def mask(value: Column) -> Column:
     """What remains of a message without numbers, addresses, dates and decoration, in lower case."""
     out = F.lower(value)
@@ -173,31 +211,11 @@ def classify_title(value: Column, bare: Column) -> Column:
 
 def units(df: DataFrame, key: str, title: str, description: str, source: str) -> DataFrame:
     """(key, source, field_name, short, unit, bare): what the rules look at."""
-    formed = df.select(
-        key, F.col(source).alias("source"), form_of(F.col(title)).alias("title"), form_of(F.col(description)).alias("text")
-    ).withColumn("short", ~F.col("text").rlike(rf"^\s*(?:\S+\s+){{{POSTING_WORDS - 1}}}\S"))
-    lines = F.split("text", "\n")
-    sentences = F.flatten(
-        F.transform(
-            F.filter(lines, lambda x: x.rlike(_SUSPECT)),
-            lambda x: F.filter(F.split(x, r"(?<=[.!?]) "), lambda s: s.rlike(_SUSPECT) | F.lower(s).rlike(FILLER)),
-        )
-    )
-    parts = F.when(F.col("short"), lines).when(_suspect_text(F.col("text")), F.concat(sentences, F.filter(lines, _pseudo_latin)))
-    body = (
-        formed.select(key, "source", "short", F.explode(parts).alias("unit"))
-        .where(F.trim("unit") != "")
-        .select(key, "source", F.lit("description_raw").alias("field_name"), "short", "unit", F.lit("").alias("bare"))
-    )
-    head = formed.where(F.trim("title") != "").select(
-        key,
-        "source",
-        F.lit("title").alias("field_name"),
-        F.lit(False).alias("short"),
-        F.col("title").alias("unit"),
-        bare_title(F.col("title"), F.col("source")).alias("bare"),
-    )
-    return head.unionByName(body)
+    kind = df.schema[key].dataType.simpleString()
+    found = df.select(F.col(key).alias("id"), F.col(source).alias("source"), F.col(title).alias("t"), F.col(description).alias("d"))
+    rows = found.mapInArrow(_looked_at, f"id {kind}, source string, field_name string, short boolean, unit string")
+    bare = F.when(F.col("field_name") == "title", bare_title(F.col("unit"), F.col("source"))).otherwise("")
+    return rows.withColumn("bare", bare).withColumnRenamed("id", key)
 
 
 def messages(rows: DataFrame) -> DataFrame:
