@@ -21,6 +21,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from hirelake.runtime import cut
+
 K = 2
 #: Shorter words and phrases are compared exactly.
 FUZZY_LENGTH = 5
@@ -83,18 +85,18 @@ def _segment_start(length: str, n: str) -> str:
     return f"cast(floor({n} * {length} / {K + 1}) as int)"
 
 
-def _pigeonhole(values: str, references: str) -> str:
-    """(field_name, v, r, distance) of values and reference strings at most one edit or swap apart."""
+def _closest(spark: SparkSession, values: DataFrame, references: DataFrame) -> DataFrame:
+    """(field_name, v, r) of values and their closest reference strings, at most one edit or swap apart."""
     begin, end = _segment_start("l", "s"), _segment_start("l", "s + 1")
-    return f"""
-    cut AS (
+    return cut(spark.sql(f"""
+    WITH cut AS (
         SELECT field_name, r, l, s, substring(r, {begin} + 1, {end} - {begin}) AS part
-        FROM (SELECT DISTINCT field_name, r, length(r) AS l FROM {references} WHERE length(r) >= {FUZZY_LENGTH}) t
+        FROM (SELECT DISTINCT field_name, r, length(r) AS l FROM {{refs}} WHERE length(r) >= {FUZZY_LENGTH}) t
         LATERAL VIEW explode(sequence(0, {K})) e AS s
     ),
     probe AS (
         SELECT DISTINCT field_name, v, l, s, substring(v, {begin} + 1 + d, {end} - {begin}) AS part
-        FROM (SELECT DISTINCT field_name, v FROM {values} WHERE length(v) >= {FUZZY_LENGTH} - 1) t
+        FROM (SELECT DISTINCT field_name, v FROM {{vals}} WHERE length(v) >= {FUZZY_LENGTH} - 1) t
         LATERAL VIEW explode(sequence(length(v) - 1, length(v) + 1)) e AS l
         LATERAL VIEW explode(sequence(0, {K})) e AS s
         LATERAL VIEW explode(sequence(-{K}, {K})) e AS d
@@ -108,13 +110,11 @@ def _pigeonhole(values: str, references: str) -> str:
         WHERE distance <= 1 OR (distance = 2 AND length(v) = length(r) AND exists(sequence(1, length(v) - 1),
             i -> concat(substring(v, 1, i - 1), substring(v, i + 1, 1), substring(v, i, 1), substring(v, i + 2)) = r))
         UNION
-        SELECT DISTINCT a.field_name, a.v, b.r, 0 FROM {values} a JOIN {references} b ON a.field_name = b.field_name AND a.v = b.r
-    ),
-    closest AS (
-        SELECT field_name, v, r FROM (
-            SELECT field_name, v, r, distance, min(distance) OVER (PARTITION BY field_name, v) AS least FROM near)
-        WHERE distance = least
-    )"""
+        SELECT DISTINCT a.field_name, a.v, b.r, 0 FROM {{vals}} a JOIN {{refs}} b ON a.field_name = b.field_name AND a.v = b.r
+    )
+    SELECT field_name, v, r FROM (
+        SELECT field_name, v, r, distance, min(distance) OVER (PARTITION BY field_name, v) AS least FROM near)
+    WHERE distance = least""", vals=values, refs=references))
 
 
 def _fields(spark: SparkSession, rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
@@ -128,25 +128,29 @@ def _fields(spark: SparkSession, rows: DataFrame, key: str, fields: list[str]) -
 
 def _few_meanings(spark: SparkSession, values: DataFrame, references: DataFrame) -> DataFrame:
     """(field_name, value, ref_id) for fields whose meanings have synonyms."""
-    return spark.sql(
-        f"""
-        WITH phrases AS (SELECT field_name, value, {PHRASE.format(v="value")} AS v FROM {{values}}),
-        named AS (
+    phrases = cut(spark.sql(f"SELECT field_name, value, {PHRASE.format(v='value')} AS v FROM {{vals}}", vals=values))
+    named = cut(
+        spark.sql(
+            f"""
             SELECT r.field_name, r.ref_id, s.phrase AS r
             FROM {{refs}} r JOIN (VALUES {synonym_rows()}) s (name, phrase) ON r.canonical_value = s.name
             UNION
             SELECT field_name, ref_id, {PHRASE.format(v="canonical_value")} FROM {{refs}}
-        ),
-        {_pigeonhole("phrases", "named")},
-        whole AS (
+            """,
+            refs=references,
+        )
+    )
+    return spark.sql(
+        f"""
+        WITH whole AS (
             SELECT p.field_name, p.value, n.ref_id
-            FROM phrases p JOIN closest c ON p.field_name = c.field_name AND p.v = c.v
-            JOIN named n ON c.field_name = n.field_name AND c.r = n.r
+            FROM {{phrases}} p JOIN {{closest}} c ON p.field_name = c.field_name AND p.v = c.v
+            JOIN {{named}} n ON c.field_name = n.field_name AND c.r = n.r
         ),
         by_word AS (
             SELECT w.field_name, w.value, n.ref_id
-            FROM (SELECT field_name, value, explode(split(v, ' ')) AS word FROM phrases) w
-            JOIN named n ON w.field_name = n.field_name AND w.word = n.r
+            FROM (SELECT field_name, value, explode(split(v, ' ')) AS word FROM {{phrases}}) w
+            JOIN {{named}} n ON w.field_name = n.field_name AND w.word = n.r
             LEFT ANTI JOIN whole x ON w.field_name = x.field_name AND w.value = x.value
             WHERE length(w.word) >= {FUZZY_LENGTH}
         )
@@ -154,8 +158,9 @@ def _few_meanings(spark: SparkSession, values: DataFrame, references: DataFrame)
         FROM (SELECT * FROM whole UNION ALL SELECT * FROM by_word)
         GROUP BY field_name, value HAVING count(DISTINCT ref_id) = 1
         """,
-        values=values,
-        refs=references,
+        phrases=phrases,
+        named=named,
+        closest=_closest(spark, phrases, named),
     )
 
 
@@ -169,10 +174,13 @@ def _plain(column: str) -> str:
 def _places(spark: SparkSession, values: DataFrame, references: DataFrame) -> DataFrame:
     """(field_name, value, ref_id) for place names."""
     words = "regexp_extract_all(lower({c}), '(\\\\pL+)', 1)"
-    return spark.sql(
-        f"""
-        WITH tokens AS (SELECT DISTINCT field_name, value, explode({words.format(c="value")}) AS v FROM {{values}}),
-        parts AS (
+    tokens = cut(
+        spark.sql(f"SELECT DISTINCT field_name, value, explode({words.format(c='value')}) AS v FROM {{vals}}", vals=values)
+    )
+    named = cut(
+        spark.sql(
+            f"""
+            WITH parts AS (
             SELECT field_name, ref_id, 'name' AS kind, get({words.format(c="canonical_value")}, 0) AS base,
                    get({words.format(c="canonical_value")}, 0) AS word FROM {{refs}}
             UNION ALL
@@ -183,20 +191,32 @@ def _places(spark: SparkSession, values: DataFrame, references: DataFrame) -> Da
             SELECT field_name, ref_id, 'of', null, element_at({words.format(c="canonical_value")}, -1) FROM {{refs}}
             WHERE size({words.format(c="canonical_value")}) > 1
         ),
-        named AS (
-            SELECT DISTINCT field_name, ref_id, kind, base, r FROM (
-                SELECT field_name, ref_id, kind, base, explode(array(word, {_plain("word")})) AS r FROM parts WHERE word IS NOT NULL)
-        ),
-        {_pigeonhole("tokens", "named")},
-        hits AS (
+        spelled AS (
+            SELECT field_name, ref_id, kind, base, explode(array(word, {_plain("word")})) AS r FROM parts WHERE word IS NOT NULL
+        )
+        SELECT DISTINCT field_name, ref_id, kind, base, r FROM spelled
+        """,
+            refs=references,
+        )
+    )
+    hits = cut(
+        spark.sql(
+            """
             SELECT DISTINCT t.field_name, t.value, n.ref_id, n.kind, n.base
-            FROM tokens t JOIN closest c ON t.field_name = c.field_name AND t.v = c.v
-            JOIN named n ON c.field_name = n.field_name AND c.r = n.r
-        ),
-        of AS (SELECT field_name, value, ref_id, 1 AS fits FROM hits WHERE kind = 'of' GROUP BY field_name, value, ref_id),
+            FROM {tokens} t JOIN {closest} c ON t.field_name = c.field_name AND t.v = c.v
+            JOIN {named} n ON c.field_name = n.field_name AND c.r = n.r
+            """,
+            tokens=tokens,
+            named=named,
+            closest=_closest(spark, tokens, named),
+        )
+    )
+    return spark.sql(
+        """
+        WITH of AS (SELECT field_name, value, ref_id, 1 AS fits FROM {hits} WHERE kind = 'of' GROUP BY field_name, value, ref_id),
         candidates AS (
             SELECT h.field_name, h.value, h.ref_id, h.base, coalesce(o.fits, 0) AS fits
-            FROM (SELECT DISTINCT field_name, value, ref_id, base FROM hits WHERE kind = 'name') h
+            FROM (SELECT DISTINCT field_name, value, ref_id, base FROM {hits} WHERE kind = 'name') h
             LEFT JOIN of o ON h.field_name = o.field_name AND h.value = o.value AND h.ref_id = o.ref_id
         ),
         judged AS (
@@ -207,8 +227,7 @@ def _places(spark: SparkSession, values: DataFrame, references: DataFrame) -> Da
         SELECT field_name, value, CASE WHEN n = 1 THEN lone ELSE fit END AS ref_id
         FROM judged WHERE bases = 1 AND (n = 1 OR fitting = 1)
         """,
-        values=values,
-        refs=references,
+        hits=hits,
     )
 
 
@@ -223,13 +242,14 @@ def mapping(rows: DataFrame, references: DataFrame, key: str, fields: list[str],
         entered=_fields(spark, rows, key, fields),
         refs=references,
     )
-    values = spark.sql("SELECT DISTINCT field_name, value FROM {entered}", entered=entered)
+    values = cut(spark.sql("SELECT DISTINCT field_name, value FROM {entered}", entered=entered))
+    references = cut(references.select("ref_id", "field_name", "canonical_value", "place_region", "other_name"))
     listed = ", ".join(map(_literal, places)) or "''"
     pick = lambda df, rule: spark.sql(f"SELECT * FROM {{df}} WHERE field_name {rule} ({listed})", df=df)
     found = spark.sql(
         "SELECT * FROM {a} UNION ALL SELECT * FROM {b}",
-        a=_few_meanings(spark, pick(values, "NOT IN"), pick(references, "NOT IN")),
-        b=_places(spark, pick(values, "IN"), pick(references, "IN")),
+        a=cut(_few_meanings(spark, pick(values, "NOT IN"), pick(references, "NOT IN"))),
+        b=cut(_places(spark, pick(values, "IN"), pick(references, "IN"))),
     )
     return spark.sql(
         f"""
