@@ -113,9 +113,16 @@ def form_of(value: Column) -> Column:
     return F.coalesce(_forms(F.when(examined(value), value)), value)
 
 
+# Letters whose full case folding isn't their lower case.
+_FOLDINGS = (("ß", "ss"), ("ς", "σ"), ("ſ", "s"), ("ŉ", "ʼn"), ("ǰ", "ǰ"), ("ΐ", "ΐ"), ("ΰ", "ΰ"), ("և", "եւ"))
+
+
 def key_of(formed: Column) -> Column:
     """Full case folding of a text already in form."""
-    return F.lower(F.upper(formed))
+    out = F.lower(formed)
+    for letter, folded in _FOLDINGS:
+        out = F.replace(out, F.lit(letter), F.lit(folded))
+    return out
 
 
 def normalise(df: DataFrame, columns: list[str]) -> DataFrame:
