@@ -13,7 +13,7 @@ from hirelake.functions import text as t
 from hirelake.functions import urls as u
 from hirelake.operators import excerpt, normalise, ordering, queue, scoring
 from hirelake.plans import sql
-from hirelake.runtime import ensure_checkpoint_dir, ship, table
+from hirelake.runtime import shared_folder, ship, table
 from hirelake.sinks.files import column_widths
 from hirelake.streaming.pool import Pool, page_statistics
 
@@ -385,21 +385,13 @@ def _stream(spark, d, name: str) -> DataFrame:
 @query
 def stream_first_seen(spark, d):
     """The pool of a stream of sightings: each posting once."""
-    folder = tempfile.mkdtemp(prefix="pool-", dir=_local_folder(spark))
+    folder = tempfile.mkdtemp(prefix="pool-", dir=shared_folder(spark))
     pool = Pool(spark, folder, "url", "seq")
     rows = _stream(spark, d, "collected").select("url", "seq", "source")
     pool.feed(rows, os.path.join(folder, "checkpoint")).awaitTermination()
     return pool.current().select("url", "source")
 
 
-def _local_folder(spark) -> str:
-    """The shared checkpoint folder as a path."""
-    folder = ensure_checkpoint_dir(spark).removeprefix("file:")
-    folder = "/" + folder.lstrip("/")
-    os.makedirs(folder, exist_ok=True)
-    return folder
-
-
 def _shipped(function: Query) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)

@@ -36,13 +36,24 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def shared_folder(spark: SparkSession) -> str | None:
+    """The checkpoint folder as a path of the file system, or None where it is elsewhere."""
+    folder = ensure_checkpoint_dir(spark)
+    if folder.startswith("file:"):
+        folder = "/" + folder.removeprefix("file:").lstrip("/")
+    if not folder.startswith("/"):
+        return None
+    os.makedirs(folder, exist_ok=True)
+    return folder
+
+
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once per Spark context."""
+    """Give the executors this package, once per Spark context; Spark serves the archive from the driver."""
     sc = spark.sparkContext
     if getattr(sc, "_hirelake_shipped", False):
         return
     root = Path(__file__).resolve().parent
-    archive = os.path.join(tempfile.mkdtemp(prefix="hirelake-"), "hirelake.zip")
+    archive = os.path.join(tempfile.mkdtemp(prefix="hirelake-", dir=shared_folder(spark)), "hirelake.zip")
     with zipfile.ZipFile(archive, "w") as out:
         for path in sorted(root.rglob("*.py")):
             out.write(path, path.relative_to(root.parent))
