@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from hirelake.llm.canonical import FUZZY_LENGTH, SYNONYMS
 from hirelake.llm.charform import LOOK_ALIKES
 
 _WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
@@ -41,9 +42,63 @@ WHERE regexp_matches(v, '{_ODD_CHARACTERS}') OR regexp_matches(v, '{_ODD_WORDS}'
 """
 
 
+def _values(rows) -> str:
+    return ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in row) + ")" for row in rows)
+
+
+_PHRASE = (
+    r"trim(regexp_replace(regexp_replace(regexp_replace(lower({v}), '\(?\b[mwdfx] ?/ ?[mwdfx] ?/ ?[mwdfx]\b\)?', ' ', 'g'),"
+    r" '[0-9]+', '0', 'g'), '[^\p{{L}}0-9]+', ' ', 'g'))"
+)
+
+
+def _plain(v: str) -> str:
+    return f"replace(replace(replace(replace({v}, 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss')"
+
+
+# DuckDB compares bytes, so letters of two bytes become one byte each first.
+_TWO_BYTES = "äöüßáàâéèêíóúñçąćęłńśźż"
+_byte = lambda v: f"translate({v}, '{_TWO_BYTES}', '{''.join(chr(65 + n) for n in range(len(_TWO_BYTES)))}')"
+_NEAR = f"(v = r OR (length(r) >= {FUZZY_LENGTH} AND damerau_levenshtein({_byte('v')}, {_byte('r')}) <= 1))"
+_DISTANCE = f"CASE WHEN v = r THEN 0 ELSE levenshtein({_byte('v')}, {_byte('r')}) END"
+_LETTERS = r"regexp_extract_all(lower({v}), '\p{{L}}+')"
+
+_CANONICAL = f"""
+WITH entered AS (
+    SELECT * FROM (
+        SELECT detail_id, 'location_raw' AS field_name, location_raw AS value FROM parsed_detail
+        UNION ALL SELECT detail_id, 'employment_type_raw', employment_type_raw FROM parsed_detail
+        UNION ALL SELECT detail_id, 'workplace_type_raw', workplace_type_raw FROM parsed_detail) x
+    WHERE regexp_matches(value, '\\S') AND NOT EXISTS (SELECT 1 FROM canonical_values c WHERE c.field_name = x.field_name AND c.canonical_value = x.value)),
+vals AS (SELECT DISTINCT field_name, value FROM entered),
+syn(name, r) AS (VALUES {_values((n, s) for n, spelled in SYNONYMS.items() for s in spelled)}),
+named AS (SELECT field_name, ref_id, r FROM canonical_values JOIN syn ON canonical_value = name
+          UNION SELECT field_name, ref_id, {_PHRASE.format(v="canonical_value")} FROM canonical_values WHERE field_name <> 'location_raw'),
+phrases AS (SELECT field_name, value, {_PHRASE.format(v="value")} AS v FROM vals WHERE field_name <> 'location_raw'),
+near AS (SELECT p.field_name, value, ref_id, {_DISTANCE} AS d FROM phrases p JOIN named n ON p.field_name = n.field_name AND {_NEAR}),
+whole AS (SELECT DISTINCT field_name, value, ref_id FROM near QUALIFY d = min(d) OVER (PARTITION BY field_name, value)),
+words AS (SELECT field_name, value, unnest(string_split(v, ' ')) AS w FROM phrases WHERE (field_name, value) NOT IN (SELECT field_name, value FROM whole)),
+by_word AS (SELECT DISTINCT w.field_name, value, ref_id FROM words w JOIN named n ON w.field_name = n.field_name AND w = r WHERE length(w) >= {FUZZY_LENGTH}),
+few AS (SELECT field_name, value, min(ref_id) AS ref_id FROM (SELECT * FROM whole UNION ALL SELECT * FROM by_word) GROUP BY 1, 2 HAVING count(DISTINCT ref_id) = 1),
+places AS (SELECT ref_id, {_LETTERS.format(v="canonical_value")} AS w, {_LETTERS.format(v="coalesce(other_name, '')")} AS o, {_LETTERS.format(v="coalesce(place_region, '')")} AS g FROM canonical_values WHERE field_name = 'location_raw'),
+parts AS (SELECT ref_id, 'name' AS kind, w[1] AS base, w[1] AS word FROM places UNION ALL SELECT ref_id, 'name', w[1], o[1] FROM places
+          UNION ALL SELECT ref_id, 'of', NULL, unnest(g) FROM places UNION ALL SELECT ref_id, 'of', NULL, w[len(w)] FROM places WHERE len(w) > 1),
+known AS (SELECT DISTINCT ref_id, kind, base, unnest([word, {_plain("word")}]) AS r FROM parts WHERE word IS NOT NULL),
+tokens AS (SELECT DISTINCT value, unnest({_LETTERS.format(v="value")}) AS v FROM vals WHERE field_name = 'location_raw'),
+spelled AS (SELECT v, r FROM (SELECT DISTINCT v FROM tokens), (SELECT DISTINCT r FROM known) WHERE {_NEAR}
+            QUALIFY {_DISTANCE} = min({_DISTANCE}) OVER (PARTITION BY v)),
+hits AS (SELECT DISTINCT value, ref_id, kind, base FROM tokens JOIN spelled USING (v) JOIN known USING (r)),
+judged AS (SELECT value, count(DISTINCT base) AS bases, count(*) AS n, count(*) FILTER (WHERE fits) AS fitting, min(ref_id) AS lone, min(ref_id) FILTER (WHERE fits) AS fit
+           FROM (SELECT DISTINCT value, ref_id, base, (value, ref_id) IN (SELECT value, ref_id FROM hits WHERE kind = 'of') AS fits FROM hits WHERE kind = 'name') GROUP BY value),
+found AS (SELECT * FROM few UNION ALL SELECT 'location_raw', value, CASE WHEN n = 1 THEN lone ELSE fit END FROM judged WHERE bases = 1 AND (n = 1 OR fitting = 1))
+SELECT DISTINCT detail_id, e.field_name, coalesce(f.ref_id, -1) AS ref_id FROM entered e LEFT JOIN found f ON e.field_name = f.field_name AND e.value = f.value
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p4_found": _ODD_FIELDS,
+        "p6_found": _CANONICAL,
         "p9_found": _EXACT_MATCHES,
         "p9_kept": f"SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM ({_EXACT_MATCHES}))",
         "p10_found": f"SELECT doc_id FROM ({_SEQUENCE_SHARES}) WHERE share >= 0.3",
