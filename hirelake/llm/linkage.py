@@ -68,6 +68,9 @@ NOISE = frozenset(
     "jobs job html http https www utm source trk mail a of for the für im bei title titel stelle position id view".split()
 )
 
+# Words of company names that say nothing about the trade.
+LEGAL_FORMS = frozenset("gmbh kg ag se ltd group co e v g m b h mbh inc aktiengesellschaft karriere deutschland".split())
+
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -176,6 +179,7 @@ class Reader:
     def read(self, title, company, location, address, employer_address):
         own = _WORD.findall(form(company).lower()) if company else []
         name = own[0] if own else None
+        trade = next((w[:4] for w in own[1:2] if w not in LEGAL_FORMS), None)
         host = employer_name(employer_address)
         role, level, subject = self.title(_WORD.findall(form(title).lower()) if title else [], name or host or "")
         place = self.places.find(_WORD.findall(form(location).lower())) if location else None
@@ -188,7 +192,7 @@ class Reader:
             place = self.places.find(_WORD.findall(form(title).lower())) if title else None
         if place is None:
             place = self.places.find(slug)
-        return role, level if role else None, subject, place, name, host
+        return role, level if role else None, subject, place, name, host, trade
 
 
 def employer_name(address: str | None) -> str | None:
@@ -198,7 +202,7 @@ def employer_name(address: str | None) -> str | None:
     return labels[-2] if len(labels) > 1 else None
 
 
-ATTRIBUTES = "role string, level string, subject string, place int, name string, host string"
+ATTRIBUTES = "role string, level string, subject string, place int, name string, host string, trade string"
 
 
 def _reading(reader):
@@ -206,11 +210,11 @@ def _reading(reader):
         read = reader.value.read
         for batch in batches:
             keys, *fields = (c.to_pylist() for c in batch.columns)
-            found = list(zip(*(read(*row) for row in zip(*fields)))) if keys else [[]] * 6
-            kinds = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string()]
+            found = list(zip(*(read(*row) for row in zip(*fields)))) if keys else [[]] * 7
+            kinds = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *(pa.array(v, k) for v, k in zip(found, kinds))],
-                names=["id", "role", "level", "subject", "place", "name", "host"],
+                names=["id", "role", "level", "subject", "place", "name", "host", "trade"],
             )
 
     return run
@@ -298,19 +302,17 @@ def _solver(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _employer_similarity() -> Column:
-    """1 for the same name, at most one edit apart; by the names given and the names in addresses."""
-    pairs = [(f"a_{x}", f"f_{y}") for x in ("name", "host") for y in ("name", "host")]
-    best = F.greatest(
-        *(
-            F.when(F.col(x) == F.col(y), 1.0)
-            .when(F.levenshtein(x, y) == 1, 0.95)
-            .when((F.levenshtein(x, y) == 2) & (F.length(x) == F.length(y)) & (F.sort_array(F.split(x, "")) == F.sort_array(F.split(y, ""))), 0.95)
-            .when(F.levenshtein(x, y) == 2, F.when(F.length(x) >= 8, 0.8).otherwise(0.4))
-            .when(F.col(x).isNotNull() & F.col(y).isNotNull(), 0.0)
-            for x, y in pairs
-        )
+    """1 for the same name; less for misspelt ones, if the trades in the names don't differ."""
+    trades = F.levenshtein("a_trade", "f_trade") > 2
+    same = lambda x, y: (F.length(x) == F.length(y)) & (F.sort_array(F.split(x, "")) == F.sort_array(F.split(y, "")))
+    best = lambda x, y: (
+        F.when(F.col(x) == F.col(y), 1.0)
+        .when((F.levenshtein(x, y) <= 2) & F.coalesce(trades, F.lit(False)), 0.0)
+        .when((F.levenshtein(x, y) == 1) | ((F.levenshtein(x, y) == 2) & same(x, y)), 0.95)
+        .when(F.levenshtein(x, y) == 2, F.when(F.length(x) >= 8, 0.8).otherwise(0.4))
+        .when(F.col(x).isNotNull() & F.col(y).isNotNull(), 0.0)
     )
-    return best
+    return F.greatest(*(best(f"a_{x}", f"f_{y}") for x in ("name", "host") for y in ("name", "host")))
 
 
 class Linkage:
@@ -325,7 +327,7 @@ class Linkage:
         titles = left.select("title").unionByName(right.select("title"))
         words = [r["word"] for r in frequent_words(titles, ["title"], LEAST_WORD_SHARE).collect()]  # 1 / share per title word
         reader = spark.sparkContext.broadcast(Reader(sorted(words), Places([tuple(r) for r in listed])))
-        columns = ["role", "level", "subject", "place", "name", "host"]
+        columns = ["role", "level", "subject", "place", "name", "host", "trade"]
         pages = left.select(F.col(left_key).alias("id"), F.xxhash64(page).alias("page"))
         mine = attributes(left, left_key, reader, F.col(left_address)).join(pages, "id")
         self.mine = cut(mine.withColumn("a", F.xxhash64("page", *columns)))
