@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from hirelake.functions import text as t
 from hirelake.functions import urls as u
-from hirelake.operators import excerpt, normalise, ordering, queue, scoring
+from hirelake.operators import excerpt, export, normalise, ordering, queue, scoring
 from hirelake.plans import sql
 from hirelake.runtime import shared_folder, ship, table
 from hirelake.sinks.files import column_widths
@@ -362,6 +362,18 @@ def export_links(spark, d):
     return table(spark, d, "parsed_detail").select("detail_id", F.coalesce(best, F.lit("")).alias("link"), t.joined(F.col("sources")).alias("role_source"))
 
 
+@query
+def export_splits(spark, d):
+    rows = export.export_rows(table(spark, d, "parsed_detail"), "detail_id", F.lit(0))
+    return export.split_counts(rows)
+
+
+@query
+def export_rows(spark, d):
+    rows = export.export_rows(table(spark, d, "parsed_detail"), "detail_id", (F.col("detail_id") % 11).cast("bigint"))
+    return rows.select("detail_id", F.col("Score").alias("score"), F.col("Role Type").alias("role_type"), F.col("Title").alias("title"), F.col("Apply Link").alias("link"))
+
+
 @query
 def export_widths(spark, d):
     rows = table(spark, d, "parsed_detail")

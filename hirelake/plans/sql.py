@@ -192,6 +192,11 @@ ORACLES = {
     "ranked_orders": "SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100",
     "lines_interleaved": "SELECT line, row_number() OVER (PARTITION BY l_suppkey ORDER BY line) AS turn, min(line) OVER (PARTITION BY l_suppkey) AS lane FROM (SELECT l_suppkey, l_orderkey * 10 + l_linenumber AS line FROM lineitem)",
     "export_links": "SELECT detail_id, coalesce(nullif(apply_url, ''), nullif(source_job_url, ''), nullif(url, ''), '') AS link, array_to_string(list_filter(sources, lambda x: x IS NOT NULL AND x <> ''), ', ') AS role_source FROM parsed_detail",
+    "export_splits": f"""WITH k AS (SELECT {_ROLE} AS kind FROM (SELECT lower(concat_ws(' ', title, employment_type_raw, description_raw)) AS x, lower(coalesce(employment_type_raw, '')) AS e FROM parsed_detail)),
+        b(workbook, kinds) AS (VALUES ('all', NULL), ('internship', ['internship']), ('working_student', ['working_student']), ('thesis', ['thesis']), ('hiwi', ['hiwi']), ('regular_or_other', ['full_time_or_regular', 'part_time_regular', 'other']))
+        SELECT workbook, (SELECT count(*) FROM k WHERE kinds IS NULL OR list_contains(kinds, kind)) AS n FROM b""",
+    "export_rows": f"""SELECT detail_id, detail_id % 11 AS score, {_ROLE} AS role_type, title, link FROM (SELECT detail_id, coalesce({strip('title')}, '') AS title, coalesce(nullif(apply_url, ''), nullif(source_job_url, ''), nullif(url, ''), '') AS link,
+        lower(concat_ws(' ', title, employment_type_raw, description_raw)) AS x, lower(coalesce(employment_type_raw, '')) AS e FROM parsed_detail)""",
     "export_widths": "SELECT c AS \"column\", greatest(10, least(42, greatest(coalesce(n, 0), length(c)) + 2)) AS width FROM (SELECT unnest(['title', 'company', 'location_raw', 'apply_url']) AS c, unnest([max(length(title)), max(length(company)), max(length(location_raw)), max(length(apply_url))]) AS n FROM parsed_detail)",
     "event_outcomes": "SELECT user_id, count(*) AS pages, count(DISTINCT event_type) AS kinds, min(ts) AS first, max(ts) AS last FROM events GROUP BY user_id",
     "stream_first_seen": "SELECT url, source FROM collected WHERE url IS NOT NULL QUALIFY row_number() OVER (PARTITION BY url ORDER BY seq) = 1",
