@@ -14,6 +14,10 @@ LINE_END = r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\x85\u2028\u2029]"
 FOLDED = (("ä", "ae"), ("ö", "oe"), ("ü", "ue"), ("ß", "ss"))
 
 
+# The same characters one by one, for functions that are faster than patterns.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def blank_to_null(value: Column) -> Column:
     return F.when(value != "", value)
 
@@ -107,7 +111,8 @@ NAVIGATION = (
 
 
 def clean_lines(value: Column) -> Column:
-    return F.filter(lines(value), lambda x: ~F.lower(x).isin(*NAVIGATION))
+    phrases = F.array(*map(F.lit, NAVIGATION))
+    return F.filter(lines(value), lambda x: ~F.array_contains(phrases, F.lower(x)))
 
 
 # Where a description begins, and what follows it on a page.
@@ -124,11 +129,8 @@ NOISE_MARKERS = (
     "More jobs", "Ähnliche Jobs", "Weitere Jobs", "Empfohlene Jobs",
 )
 
-_ENDS = f"^{SPACE}+|{SPACE}+$"
-
-
 def strip(value: Column) -> Column:
-    return F.regexp_replace(value, _ENDS, "")
+    return F.btrim(value, F.lit(SPACES))
 
 
 def _with(value: Column, body) -> Column:

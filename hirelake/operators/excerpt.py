@@ -38,7 +38,7 @@ SIGNALS = (
 def _any(line: Column, words: tuple[str, ...]) -> Column:
     """Whether a line holds one of the words; one pass over it."""
     escaped = "|".join("".join("\\" + c if c in "+.*?()[]{}|^$\\" else c for c in w) for w in words)
-    return fold(line).rlike(escaped)
+    return line.rlike(escaped)
 
 
 def sections(parts: Column) -> Column:
@@ -51,31 +51,50 @@ def sections(parts: Column) -> Column:
         F.array().cast("array<string>").alias("kept"), F.lit(False).alias("inside"), F.lit(False).alias("seen")
     )
 
-    def step(s: Column, line: Column) -> Column:
+    def marks(line: Column) -> Column:
+        """What a line is, found once per line."""
         heading = F.length(line) <= HEADING_LENGTH
-        keep = heading & _any(line, KEEP_HEADINGS)
-        stop = heading & _any(line, STOP_HEADINGS) & s["seen"] & ~keep
-        inside = keep | (s["inside"] & ~stop)
-        stays = inside | (~stop & _any(line, SIGNALS))
+        folded = lambda words: _with(fold(line), lambda f: _any(f, words))
         return F.struct(
-            F.when(stays, F.concat(s["kept"], F.array(line))).otherwise(s["kept"]).alias("kept"),
+            line.alias("line"),
+            (heading & folded(KEEP_HEADINGS)).alias("keep"),
+            (heading & folded(STOP_HEADINGS)).alias("stop"),
+            folded(SIGNALS).alias("signal"),
+        )
+
+    def step(s: Column, x: Column) -> Column:
+        stop = x["stop"] & s["seen"] & ~x["keep"]
+        inside = x["keep"] | (s["inside"] & ~stop)
+        return F.struct(
+            F.when(inside | (~stop & x["signal"]), F.concat(s["kept"], F.array(x["line"]))).otherwise(s["kept"]).alias("kept"),
             inside.alias("inside"),
-            (s["seen"] | keep).alias("seen"),
+            (s["seen"] | x["keep"]).alias("seen"),
         )
 
-    return F.aggregate(parts, state, step, lambda s: s["kept"])
+    return F.aggregate(F.transform(parts, marks), state, step, lambda s: s["kept"])
+
+
+def _with(value: Column, body) -> Column:
+    """body(value) with value computed once."""
+    return F.get(F.transform(F.array(value), body), 0)
 
 
 def excerpt(text: Column) -> Column:
     """The kept lines; all lines where they have fewer than LEAST_CHARACTERS characters."""
-    parts = lines(text)
-    kept = F.array_join(sections(parts), "\n")
-    return F.when(F.length(kept) < LEAST_CHARACTERS, F.array_join(parts, "\n")).otherwise(kept)
+
+    def choose(parts: Column) -> Column:
+        kept = F.array_join(sections(parts), "\n")
+        return _with(kept, lambda k: F.when(F.length(k) < LEAST_CHARACTERS, F.array_join(parts, "\n")).otherwise(k))
+
+    return _with(lines(text), choose)
 
 
 def compact(text: Column) -> Column:
     """The excerpt within the budget, cut after a whole line where there is one; null for null and empty."""
-    body = excerpt(text)
-    head = F.left(body, F.lit(MOST_CHARACTERS))
-    short = F.when(head.contains("\n"), F.regexp_replace(head, r"\n[^\n]*$", "")).otherwise(head)
-    return F.when(text != "", F.when(F.length(body) <= MOST_CHARACTERS, body).otherwise(short))
+
+    def fit(body: Column) -> Column:
+        head = F.left(body, F.lit(MOST_CHARACTERS))
+        short = F.when(head.contains("\n"), F.regexp_replace(head, r"\n[^\n]*$", "")).otherwise(head)
+        return F.when(F.length(body) <= MOST_CHARACTERS, body).otherwise(short)
+
+    return F.when(text != "", _with(excerpt(text), fit))

@@ -13,7 +13,7 @@ from hirelake.functions import text as t
 from hirelake.functions import urls as u
 from hirelake.operators import excerpt, export, normalise, ordering, queue, scoring
 from hirelake.plans import sql
-from hirelake.runtime import shared_folder, ship, table
+from hirelake.runtime import shared_folder, ship, spread, table
 from hirelake.sinks.files import column_widths
 from hirelake.streaming.pool import Pool, page_statistics
 
@@ -26,6 +26,11 @@ def query(function: Query) -> Query:
     return function
 
 
+def _texts(spark, d, name: str, *columns: str) -> DataFrame:
+    """Some columns of a table whose texts cost more to work on than to move."""
+    return spread(table(spark, d, name).select(*columns))
+
+
 @query
 def sightings_by_source(spark, d):
     """Sightings and distinct postings by source."""
@@ -188,19 +193,19 @@ def search_keywords(spark, d):
 
 @query
 def normalised_texts(spark, d):
-    return table(spark, d, "parsed_detail").select("detail_id", F.md5(t.normalize(F.col("description_raw"))).alias("digest"), t.normalize(F.col("title")).alias("title"))
+    return _texts(spark, d, "parsed_detail", "detail_id", "title", "description_raw").select("detail_id", F.md5(t.normalize(F.col("description_raw"))).alias("digest"), t.normalize(F.col("title")).alias("title"))
 
 
 @query
 def cleaned_lines(spark, d):
-    rows = table(spark, d, "parsed_detail")
+    rows = _texts(spark, d, "parsed_detail", "detail_id", "description_raw")
     found = t.clean_lines(F.col("description_raw"))
     return rows.select("detail_id", F.size(found).cast("bigint").alias("n"), F.md5(F.array_join(found, "\n")).alias("digest"))
 
 
 @query
 def trimmed_descriptions(spark, d):
-    rows = table(spark, d, "parsed_detail")
+    rows = _texts(spark, d, "parsed_detail", "detail_id", "description_raw")
     body = F.concat_ws("\n", F.lit("Deine Aufgaben"), "description_raw", F.lit("Weitere Jobs you may like"))
     return rows.select(
         "detail_id",
@@ -213,12 +218,12 @@ def trimmed_descriptions(spark, d):
 @query
 def inferred_types(spark, d):
     workplace, employment = t.inferred_types(F.col("description_raw"))
-    return table(spark, d, "parsed_detail").select("detail_id", workplace.alias("workplace"), employment.alias("employment"))
+    return _texts(spark, d, "parsed_detail", "detail_id", "description_raw").select("detail_id", workplace.alias("workplace"), employment.alias("employment"))
 
 
 @query
 def normalised_records(spark, d):
-    rows = normalise.normalised(table(spark, d, "parsed_detail"))
+    rows = normalise.normalised(spread(table(spark, d, "parsed_detail")))
     return rows.select("detail_id", "url", F.array_join("sources", ",").alias("sources"), "workplace_type_raw", "employment_type_raw", F.array_join("search_keywords", "|").alias("search_keywords"))
 
 
@@ -227,7 +232,7 @@ def header_repair(spark, d):
     """Records of one board repaired from header lines that are put before every description."""
     head = F.concat_ws("\n", F.coalesce("company", F.lit("Firma")), F.coalesce("source", F.lit("x")), F.concat(F.lit("Ort · "), "detail_id", F.lit(" days ago")), "description_raw")
     found = normalise.header_fields(head)
-    return table(spark, d, "parsed_detail").select("detail_id", found[0].alias("company"), found[1].alias("title"), found[2].alias("location"))
+    return _texts(spark, d, "parsed_detail", "detail_id", "company", "source", "description_raw").select("detail_id", found[0].alias("company"), found[1].alias("title"), found[2].alias("location"))
 
 
 @query
@@ -238,12 +243,12 @@ def parse_counts(spark, d):
 
 @query
 def section_excerpts(spark, d):
-    return table(spark, d, "parsed_detail").select("detail_id", F.md5(excerpt.excerpt(F.col("description_raw"))).alias("digest"))
+    return _texts(spark, d, "parsed_detail", "detail_id", "description_raw").select("detail_id", F.md5(excerpt.excerpt(F.col("description_raw"))).alias("digest"))
 
 
 @query
 def compact_descriptions(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", excerpt.compact(F.col("text")).alias("c"))
+    rows = _texts(spark, d, "documents", "doc_id", "text").select("doc_id", excerpt.compact(F.col("text")).alias("c"))
     return rows.select("doc_id", F.length("c").cast("bigint").alias("n"), F.md5("c").alias("digest"))
 
 
@@ -262,7 +267,7 @@ def role_kinds(spark, d):
 @query
 def marker_votes(spark, d):
     phrases = "element_at(array('', 'Wir suchen dich. Deine Aufgaben', 'About the role: requirements', 'Studium und requirements', 'Kenntnisse'), CAST(doc_id % 5 AS INT) + 1)"
-    rows = table(spark, d, "documents").select("lang", F.concat_ws("\n", "text", F.expr(phrases)).alias("text"))
+    rows = _texts(spark, d, "documents", "doc_id", "lang", "text").select("lang", F.concat_ws("\n", "text", F.expr(phrases)).alias("text"))
     return rows.groupBy("lang", t.marker_vote(F.col("text")).alias("vote")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -270,7 +275,7 @@ def marker_votes(spark, d):
 def first_matches(spark, d):
     """The first of ordered literals and of ordered patterns."""
     text = t.normalize(F.col("text"))
-    rows = table(spark, d, "documents").select(
+    rows = _texts(spark, d, "documents", "text").select(
         t.first_literal(text, ("python", "sql", "java", "daten", "data")).alias("literal"),
         t.first_pattern(text, (r"[0-9]+ (monaten|months)", r"haus [0-9]+", r"building [0-9]+")).alias("pattern"),
     )
