@@ -230,17 +230,10 @@ def host_of(url: Column) -> Column:
 
 
 def frequent_words(df: DataFrame, columns: list[str], least_share: float = LEAST_WORD_SHARE) -> DataFrame:
-    """Words on at least that share of rows; words per row / least_share at most."""
+    """Words on at least that share of rows, and on 3; words per row / least_share at most."""
     words = F.array_distinct(F.regexp_extract_all(F.lower(F.concat_ws(" ", *columns)), F.lit(r"(\p{L}+)"), 1))
-    total = df.select(F.greatest(F.count(F.lit(1)) * least_share, F.lit(3)).alias("least"))
-    return (
-        df.select(F.explode(words).alias("word"))
-        .groupBy("word")
-        .agg(F.count(F.lit(1)).alias("rows"))
-        .crossJoin(F.broadcast(total))  # one row
-        .where(F.col("rows") >= F.col("least"))
-        .select("word")
-    )
+    counted = df.select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("rows"))
+    return counted.where(F.col("rows") >= max(df.count() * least_share, 3)).select("word")
 
 
 class SiteTemplates:
