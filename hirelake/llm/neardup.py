@@ -141,10 +141,8 @@ class NearDuplicates:
         self.links = cut(self._links())
 
     def _candidates(self, reps: DataFrame) -> DataFrame:
-        bands = F.transform(
-            F.sequence(F.lit(0), F.lit(BANDS - 1)),
-            lambda i: F.hash(i, F.substring("signature", i * ROWS + 1, F.lit(ROWS))),
-        )
+        # Written out, not a lambda: only then both sides of the join share one exchange.
+        bands = F.array(*(F.hash(F.lit(i), F.substring("signature", i * ROWS + 1, ROWS)) for i in range(BANDS)))
         rows = reps.select("id", F.explode(bands).alias("band"))
         return (
             rows.select("band", F.col("id").alias("a"))
