@@ -141,7 +141,7 @@ class NearDuplicates:
         self.links = cut(self._links())
 
     def _candidates(self, reps: DataFrame) -> DataFrame:
-        # Written out, not a lambda: only then both sides of the join share one exchange.
+        # Written out so that it is compiled; both sides of the join below are still shuffled each.
         bands = F.array(*(F.hash(F.lit(i), F.substring("signature", i * ROWS + 1, ROWS)) for i in range(BANDS)))
         rows = reps.select("id", F.explode(bands).alias("band"))
         return (
