@@ -4,8 +4,10 @@
    place and employer names. Misspelt words are corrected against bounded vocabularies (role and level
    words, title words on at least `LEAST_WORD_SHARE` of rows, the words of the place list). What title
    or place don't say is taken from the words of the address.
-2. Pairs that agree in all attributes but one are candidates: the employer may be spelt differently,
-   any other attribute must be missing on one side. All are equi-joins on hashes.
+2. Pairs that agree in all attributes but one are candidates: the employer may be missing, any other
+   attribute must be missing on one side; the employer may be spelt differently in either case. All
+   are equi-joins on hashes. Employers spelt differently are found among the distinct names, by the
+   forms that two deletions leave of their beginnings.
 3. Every candidate has a variable between 0 and 1. Weighted rules become hinge losses: an agreeing
    attribute supports the match, a disagreeing one speaks against it, no match is the default; one
    posting has one job (exclusivity: its variables sum to 1 at most); two readings of one page are the
@@ -38,6 +40,8 @@ from hirelake.runtime import cut, spread
 LEAST_WORD_SHARE = 0.01
 MOST_PLACES = 200_000
 LEAST_CONFIDENCE = 0.6
+#: Names two edits apart share a form of so many first letters with two left out at most.
+NAME_START = 8
 
 # One word or two per role, English first, then German.
 ROLES = {
@@ -315,6 +319,24 @@ def _employer_similarity() -> Column:
     return F.greatest(*(best(f"a_{x}", f"f_{y}") for x in ("name", "host") for y in ("name", "host")))
 
 
+def _deletions(name: Column) -> Column:
+    """The first letters of a name with none, one and two of them left out, but never all."""
+    without = lambda x: F.transform(F.sequence(F.lit(1), F.length(x)), lambda n: F.concat(F.substring(x, F.lit(1), n - 1), F.substr(x, n + 1)))
+    start = F.substring(name, 1, NAME_START)
+    one = F.filter(without(start), lambda x: x != "")
+    two = F.flatten(F.transform(one, without))
+    return F.filter(F.array_distinct(F.concat(F.array(start), one, two)), lambda x: x != "")
+
+
+def near_names(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(a_who, who) of every distinct name of left and name of right at most two edits from it."""
+    sides = [
+        df.select("who").where(F.col("who") != "").distinct().withColumn("part", F.explode(_deletions(F.col("who")))).withColumnRenamed("who", name)
+        for df, name in ((left, "a_who"), (right, "who"))
+    ]
+    return sides[0].join(sides[1], "part").where(F.levenshtein("a_who", "who") <= 2).select("a_who", "who").distinct()
+
+
 class Linkage:
     """Jobs of two tables: left has many readings of pages, right one row per listed job."""
 
@@ -347,10 +369,13 @@ class Linkage:
             ("role", lambda s: (F.col("who"), F.col(f"{s}_subject"), F.col(f"{s}_place")), True),
         ]
         found = None
+        employed = {"a": a.withColumn("a_who", who("a")), "f": f.withColumn("who", who("f"))}
+        near = cut(near_names(employed["a"].select(F.col("a_who").alias("who")), employed["f"]))
+        employed["a"] = employed["a"].join(near, "a_who").drop("a_who")  # by the names that the feed has
         for left_out, keys, with_employer in blocks:
             sides = []
             for s, df in (("a", a), ("f", f)):
-                df = df.withColumn("who", who(s)) if with_employer else df
+                df = employed[s] if with_employer else df
                 known = [k.isNotNull() for k in keys(s)]
                 for condition in known:
                     df = df.where(condition)

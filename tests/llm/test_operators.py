@@ -350,6 +350,45 @@ def test_linkage(spark):
     assert link(a.where("false"), b).count() == 0 and link(a, b.where("false")).count() == 0
 
 
+def linked(spark, left, right):
+    columns = "title string, company string, location_raw string, source_job_url string"
+    a = spark.createDataFrame([(n, f"https://b.example/{n}", None, *row) for n, row in enumerate(left)], f"detail_id bigint, url string, apply_url string, {columns}")
+    b = spark.createDataFrame([(n, *row) for n, row in enumerate(right)], f"feed_id bigint, {columns}")
+    p = spark.createDataFrame([(1, "Zöllbrück", "Auental", None), (2, "Tarnheim", "Nordwiek", None)], "ref_id int, canonical_value string, place_region string, other_name string")
+    got = linkage.Linkage(a, "detail_id", "url", "apply_url", b, "feed_id", p).matches().collect()
+    return sorted((r["detail_id"], r["feed_id"]) for r in got)
+
+
+def test_misspelt_employers_meet_where_another_attribute_is_missing(spark):
+    left = [
+        ("Editor Retail Security", "Zelvdan Druck SE", None, None),
+        ("Retail Security", "Zlevadan Druck SE", "Zöllbrück", None),
+        ("Editor", "Zelvadann Druck SE", "Zöllbrück", None),
+        ("Editor Retail Security", "Zelvdan Robotik SE", None, None),
+        ("Editor Retail Security", "Otherfirm AG", None, None),
+        *[(f"Clerk {s}", "Firmazz GmbH", "Tarnheim", None) for s in ("Retail Security", "Fleet Backend")],
+    ]
+    right = [("Editor Retail Security", "Zelvadan Druck SE", "Zöllbrück", None), ("Clerk Fleet Backend", "Zelvadan Druck SE", "Zöllbrück", None)]
+    assert linked(spark, left, right) == [(0, 0), (1, 0), (2, 0)]
+
+
+def test_near_names_equal_brute_force(spark):
+    rng = random.Random(9)
+    names = {"".join(rng.choice("abc") for _ in range(rng.randint(1, 5))) for _ in range(60)}
+    for word in ("zelvadandruck", "tracrolith", "müllerei"):
+        for _ in range(40):
+            letters = list(word)
+            for _ in range(rng.randint(1, 3)):
+                n = rng.randrange(len(letters))
+                letters[n : n + 1] = rng.choice(([], ["x"], [letters[n], "y"]))
+            names.add("".join(letters))
+    df = spark.createDataFrame([(n,) for n in sorted(names)], "who string")
+    far = df.withColumnRenamed("who", "a_who").crossJoin(df).where("levenshtein(a_who, who) <= 2")
+    want = {(r[0], r[1]) for r in far.collect()}
+    got = {(r[0], r[1]) for r in linkage.near_names(df, df).collect()}
+    assert got <= want and all(len(set(a) & set(b)) == 0 for a, b in want - got)
+
+
 def test_alternating_directions_find_the_optimum():
     similar, weight = np.array([[1.0, 1.0], [1.0, 0.0], [1.0, 1.0], [1.0, 1.0]]), np.full((4, 2, 2), 1.0)
     weight[..., 1] = 4
