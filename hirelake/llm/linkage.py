@@ -2,12 +2,16 @@
 
 1. Titles, companies, places and addresses of both sides become attributes: role, level, subject,
    place and employer names. Misspelt words are corrected against bounded vocabularies (role and level
-   words, title words on at least `LEAST_WORD_SHARE` of rows, the words of the place list). What title
-   or place don't say is taken from the words of the address.
+   words, title words on at least `LEAST_WORD_SHARE` of rows, the words of the place list). The subject
+   is every title word that is none of the others, nor a slot of a template; rare ones are corrected by
+   a join to the only word one edit away that is `OFTENER` times as frequent. What title or place don't
+   say is taken from the words of the address.
 2. Pairs that agree in all attributes but one are candidates: the employer may be missing, any other
    attribute must be missing on one side; the employer may be spelt differently in either case. All
    are equi-joins on hashes. Employers spelt differently are found among the distinct names, by the
-   forms that two deletions leave of their beginnings.
+   forms that a deletion leaves of their beginnings: one letter amiss or two swapped; two amiss are too
+   little to go by where another attribute is missing. Subjects meet by any two of their words and agree
+   in part where one of them says more than the other.
 3. Every candidate has a variable between 0 and 1. Weighted rules become hinge losses: an agreeing
    attribute supports the match, a disagreeing one speaks against it, no match is the default; one
    posting has one job (exclusivity: its variables sum to 1 at most); two readings of one page are the
@@ -19,7 +23,7 @@ Copies (equal attributes on one page; equal attributes in the feed) are one read
 until the result is written out per pair of rows.
 
 Defined results: null and empty fields say nothing; records of which two or more attributes are
-unknown match nothing; repeated rows match like their originals; empty tables give no rows; extra
+unknown match nothing; more than `MOST_SUBJECT_WORDS` words are a text, not a subject; repeated rows match like their originals; empty tables give no rows; extra
 columns are ignored.
 """
 
@@ -35,12 +39,15 @@ from pyspark.sql import functions as F
 
 from hirelake.llm.boilerplate import frequent_words
 from hirelake.llm.charform import form
+from hirelake.llm.residue import PLACEHOLDER
 from hirelake.runtime import cut, spread
 
 LEAST_WORD_SHARE = 0.01
 MOST_PLACES = 200_000
 LEAST_CONFIDENCE = 0.6
-#: Names two edits apart share a form of so many first letters with two left out at most.
+OFTENER = 3
+MOST_SUBJECT_WORDS = 40
+#: Names one edit apart share a form of so many first letters with one left out at most.
 NAME_START = 8
 
 # One word or two per role, English first, then German.
@@ -76,6 +83,9 @@ NOISE = frozenset(
 LEGAL_FORMS = frozenset("gmbh kg ag se ltd group co e v g m b h mbh inc aktiengesellschaft karriere deutschland".split())
 
 _WORD = re.compile(r"[^\W\d_]+")
+#: The global flags of the slots' rules hold for their own groups only.
+_SLOT = re.compile(PLACEHOLDER.replace("(?iu:", "(?i:"))
+_ADDRESS_PARTS = re.compile(r"[/?&=.#]|--+")
 
 
 def _plain(word: str) -> str:
@@ -106,6 +116,7 @@ class Spelling(dict):
         super().__init__()
         self.known, self.shortest, self.most = frozenset(words), shortest, most
         self.near: dict[str, list[str]] = {}
+        self.unclear: set[str] = set()
         for word in sorted(self.known):
             for key in {word, *_shorter(word)} if len(word) >= shortest else ():
                 self.near.setdefault(key, []).append(word)
@@ -113,11 +124,14 @@ class Spelling(dict):
     def __missing__(self, word: str) -> str:
         if len(self) >= self.most:
             self.clear()
+            self.unclear.clear()
         found = word
         if word not in self.known and len(word) >= self.shortest - 1:
             near = {k for key in {word, *_shorter(word)} for k in self.near.get(key, ()) if one_edit(word, k)}
             if len(near) == 1:
                 found = near.pop()
+            elif near:
+                self.unclear.add(word)
         self[word] = found
         return found
 
@@ -166,36 +180,57 @@ class Reader:
         self.pairs = {tuple(name.split()): name for name in ROLES if " " in name}
         self.level = {word: name for name, words in LEVELS.items() for word in words}
         parts = {w for pair in self.pairs for w in pair}
-        taken = {*self.role, *self.level, *parts, *NOISE, *places.bases, *places.of}
-        self.subjects = frozenset(w for w in frequent if w not in taken and len(w) > 2)
+        self.taken = frozenset({*self.role, *self.level, *parts, *NOISE, *places.bases, *places.of})
+        self.subjects = frozenset(w for w in frequent if w not in self.taken and len(w) > 2)
         self.spelling = Spelling([*self.role, *self.level, *parts, *self.subjects])
 
-    def title(self, words: list[str], employer: str) -> tuple[str | None, str, str | None]:
+    def _subject(self, words: list[str], names: set[str], own: list[str]) -> list[str]:
+        """The words that are neither role, level, place nor noise, nor name the employer or the board."""
+        found: dict[str, None] = {}
+        follow: list[str] = []
+        for word in words:
+            if any(one_edit(word, n) if len(n) >= 5 else word == n for n in names):
+                follow = own[1:]
+            elif follow and word == follow[0]:
+                follow = follow[1:]
+            else:
+                follow, spelled = [], self.spelling[word]
+                if word in self.spelling.unclear:
+                    return []  # one of several known words, but not known which
+                if len(word) > 2 and spelled not in self.taken and self.places.spelling[word] not in self.taken:
+                    found[spelled] = None
+        return sorted(found) if len(found) <= MOST_SUBJECT_WORDS else []
+
+    def title(self, words: list[str], names: set[str], own: list[str]) -> tuple[str | None, str, str | None]:
         """(role, level, subject)."""
-        words = [self.spelling[w] for w in words if w != employer]
+        subject = self._subject(words, names, own)
+        words = [self.spelling[w] for w in words if w not in names]
         role = next((self.pairs[p] for p in zip(words, words[1:]) if p in self.pairs), None) or next(
             (self.role[w] for w in words if w in self.role), None
         )
         level = next((self.level[w] for w in words if w in self.level), "")
-        subject = list(dict.fromkeys(w for w in words if w in self.subjects))
-        return role, level, " ".join(subject[:3]) if len(subject) >= 2 else None
+        return role, level, " ".join(subject) or None
 
     def read(self, title, company, location, address, employer_address):
         own = _WORD.findall(form(company).lower()) if company else []
         name = own[0] if own else None
         trade = next((w[:4] for w in own[1:2] if w not in LEGAL_FORMS), None)
         host = employer_name(employer_address)
-        role, level, subject = self.title(_WORD.findall(form(title).lower()) if title else [], name or host or "")
+        names = {n for n in (name, host, employer_name(address)) if n}
+        words = _WORD.findall(_SLOT.sub(" ", form(title)).lower()) if title else []
+        role, level, subject = self.title(words, names, own)
         place = self.places.find(_WORD.findall(form(location).lower())) if location else None
-        slug = _WORD.findall(re.sub(r"^[a-z]+://[^/]*", "", (address or "").lower()))
+        path = re.sub(r"^[a-z]+://[^/]*", "", (address or "").lower())
         if role is None or subject is None:
-            slug_role, slug_level, slug_subject = self.title(slug, _plain(name or host or ""))
-            if slug_role and slug_subject:
-                role, level, subject = slug_role, slug_level, slug_subject
+            for part in _ADDRESS_PARTS.split(path):
+                slug_role, slug_level, slug_subject = self.title(_WORD.findall(part), {_plain(n) for n in names}, [_plain(w) for w in own])
+                if slug_role and slug_subject:
+                    role, level, subject = slug_role, slug_level, slug_subject
+                    break
         if place is None:
             place = self.places.find(_WORD.findall(form(title).lower())) if title else None
         if place is None:
-            place = self.places.find(slug)
+            place = self.places.find(_WORD.findall(path))
         return role, level if role else None, subject, place, name, host, trade
 
 
@@ -319,22 +354,69 @@ def _employer_similarity() -> Column:
     return F.greatest(*(best(f"a_{x}", f"f_{y}") for x in ("name", "host") for y in ("name", "host")))
 
 
+def _subject_similarity() -> Column:
+    """1 for the same words, less where one side has two or more and the other has more; NaN: unknown."""
+    a, f = F.split("a_subject", " "), F.split("f_subject", " ")
+    common = F.size(F.array_intersect(a, f))
+    return (
+        F.when(F.col("a_subject").isNull() | F.col("f_subject").isNull(), F.lit(float("nan")))
+        .when(F.col("a_subject") == F.col("f_subject"), 1.0)
+        .when((common >= 2) & (common == F.least(F.size(a), F.size(f))), 0.9)
+        .otherwise(0.0)
+    )
+
+
+def _subject_keys(subject: Column) -> Column:
+    """The only word, or any two of the words."""
+    words = F.split(subject, " ")
+    pairs = F.flatten(F.transform(words, lambda x: F.transform(F.filter(words, lambda y: y > x), lambda y: F.concat(x, F.lit(" "), y))))
+    return F.when(F.size(words) == 1, words).otherwise(pairs)
+
+
+def _corrections(sides: list[DataFrame], known: DataFrame) -> DataFrame:
+    """(subject, spelled) of the subjects that hold a rare word and a much more frequent one is one edit from it."""
+    subjects = sides[0].select("subject").unionByName(sides[1].select("subject")).where(F.col("subject").isNotNull())
+    of = subjects.select("subject", F.explode(F.split("subject", " ")).alias("word"))
+    counted = cut(of.groupBy("word").agg(F.count(F.lit(1)).alias("rows")).where(F.length("word") >= 4))
+    rare = counted.join(F.broadcast(known), "word", "left_anti")
+    part = lambda df: df.withColumn("part", F.explode(_deletions(F.col("word"))))
+    better = part(counted.where(F.length("word") >= 5)).select("part", F.col("word").alias("as"), F.col("rows").alias("more"))
+    found = (
+        part(rare)
+        .join(better, "part")
+        .where((F.col("more") >= OFTENER * F.col("rows")) & (F.col("word") != F.col("as")) & _one_edit("word", "as"))
+        .groupBy("word")
+        .agg(F.collect_set("as").alias("as"))
+        .where(F.size("as") == 1)
+        .select("word", F.col("as")[0].alias("as"))
+    )
+    wrong = of.distinct().join(found, "word").groupBy("subject").agg(F.map_from_entries(F.collect_list(F.struct("word", "as"))).alias("as"))
+    words = F.transform(F.split("subject", " "), lambda w: F.coalesce(F.col("as")[w], w))
+    return wrong.select("subject", F.array_join(F.array_sort(F.array_distinct(words)), " ").alias("spelled"))
+
+
 def _deletions(name: Column) -> Column:
-    """The first letters of a name with none, one and two of them left out, but never all."""
-    without = lambda x: F.transform(F.sequence(F.lit(1), F.length(x)), lambda n: F.concat(F.substring(x, F.lit(1), n - 1), F.substr(x, n + 1)))
+    """The first letters of a name, and with one of them left out, but never all."""
     start = F.substring(name, 1, NAME_START)
-    one = F.filter(without(start), lambda x: x != "")
-    two = F.flatten(F.transform(one, without))
-    return F.filter(F.array_distinct(F.concat(F.array(start), one, two)), lambda x: x != "")
+    places = F.sequence(F.lit(1), F.length(start))
+    one = F.transform(places, lambda n: F.concat(F.substring(start, F.lit(1), n - 1), F.substr(start, n + 1)))
+    return F.filter(F.array_distinct(F.concat(F.array(start), one)), lambda x: x != "")
+
+
+def _one_edit(x: str, y: str) -> Column:
+    """At most one letter replaced, added or left out, or two swapped."""
+    same = F.sort_array(F.split(x, "")) == F.sort_array(F.split(y, ""))
+    distance = F.levenshtein(x, y)
+    return (distance <= 1) | ((distance == 2) & (F.length(x) == F.length(y)) & same)
 
 
 def near_names(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(a_who, who) of every distinct name of left and name of right at most two edits from it."""
+    """(a_who, who) of every distinct name of left and name of right at most one edit from it."""
     sides = [
         df.select("who").where(F.col("who") != "").distinct().withColumn("part", F.explode(_deletions(F.col("who")))).withColumnRenamed("who", name)
         for df, name in ((left, "a_who"), (right, "who"))
     ]
-    return sides[0].join(sides[1], "part").where(F.levenshtein("a_who", "who") <= 2).select("a_who", "who").distinct()
+    return sides[0].join(sides[1], "part").where(_one_edit("a_who", "who")).select("a_who", "who").distinct()
 
 
 class Linkage:
@@ -352,9 +434,13 @@ class Linkage:
         columns = ["role", "level", "subject", "place", "name", "host", "trade"]
         pages = left.select(F.col(left_key).alias("id"), F.xxhash64(page).alias("page"))
         mine = attributes(left, left_key, reader, F.col(left_address)).join(pages, "id")
-        self.mine = cut(mine.withColumn("a", F.xxhash64("page", *columns)))
-        theirs = attributes(right, right_key, reader, F.col("source_job_url"))
-        self.theirs = cut(theirs.withColumn("f", F.xxhash64(*columns)))
+        theirs = cut(attributes(right, right_key, reader, F.col("source_job_url")))
+        mine = cut(mine)
+        known = spark.createDataFrame([(w,) for w in words], "word string")
+        spelled = cut(_corrections([mine, theirs], known))
+        correct = lambda df: df.join(spelled, "subject", "left").withColumn("subject", F.coalesce("spelled", "subject")).drop("spelled")
+        self.mine = cut(correct(mine).withColumn("a", F.xxhash64("page", *columns)))
+        self.theirs = cut(correct(theirs).withColumn("f", F.xxhash64(*columns)))
         self.columns = columns
 
     def _candidates(self) -> DataFrame:
@@ -363,10 +449,10 @@ class Linkage:
         who = lambda s: F.explode(F.array_distinct(F.array_compact(F.array(f"{s}_name", f"{s}_host"))))
         what = lambda s: (F.col(f"{s}_role"), F.col(f"{s}_level"))
         blocks = [
-            ("employer", lambda s: (*what(s), F.col(f"{s}_subject"), F.col(f"{s}_place")), False),
-            ("place", lambda s: (F.col("who"), *what(s), F.col(f"{s}_subject")), True),
+            ("employer", lambda s: (*what(s), F.col("words"), F.col(f"{s}_place")), False),
+            ("place", lambda s: (F.col("who"), *what(s), F.col("words")), True),
             ("subject", lambda s: (F.col("who"), *what(s), F.col(f"{s}_place")), True),
-            ("role", lambda s: (F.col("who"), F.col(f"{s}_subject"), F.col(f"{s}_place")), True),
+            ("role", lambda s: (F.col("who"), F.col("words"), F.col(f"{s}_place")), True),
         ]
         found = None
         employed = {"a": a.withColumn("a_who", who("a")), "f": f.withColumn("who", who("f"))}
@@ -376,15 +462,20 @@ class Linkage:
             sides = []
             for s, df in (("a", a), ("f", f)):
                 df = employed[s] if with_employer else df
+                df = df.withColumn("words", F.explode(_subject_keys(F.col(f"{s}_subject")))) if left_out != "subject" else df
                 known = [k.isNotNull() for k in keys(s)]
                 for condition in known:
                     df = df.where(condition)
-                sides.append(df.withColumn("block", F.xxhash64(*keys(s))).drop("who"))
+                sides.append(df.withColumn("block", F.xxhash64(*keys(s))).drop("who", "words"))
             pairs = sides[0].join(sides[1], "block").drop("block")
+            if left_out != "subject":
+                pairs = pairs.where(_subject_similarity() > 0)
             if left_out != "employer":
                 pairs = pairs.where(F.col(f"a_{left_out}").isNull() | F.col(f"f_{left_out}").isNull())
             found = pairs if found is None else found.unionByName(pairs)
         equal = lambda x, y: F.when(F.col(x).isNull() | F.col(y).isNull(), F.lit(float("nan"))).otherwise((F.col(x) == F.col(y)).cast("double"))
+        # listings that only add to what a posting says are one job to it
+        said = F.array_join(F.array_intersect(F.split("f_subject", " "), F.split("a_subject", " ")), " ")
         return (
             found.dropDuplicates(["a", "f"])
             .withColumn("employer", F.coalesce(_employer_similarity(), F.lit(float("nan"))))
@@ -393,10 +484,10 @@ class Linkage:
                     F.when(F.col("a_role").isNull() | F.col("f_role").isNull(), F.lit(float("nan"))).otherwise(F.lit(0.0))
                 )
             )
-            .withColumn("subject", equal("a_subject", "f_subject"))
+            .withColumn("subject", _subject_similarity())
             .withColumn("place", equal("a_place", "f_place"))
             .where(F.isnan("employer") | (F.col("employer") > 0))
-            .withColumn("job", F.xxhash64("f_role", "f_level", "f_subject", "f_place"))
+            .withColumn("job", F.xxhash64("f_role", "f_level", F.coalesce(said, "f_subject"), "f_place"))
             .select("page", "a", "f", "job", *WEIGHTS)
         )
 
