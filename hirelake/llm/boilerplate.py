@@ -5,7 +5,9 @@ a menu separator. Lines and segments are hashed after masking (leading marks, di
 name, letter case, the character form of problem 4) and counted per host and over all hosts:
 
 1. On how many pages of its host each element stands, and how many of them are of one employer: what
-   recurs only because one employer's posting was copied is no template.
+   recurs only because one employer's posting was copied is no template. Where one employer has more
+   than `MOST_OF_HOST` of a host's pages, and on pages without a company, different postings (other
+   title columns or other longest lines) count instead of employers.
 2. Elements that recur on a host, or on several hosts at once where hosts are small, are candidates.
    Section headings and stock phrases of employers recur as well, so the candidates are told apart by
    their surroundings: template elements stand beside other template elements, a heading stands
@@ -46,6 +48,8 @@ LEAST_PAGES = 20
 LEAST_POOLED_PAGES = 8
 #: Share of an element's pages that must be of other employers than its most frequent one.
 LEAST_VARIED = 0.3
+#: Share of a host's pages from which on one employer is the host's own.
+MOST_OF_HOST = 0.5
 #: Of all pages, for elements that stand on several hosts.
 LEAST_POOLED_SHARE = 0.006
 LEAST_WORD_SHARE = 0.0005
@@ -118,14 +122,15 @@ def _parser(words):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = words.value
         for batch in batches:
-            ids, hosts, employers, keys, flags, segments, at = [], [], [], [], [], [], []
-            for key, host, text, company in _rows(batch):
+            ids, hosts, employers, postings, keys, flags, segments, at = [], [], [], [], [], [], [], []
+            for key, host, text, company, titles in _rows(batch):
                 name = _employer(company)
                 page = _Page(text or "", brand_of(host))
                 named = len(name) > 2
                 ids.append(key)
                 hosts.append(host)
-                employers.append(hashed(name))
+                employers.append(hashed(name) if name else None)
+                postings.append(_posting(titles, page))
                 keys.append(page.keys)
                 flags.append(
                     bytes(
@@ -140,17 +145,24 @@ def _parser(words):
                     pa.array(ids, batch.schema.field(0).type),
                     pa.array(hosts, pa.string()),
                     pa.array(employers, _LONG),
+                    pa.array(postings, _LONG),
                     pa.array(keys, pa.list_(_LONG)),
                     pa.array(flags, pa.binary()),
                     pa.array(segments, pa.list_(_LONG)),
                     pa.array(at, pa.list_(pa.int32())),
                 ],
-                names=["id", "host", "employer", "keys", "flags", "segments", "segment_lines"],
+                names=["id", "host", "employer", "posting", "keys", "flags", "segments", "segment_lines"],
             )
 
     return run
 
 
+def _posting(titles: str, page: _Page) -> int:
+    """The same for copies of a posting in any furniture, short of a page whose longest lines are furniture."""
+    longest = sorted(set(page.lines), key=lambda line: (-len(line), line))[:3]
+    return hashed("\n".join((titles.casefold(), *longest)))
+
+
 class _Candidates:
     """Elements that recur on a host or on several hosts."""
 
@@ -259,12 +271,13 @@ class SiteTemplates:
             raise ValueError(f"more than {MOST_WORDS} frequent title words")
         words = self.spark.sparkContext.broadcast(frozenset(r["word"] for r in found))
         rows = pages.select(
-            F.col(key).alias("id"), host_of(F.col(url)).alias("host"), F.col(text).alias("text"), F.col(company).alias("company")
+            F.col(key).alias("id"), host_of(F.col(url)).alias("host"), F.col(text).alias("text"), F.col(company).alias("company"),
+            F.concat_ws("\n", *titles).alias("titles"),
         )
         self.parsed = cut(
             spread(rows).mapInArrow(
                 _parser(words),
-                f"id {self.kind}, host string, employer bigint, keys array<bigint>, flags binary, "
+                f"id {self.kind}, host string, employer bigint, posting bigint, keys array<bigint>, flags binary, "
                 "segments array<bigint>, segment_lines array<int>",
             )
         )
@@ -274,6 +287,11 @@ class SiteTemplates:
     def _recurring(self, least_share: float, least_pages: int) -> DataFrame:
         """(host, key) on many pages of the host; host null: on many pages over several hosts."""
         filled = self.parsed.where(F.size("keys") > 0)
+        shares = filled.groupBy("host", "employer").agg(F.count(F.lit(1)).alias("pages")).groupBy("host")
+        shares = shares.agg(F.sum("pages").alias("all"), F.max(F.when(F.col("employer").isNotNull(), F.col("pages"))).alias("most"))
+        own = shares.where(F.col("most") > MOST_OF_HOST * F.col("all")).select("host", F.lit(True).alias("own"))
+        source = F.when(F.col("own").isNotNull() | F.col("employer").isNull(), F.col("posting")).otherwise(F.col("employer"))
+        filled = filled.join(own, "host", "left").withColumn("employer", source)
         elements = F.array_distinct(F.filter(F.concat("keys", "segments"), lambda k: k != 0))
         counted = (
             filled.select("host", "employer", F.explode(elements).alias("key"))

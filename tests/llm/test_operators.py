@@ -247,6 +247,21 @@ def test_site_templates(spark):
     assert empty.marked().count() == 0
 
 
+@pytest.mark.parametrize("company", ["Firma GmbH", None])
+def test_templates_of_hosts_with_one_employer_or_none(spark, company):
+    rng = random.Random(8)
+    furniture, rows, truth = ["Follow us", "Privacy · Terms · Board", "We use cookies to count visits"], [], {}
+    for n in range(120):
+        body = ["What you do", *(f"- {sentence(rng, 9)} {n}" for _ in range(4)), "", sentence(rng, 20)]
+        truth[n] = {len(body) + 1, len(body) + 2}
+        rows.append((n, f"https://www.board.example/{n}", f"Tester {n}", company, "\n".join([*body, "", *rng.sample(furniture, 2)])))
+    copy = "\n".join(sentence(rng, 12) for _ in range(4))
+    rows += [(1000 + n, "https://www.board.example/c", "Copied", company, copy) for n in range(60)]
+    df = spark.createDataFrame(rows, "id bigint, url string, title string, company string, body string")
+    got = {r["id"]: set(r["furniture_lines"]) for r in boilerplate.SiteTemplates(df, "id", "url", "body", "company", ["title", "company"]).marked().collect()}
+    assert {n: got[n] for n in truth} == truth and got[1000] == set()
+
+
 # --- 3: languages
 
 
