@@ -397,7 +397,8 @@ def test_rare_subjects_count_whole(spark):
         job("Limnology Kryptology"), *filler,
     ]
     right = [job("Glaciology"), job("Retail Security Museum Cartography"), *[job("Limnology Kryptology")] * 2, job("Limnology Kryptology {Braille}")]
-    assert linked(spark, left, right) == [(0, 0), (2, 0), (3, 1), *[(n, k) for n in (5, 6, 7, 9) for k in (2, 3, 4)]]
+    # 6 and the last listing each add another word
+    assert linked(spark, left, right) == [(0, 0), (2, 0), (3, 1), *[(n, k) for n in (5, 6, 7, 9) for k in (2, 3, 4) if (n, k) != (6, 4)]]
 
 
 def test_near_names_equal_brute_force(spark):
