@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from hirelake.runtime import cut
+
 
 def distinct_by_key(df: DataFrame, key: Column, order: str) -> DataFrame:
     """The first row by order of each key; a hash aggregate, so copies are combined before the shuffle."""
@@ -19,14 +21,32 @@ def distinct_by_key(df: DataFrame, key: Column, order: str) -> DataFrame:
     return kept.select("__row.*").select(*columns)
 
 
+def _placed(df: DataFrame, order: list[Column]) -> DataFrame:
+    """Rows sorted over range partitions, with their range in __part and their place in it in __at.
+
+    Both numbers are written out with the rows: ranges are drawn from samples, so a second plan of the
+    same sort may draw others.
+    """
+    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    fixed = cut(ordered.withColumn("__at", F.monotonically_increasing_id()))
+    return fixed.withColumn("__part", F.shiftright("__at", 33))
+
+
 def interleave(df: DataFrame, key: str, order: str) -> DataFrame:
     """Adds turn and lane: rows taken one from each key in turn, keys in the order they first occur.
 
-    Sorting by (turn, lane) gives the interleaved order.
+    Sorting by (turn, lane) gives the interleaved order. A frequent key spreads over as many ranges as
+    it has rows for; turns are counted per key and range, and the counts of earlier ranges added.
     """
-    lanes = df.groupBy(key).agg(F.min(order).alias("lane"))
-    turn = F.row_number().over(Window.partitionBy(key).orderBy(order))
-    return df.withColumn("turn", turn).join(lanes, df[key].eqNullSafe(lanes[key])).drop(lanes[key])
+    placed = _placed(df.select("*", F.struct(key).alias("__key")), [F.col("__key"), F.col(order)])
+    runs = placed.groupBy("__key", "__part").agg(
+        F.count(F.lit(1)).alias("__rows"), F.min("__at").alias("__first"), F.min(order).alias("__least")
+    )
+    earlier = Window.partitionBy("__key").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn("__before", F.coalesce(F.sum("__rows").over(earlier), F.lit(0)))
+    runs = runs.withColumn("lane", F.min("__least").over(Window.partitionBy("__key"))).drop("__rows", "__least")
+    found = placed.join(runs, ["__key", "__part"]).withColumn("turn", F.col("__at") - F.col("__first") + F.col("__before") + 1)
+    return found.drop("__key", "__part", "__at", "__first", "__before")
 
 
 def cap_per_group(df: DataFrame, group: str, order: list[Column], most: int) -> DataFrame:
@@ -43,15 +63,14 @@ def cap_total(df: DataFrame, order: list[Column], most: int) -> DataFrame:
 def numbered(df: DataFrame, order: list[Column], name: str, pattern: str) -> DataFrame:
     """A positional name for each row.
 
-    Positions come from counts of range partitions and numbers within them, not from one global window.
+    Positions come from counts of range partitions and places within them, not from one global window.
     """
-    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    placed = ordered.withColumn("__part", F.spark_partition_id()).withColumn("__n", F.monotonically_increasing_id())
-    counts = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__rows"), F.min("__n").alias("__first"))
+    placed = _placed(df, order)
+    counts = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__rows"), F.min("__at").alias("__first"))
     before = F.coalesce(F.sum("__rows").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select("__part", "__first", before.alias("__before"))  # one row per partition
-    position = (F.col("__n") - F.col("__first") + F.col("__before") + 1).cast("bigint")
-    return placed.join(F.broadcast(offsets), "__part").withColumn(name, F.format_string(pattern, position)).drop("__part", "__n", "__first", "__before")
+    offsets = counts.select("__part", "__first", before.alias("__before"))  # one row per range
+    position = (F.col("__at") - F.col("__first") + F.col("__before") + 1).cast("bigint")
+    return placed.join(F.broadcast(offsets), "__part").withColumn(name, F.format_string(pattern, position)).drop("__part", "__at", "__first", "__before")
 
 
 def merge_pool(old: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:

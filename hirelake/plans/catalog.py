@@ -258,6 +258,14 @@ def candidate_ids(spark, d):
     return ordering.numbered(rows, [F.col("detail_id")], "candidate_id", "job_%04d")
 
 
+@query
+def numbered_lines(spark, d):
+    """All order lines by price, each with its position."""
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    order = [F.col("l_extendedprice").desc(), F.col("l_orderkey"), F.col("l_linenumber")]
+    return ordering.numbered(rows, order, "line_id", "line_%06d").drop("l_extendedprice")
+
+
 @query
 def role_kinds(spark, d):
     text = F.concat_ws(" ", "title", "employment_type_raw")
@@ -386,10 +394,10 @@ def export_widths(spark, d):
 
 
 @query
-def event_outcomes(spark, d):
-    """Pages of a run by outcome, with the share of errors."""
-    rows = table(spark, d, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("pages"), F.countDistinct("event_type").alias("kinds"), F.min("ts").alias("first"), F.max("ts").alias("last"))
-    return rows
+def user_activity(spark, d):
+    """Events of each user: how many, of how many kinds, from when until when."""
+    rows = table(spark, d, "events").groupBy("user_id")
+    return rows.agg(F.count(F.lit(1)).alias("events"), F.countDistinct("event_type").alias("kinds"), F.min("ts").alias("first"), F.max("ts").alias("last"))
 
 
 def _stream(spark, d, name: str) -> DataFrame:

@@ -176,6 +176,7 @@ ORACLES = {
         WHEN contains(left(body, {MOST_CHARACTERS}), chr(10)) THEN regexp_replace(left(body, {MOST_CHARACTERS}), '\\n[^\\n]*$', '') ELSE left(body, {MOST_CHARACTERS}) END END AS c FROM b JOIN documents d USING (doc_id))
         SELECT doc_id, length(c) AS n, md5(c) AS digest FROM c""",
     "candidate_ids": "SELECT detail_id, printf('job_%04d', row_number() OVER (ORDER BY detail_id)) AS candidate_id FROM parsed_detail WHERE parse_success",
+    "numbered_lines": "SELECT l_orderkey, l_linenumber, printf('line_%06d', row_number() OVER (ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber)) AS line_id FROM lineitem",
     "role_kinds": f"SELECT {_ROLE} AS role_kind, count(*) AS n FROM (SELECT lower(concat_ws(' ', title, employment_type_raw)) AS x, lower(coalesce(employment_type_raw, '')) AS e FROM parsed_detail) GROUP BY 1",
     "marker_votes": f"""WITH v AS (SELECT lang, {collapse(_VOTE)} AS x FROM documents), c AS (SELECT lang, {count_literals('x', GERMAN_MARKERS)} AS g, {count_literals('x', ENGLISH_MARKERS)} AS e FROM v)
         SELECT lang, CASE WHEN g > e AND g >= 2 THEN 'german' WHEN e > g AND e >= 2 THEN 'english' ELSE 'mixed_or_unknown' END AS vote, count(*) AS n FROM c GROUP BY 1, 2""",
@@ -198,6 +199,6 @@ ORACLES = {
     "export_rows": f"""SELECT detail_id, detail_id % 11 AS score, {_ROLE} AS role_type, title, link FROM (SELECT detail_id, coalesce({strip('title')}, '') AS title, coalesce(nullif(apply_url, ''), nullif(source_job_url, ''), nullif(url, ''), '') AS link,
         lower(concat_ws(' ', title, employment_type_raw, description_raw)) AS x, lower(coalesce(employment_type_raw, '')) AS e FROM parsed_detail)""",
     "export_widths": "SELECT c AS \"column\", greatest(10, least(42, greatest(coalesce(n, 0), length(c)) + 2)) AS width FROM (SELECT unnest(['title', 'company', 'location_raw', 'apply_url']) AS c, unnest([max(length(title)), max(length(company)), max(length(location_raw)), max(length(apply_url))]) AS n FROM parsed_detail)",
-    "event_outcomes": "SELECT user_id, count(*) AS pages, count(DISTINCT event_type) AS kinds, min(ts) AS first, max(ts) AS last FROM events GROUP BY user_id",
+    "user_activity": "SELECT user_id, count(*) AS events, count(DISTINCT event_type) AS kinds, min(ts) AS first, max(ts) AS last FROM events GROUP BY user_id",
     "stream_first_seen": "SELECT url, source FROM collected WHERE url IS NOT NULL QUALIFY row_number() OVER (PARTITION BY url ORDER BY seq) = 1",
 }
