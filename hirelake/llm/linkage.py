@@ -83,8 +83,7 @@ NOISE = frozenset(
 LEGAL_FORMS = frozenset("gmbh kg ag se ltd group co e v g m b h mbh inc aktiengesellschaft karriere deutschland".split())
 
 _WORD = re.compile(r"[^\W\d_]+")
-#: The global flags of the slots' rules hold for their own groups only.
-_SLOT = re.compile(PLACEHOLDER.replace("(?iu:", "(?i:"))
+_SLOT = re.compile("|".join(f"(?:{pattern})" for _, pattern in PLACEHOLDER), re.IGNORECASE)
 _ADDRESS_PARTS = re.compile(r"[/?&=.#]|--+")
 
 

@@ -1,23 +1,28 @@
-"""Template residue and error-page text (problem 2).
-
-A field is looked at in units: a title as a whole, a description by lines; lines of long descriptions
-only where they hold something a rule could name, and those by sentences. Units are brought to the
-form of problem 4, numbers, addresses and dates are masked and decoration is cut off. Exact hashes of
-what remains are grouped across sources and every distinct message is classified once:
-
-- placeholder: an unfilled slot of a template language;
-- missing: a word that a program prints for a missing value;
-- filler: dummy text, in pseudo-Latin or by its wording;
-- notice: an error page, block page or notice about scripts; counts only where it is the whole title
-  or stands in a description too short for a posting;
-- recurring: in a description too short for a posting, a message without a rule that recurs over
-  many records of several sources.
-
-A sentence that speaks about such things as part of the work (two different ones side by side, or one
+"""Template residue and error-page text (problem 2): masked messages grouped across sources.
+
+1. Titles and the lines of descriptions are messages. They are brought to the form of problem 4 and
+   lower case; numbers, addresses and dates are masked, decoration is cut off.
+2. Messages are grouped by exact hash over all records and sources. Tasks count their own messages
+   before the shuffle, so a message that stands everywhere costs one row per task.
+3. Every distinct message is classified once, with all rules, as a whole and by its sentences:
+
+   - placeholder: an unfilled slot of a template language;
+   - missing: a word that a program prints for a missing value;
+   - filler: dummy text, in pseudo-Latin or by its wording;
+   - notice: an error page, block page or notice about scripts; counts only where it is the whole title
+     or stands in a description too short for a posting;
+   - recurring: a message of such short descriptions that no rule names, but that stands in at least
+     the share `RECURRING_SHARE` of them (and `RECURRING_RECORDS`) and in `RECURRING_SOURCES` sources.
+4. The classes go back to the records by hash. A record is residue by recurrence only if all its lines
+   are residue or recurring: a short posting has a line of its own.
+
+Rules without recurrence also hold for messages that stand once: filler made at random never recurs.
+A message that speaks about such things as part of the work (two different ones side by side, or one
 beside a word of the craft) is no residue.
 
-Defined results: null, empty and blank fields are no case; a text of any length is read whole;
-repeated rows give one row per key; empty tables give no rows; extra columns are ignored.
+Defined results: null, empty and blank fields are no case; a text of any length is read whole; lines of
+decoration only are no messages; a null source counts as no source; repeated rows give one row per key;
+empty tables give no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +31,8 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hirelake.llm.charform import form
@@ -34,49 +40,97 @@ from hirelake.runtime import cut
 
 #: Below this number of words a description is no posting.
 POSTING_WORDS = 40
-RECURRING_RECORDS, RECURRING_SOURCES = 20, 3
+RECURRING_SHARE, RECURRING_RECORDS, RECURRING_SOURCES = 0.002, 3, 3
+#: A task hands on its counts when they hold so many messages.
+MOST_HELD = 200_000
 
-# Slots of template languages.
+# The rules by kind, over masked lower case. Every match of a pattern holds one of the
+# signs before it, so a pattern is tried only where a sign of its own stands.
 PLACEHOLDER = (
-    r"\{\{[^{}\n]{1,60}\}\}|\$\{[^{}\n]{1,60}\}|<<[^<>\n]{1,40}>>|<%[^%\n]{1,40}%>|\{%[^%\n]{1,40}%\}"
-    r"|%%[^%\n]{1,40}%%|(?i:%[a-z][a-z_]{2,}%)|@@[^@\n]{1,40}@@|(?i:__[a-z][a-z_]*__)|(?i:#[a-z][a-z_]{2,}#)"
-    r"|\[\[[^\[\]\n]{1,40}\]\]"
-    r"|(?iu:\[(insert|enter|your|hier|bitte|job ?title|jobtitel|titel|title|position|stelle|firma|firmenname|company"
-    r"|name|ansprechpartner|kontakt|contact|standort|ort|location|datum|date|gehalt|salary|text)\b[^\[\]\n]{0,40}\])"
-    r"|(?iu:\[[^\[\]\n]{1,40}(einfügen|eintragen|eingeben|ergänzen|here)\])"
-)
-# What programs print for a missing value.
-MISSING = r"(?i:\b(undefined|null|nan|nil)\b|\[object \w+\]|#n/a|#ref!|\bxxxx+\b)"
-# Words of pseudo-Latin filler.
-PSEUDO_LATIN = (
-    r"\b(lorem|ipsum|dolor|sit|amet|consectetur|adipiscing|elit|sed|eiusmod|tempor|incididunt|labore|dolore|magna"
-    r"|aliqua|enim|minim|veniam|quis|nostrud|exercitation|ullamco|laboris|nisi|aliquip|commodo|consequat|duis|aute"
-    r"|irure|reprehenderit|voluptate|velit|esse|cillum|fugiat|nulla|pariatur|excepteur|sint|occaecat|cupidatat"
-    r"|proident|sunt|culpa|officia|deserunt|mollit|anim|est|laborum)\b"
+    (("{{",), r"\{\{[^{}\n]{1,60}\}\}"),
+    (("${",), r"\$\{[^{}\n]{1,60}\}"),
+    (("<<",), r"<<[^<>\n]{1,40}>>"),
+    (("<%",), r"<%[^%\n]{1,40}%>"),
+    (("{%",), r"\{%[^%\n]{1,40}%\}"),
+    (("%%",), r"%%[^%\n]{1,40}%%"),
+    (("%",), r"%[a-z][a-z_]{2,}%"),
+    (("@@",), r"@@[^@\n]{1,40}@@"),
+    (("__",), r"__[a-z][a-z_]*__"),
+    (("#",), r"#[a-z][a-z_]{2,}#"),
+    (("{0}",), r"\{0\}"),
+    (("{",), r"\{[a-z]+[_.][a-z_.]+\}"),
+    (("$",), r"\$[a-z][a-z_]+\b|\$\([a-z_]+\)"),
+    (("%(",), r"%\([a-z_]+\)s"),
+    (("<",), r"<(?![\s/])[^\W\d]{3,30}(?<!\s)>"),
+    (("tbd_", "tba_", "todo_"), r"\b(tbd|tba|todo)_\w+"),
+    (("[[",), r"\[\[[^\[\]\n]{1,40}\]\]"),
+    (("[",), r"\[\s?(insert|enter|your|hier|bitte|job ?title|jobtitel|titel|title|position|stelle|firma|firmenname|company"
+             r"|name|ansprechpartner|kontakt|contact|standort|ort|location|datum|date|gehalt|salary|text)\b[^\[\]\n]{0,40}\]"),
+    (("[",), r"\[[^\[\]\n]{1,40}(einfügen|eintragen|eingeben|ergänzen|here)\s?\]"),
+)
+MISSING = (
+    (("undefined", "null", "nan", "nil"), r"\b(undefined|null|nan|nil)\b"),
+    (("[object ",), r"\[object \w+\]"),
+    (("#n/a", "#ref!"), r"#n/a|#ref!"),
+    (("xxxx",), r"\bxxxx+\b"),
 )
-# Wordings of dummy text, over lower case.
 FILLER = (
-    r"lorem ipsum|\bblindtext\b|\bdummy(-| ?)(inhalt|text|copy|content)|\bplaceholder (copy|text|content)"
-    r"|\bplatzhalter(text)?\b|\b(text|content|copy) goes here|\b(bla\W+){2,}|\basdf\b|\bqwert[zy]\b|\bfoo bar\b"
-    r"|\bbeispiel(absatz|text)\b|\bsample (description|text|copy)\b|\b(abc\W+){2,}|\b(test\W+){2,}test\b"
-    r"|hier steht (später|bald|demnächst|der text|ihr text)|\b(beschreibung|text|inhalt) folgt\b"
-    r"|\b(description|details|text) (to follow|coming soon)\b|\btodo:|\bwrite this section\b|\bmuster(text|absatz)\b"
+    (("lorem ipsum",), r"lorem ipsum"),
+    (("blindtext",), r"\bblindtext\b"),
+    (("dummy",), r"\bdummy(-| ?)(inhalt|text|copy|content)"),
+    (("placeholder",), r"\bplaceholder (copy|text|content)"),
+    (("platzhalter",), r"\bplatzhalter(text)?\b"),
+    ((" goes here",), r"\b(text|content|copy) goes here"),
+    (("bla",), r"\b(bla\W+){2,}"),
+    (("asdf",), r"\basdf\b"),
+    (("qwert",), r"\bqwert[zy]\b"),
+    (("foo bar",), r"\bfoo bar\b"),
+    (("beispiel",), r"\bbeispiel(absatz|text)\b"),
+    (("sample ",), r"\bsample (description|text|copy)\b"),
+    (("abc",), r"\b(abc\W+){2,}"),
+    (("test",), r"\b(test\W+){2,}test\b"),
+    (("hier steht ",), r"hier steht (später|bald|demnächst|der text|ihr text)"),
+    ((" folgt",), r"\b(beschreibung|text|inhalt) folgt\b"),
+    ((" to follow", " coming soon"), r"\b(description|details|text) (to follow|coming soon)\b"),
+    (("todo:",), r"\btodo:"),
+    (("write this section",), r"\bwrite this section\b"),
+    (("muster",), r"\bmuster(text|absatz)\b"),
 )
-# Wordings of error pages, block pages and notices about scripts, over lower case.
 NOTICE = (
-    r"\b(page|site|document|link|posting|job|ad|anzeige|seite|stelle|annonce|strona|oferta|página|pagina)\b[^.]{0,40}"
-    r"(not found|missing|broken|moved|expired|removed|no longer|does not exist|nicht gefunden|nicht (mehr )?verfügbar"
-    r"|existiert nicht|abgelaufen|entfernt|gelöscht|n.existe plus|introuvable|nie istnieje|no existe|no encontrada"
-    r"|niet gevonden|bestaat niet)|\bno longer available\b|\bmay have moved\b"
-    r"|\b(error|fehler) \d+|\bserver error\b|\bsomething went wrong\b|\bservice (is busy|unavailable|temporarily)"
-    r"|\b(bad gateway|gateway time-?out)\b|\btoo many requests\b|\baccess denied\b|\bzugriff verweigert\b|\bforbidden\b"
-    r"|\bwas blocked\b|\bnot a robot\b|\bare (a )?human\b|\bcaptcha\b|\bchecking your browser\b|\battention required\b"
-    r"|\bjust a (second|moment)\b|\b(session|sitzung)[^.]{0,20}(expired|abgelaufen)|\bwartungs(arbeiten|modus)\b"
-    r"|\bunder (maintenance|construction)\b|\b(enable|turn on|activate|switch on)[^.]{0,20}\b(java)?scripts?\b"
-    r"|\b(java)?scripts?\b[^.]{0,30}\b(aktivieren|einschalten|required|disabled)|\baktiviere[^.]{0,20}script"
-    r"|\bbrowser (wird nicht|is not|isn.t) (unterstützt|supported)|\bloading…|\bloading\.\.\."
+    (
+        ("page", "site", "document", "link", "posting", "job", "ad", "anzeige", "seite", "stelle", "annonce", "strona", "oferta",
+         "página", "pagina"),
+        r"\b(page|site|document|link|posting|job|ad|anzeige|seite|stelle|annonce|strona|oferta|página|pagina)\b[^.]{0,40}"
+        r"(not found|missing|broken|moved|expired|removed|no longer|does not exist|nicht gefunden|nicht (mehr )?verfügbar"
+        r"|existiert nicht|abgelaufen|entfernt|gelöscht|n.existe plus|introuvable|nie istnieje|no existe|no encontrada"
+        r"|niet gevonden|bestaat niet)",
+    ),
+    (("no longer available", "may have moved"), r"\bno longer available\b|\bmay have moved\b"),
+    (("error 0", "fehler 0"), r"\b(error|fehler) 0"),
+    (("server error", "something went wrong"), r"\bserver error\b|\bsomething went wrong\b"),
+    (("service ",), r"\bservice (is busy|unavailable|temporarily)"),
+    (("bad gateway", "gateway time"), r"\b(bad gateway|gateway time-?out)\b"),
+    (("too many requests", "access denied", "zugriff verweigert"), r"\b(too many requests|access denied|zugriff verweigert)\b"),
+    (("forbidden", "was blocked", "not a robot", "captcha"), r"\b(forbidden|was blocked|not a robot|captcha)\b"),
+    (("are human", "are a human"), r"\bare (a )?human\b"),
+    (("checking your browser", "attention required"), r"\b(checking your browser|attention required)\b"),
+    (("just a ",), r"\bjust a (second|moment)\b"),
+    (("session", "sitzung"), r"\b(session|sitzung)[^.]{0,20}(expired|abgelaufen)"),
+    (("wartungs",), r"\bwartungs(arbeiten|modus)\b"),
+    (("under maintenance", "under construction"), r"\bunder (maintenance|construction)\b"),
+    (("script",), r"\b(enable|turn on|activate|switch on)[^.]{0,20}\b(java)?scripts?\b"
+                  r"|\b(java)?scripts?\b[^.]{0,30}\b(aktivieren|einschalten|required|disabled)|\baktiviere[^.]{0,20}script"),
+    (("browser ",), r"\bbrowser (wird nicht|is not|isn.t) (unterstützt|supported)"),
+    (("loading",), r"\bloading(…|\.\.\.)"),
+)
+# Words of pseudo-Latin filler.
+PSEUDO_LATIN = frozenset(
+    "lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod tempor incididunt labore dolore magna aliqua enim"
+    " minim veniam quis nostrud exercitation ullamco laboris nisi aliquip commodo consequat duis aute irure reprehenderit"
+    " voluptate velit esse cillum fugiat nulla pariatur excepteur sint occaecat cupidatat proident sunt culpa officia"
+    " deserunt mollit anim est laborum".split()
 )
-# Whole titles without a subject, over lower case without decoration.
+# Whole titles without a subject, over masked lower case without decoration.
 TITLE_MISSING = r"undefined|null|nan|none|nil|n/?a|\[object object\]|x{3,}|not set|unknown title"
 TITLE_FILLER = (
     r"lorem ipsum.*|(test\W*){2,}|asdf\w*|qwert[zy]\w*|untitled( document| page)?|unbenannt(e seite|es dokument)?"
@@ -85,7 +139,7 @@ TITLE_FILLER = (
     r"|blindtext|foo( bar)?|(bla\W*)+|todo.*|tbd|tba|(abc\W*)+"
 )
 TITLE_NOTICE = (
-    r"[1-5]\d\d|(error|fehler)( \d+)?|(page|seite|anzeige|job|posting|stelle|document|link) [^.]{0,30}"
+    r"0|(error|fehler)( 0)?|(page|seite|anzeige|job|posting|stelle|document|link) [^.]{0,30}"
     r"(not found|missing|nicht gefunden|nicht (mehr )?verfügbar|no longer available|expired|abgelaufen|removed)"
     r"|page missing|not found|access denied|zugriff verweigert|forbidden|attention required!?|just a (second|moment)"
     r"|(service|temporarily) unavailable|(session|sitzung) (expired|abgelaufen)|too many requests|bad gateway"
@@ -95,176 +149,227 @@ TITLE_NOTICE = (
 )
 # Words beside which a slot or a missing value is a subject of the work.
 CRAFT = (
-    r"(?iu:\b(templates?|vorlagen?|placeholders?|platzhalter|checks?|handling|fields?|felder?|werte?n?|notes?|notizen"
-    r"|run time|runtime|laufzeit|syntax|beispieltexte?|sample texts)\b)"
+    r"\b(templates?|vorlagen?|placeholders?|platzhalter|checks?|handling|fields?(?! (service|sales|office|staff|work))|felder?|werte?n?|notes?|notizen"
+    r"|run time|runtime|laufzeit|syntax|beispieltexte?|sample texts)\b"
 )
-# What a text must hold, in lower case, for any of these rules to apply; found faster than they.
-_SIGNS = (
-    "undefined", "null", " nan", "nan ", " nil", "nil ", "xxxx", "lorem", "ipsum", "cillum", "nostrud", "veniam", "irure",
-    "mollit", "laboris", "aliqua", "fugiat", "culpa", "tempor ", "consectetur", "blindtext", "dummy", "placeholder",
-    "platzhalter", "goes here", "bla ", "asdf", "qwert", "foo bar", "beispielabsatz", "beispieltext", "sample desc",
-    "sample text", "sample copy", "abc ", "test test", "hier steht", "folgt", "to follow", "coming soon", "todo:",
-    "this section", "mustertext", "musterabsatz", "dolor", "amet", "magna", "velit", "nisi", "aute", "sint",
-)
-_SIGN_CHARACTERS = ("{", "}", "%", "@", "#", "$", "<<", "<%", "__")
-_BRACKET = re.compile(r"\[[^\s\]]")
-_SENTENCE = re.compile(r"(?<=[.!?]) ")
-_WORDS = re.compile(rf"\s*(?:\S+\s+){{{POSTING_WORDS - 1}}}\S")
-
 
-def _signs():
-    """One automaton that finds any sign in one pass over a text."""
+_KINDS = (("placeholder", PLACEHOLDER), ("missing", MISSING), ("filler", FILLER), ("notice", NOTICE))
+_RULES = [(kind, signs, re.compile(pattern)) for kind, rules in _KINDS for signs, pattern in rules]
+_SLOTS = re.compile("|".join(f"(?:{pattern})" for _, pattern in (*PLACEHOLDER, *MISSING)))
+_CRAFT = re.compile(CRAFT)
+_TITLE_RULES = [(k, re.compile(p)) for k, p in (("missing", TITLE_MISSING), ("filler", TITLE_FILLER), ("notice", TITLE_NOTICE))]
+_SENTENCE = re.compile(r"(?<=[.!?]) ")
+_LATIN_WORD = re.compile(r"[^\W\d_]+")
+_LONG = re.compile(rf"\s*(?:\S+\s+){{{POSTING_WORDS - 1}}}\S")
+
+_ADDRESS = re.compile(r"https?://\S+|www\.\S+|\S+@\S+\.\w+")
+_NUMBER = re.compile(r"\b(?=[0-9a-f]*\d)[0-9a-f]{4,}\b|\d+(?:[.,:/-]\d+)*")
+_DECORATION = " \t*•·▪►–—|=~+-"
+# What stands before or after a message without being part of it, over masked lower case.
+_BEFORE = re.compile(r"^(\[!\] |(sorry|oops|whoops|ups|hinweis|entschuldigung|note|notice)\b[\s,.:!–—-]+)")
+_AFTER = re.compile(r"\s*(\(id 0\)|\(ref\.? 0\)|:-\(|\| back|zur startseite|try again\.?)$")
+_TAGS = re.compile(r"\s*[(\[]((\w{1,4}[/|]){1,3}\w{1,4}|gn|all genders|ref\.? ?\w+|id #?\d+|\d+)[)\]]|\s(m/w/d|w/m/d|m/f/d|f/m/x)\b")
+_TITLE_ENDS = re.compile(r"^[\s–—|:-]+|(/ kennziffer)?\s+#?\d+\s*$|[\s–—|:.…!-]+$")
+
+
+def mask(text: str) -> str:
+    """What two copies of a message in form have in common."""
+    text = text.lower()
+    if "@" in text or "/" in text or "www." in text:
+        text = _ADDRESS.sub("@", text)
+    text = _NUMBER.sub("0", text).strip(_DECORATION)
+    return _AFTER.sub("", _BEFORE.sub("", text)) or text
+
+
+def bare_title(masked: str, source: str | None) -> str:
+    """A masked title without gender tags, references and the source's name, nor dashes around it."""
+    out = _TAGS.sub("", masked)
+    if source:
+        out = out.replace(source.lower(), "")
+    return _TITLE_ENDS.sub("", _TITLE_ENDS.sub("", out))
+
+
+def _automaton():
+    """One pass over a message finds all signs in it."""
     import ahocorasick
 
+    rules: dict[str, list[int]] = {}
+    for n, (_, signs, _) in enumerate(_RULES):
+        for sign in signs:
+            rules.setdefault(sign, []).append(n)
     found = ahocorasick.Automaton()
-    for sign in (*_SIGNS, *_SIGN_CHARACTERS):
-        found.add_word(sign, True)
+    for sign, of in rules.items():
+        found.add_word(sign, tuple(of))
     found.make_automaton()
     return found
 
 
-def _looked_at(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    signs = _signs()
-
-    def suspect(text: str) -> bool:
-        return next(signs.iter(text.lower()), None) is not None or _BRACKET.search(text) is not None
+def _pseudo_latin(text: str) -> bool:
+    words = text.split()
+    hits = sum(w in PSEUDO_LATIN for w in _LATIN_WORD.findall(text)) if len(words) > 2 else 0
+    return hits >= 3 and hits >= 0.6 * len(words)
+
+
+def _excused(kind: str, pattern: re.Pattern, text: str) -> bool:
+    """The rest of the text shows that the match is a subject of the work."""
+    if kind == "notice":
+        return False
+    return _CRAFT.search(pattern.sub(" ", text)) is not None or kind != "filler" and len({m.group() for m in _SLOTS.finditer(text)}) > 1
+
+
+class Rules:
+    """classify(message) -> the kinds of a masked line."""
+
+    def __init__(self):
+        self.signs = _automaton()
+
+    def classify(self, message: str) -> set[str]:
+        tried = {n for _, of in self.signs.iter(message) for n in of}
+        units = None
+        kinds: set[str] = set()
+        for n in sorted(tried):
+            kind, _, pattern = _RULES[n]
+            if kind not in kinds and pattern.search(message):
+                units = units or [message, *_SENTENCE.split(message)]
+                if any(pattern.search(u) and not _excused(kind, pattern, u) for u in units):
+                    kinds.add(kind)
+        if _pseudo_latin(message) or any(map(_pseudo_latin, units or _SENTENCE.split(message))):
+            kinds.add("filler")
+        return kinds
+
+    def classify_title(self, message: str, bare: str) -> set[str]:
+        for kind, signs, pattern in _RULES[: len(PLACEHOLDER)]:
+            if pattern.search(message):
+                return {kind}
+        kinds = {kind for kind, pattern in _TITLE_RULES if pattern.fullmatch(bare)}
+        return kinds | {"filler"} if _pseudo_latin(message) else kinds
+
+
+def _hash(*parts: str) -> int:
+    return xxhash.xxh3_64_intdigest("\x1f".join(parts)) - (1 << 63)
+
+
+def _messages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per field with the hashes of its messages, and rows with the messages and their counts so far."""
+    counts: dict[tuple, int] = {}
+    kind = None
+
+    def rows(fields: list[tuple], held: dict[tuple, int]) -> pa.RecordBatch:
+        none = [None] * len(fields)
+        pad = [None] * len(held)
+        ids, names, short, hashes = zip(*fields) if fields else ([],) * 4
+        digest, name, brief, message, bare, source = zip(*held) if held else ([],) * 6
+        columns = (
+            (kind, [*ids, *pad]), (pa.string(), [*names, *name]), (pa.bool_(), [*short, *brief]), (pa.list_(pa.int64()), [*hashes, *pad]),
+            (pa.int64(), [*none, *digest]), (pa.string(), [*none, *message]), (pa.string(), [*none, *bare]),
+            (pa.string(), [*none, *source]), (pa.int64(), [*none, *held.values()]),
+        )
+        names = ["id", "field_name", "short", "hashes", "hash", "message", "bare", "source", "records"]
+        return pa.RecordBatch.from_arrays([pa.array(v, k) for k, v in columns], names=names)
 
     for batch in batches:
-        rows = []
+        kind = batch.schema.field(0).type
+        fields = []
         for key, source, title, text in zip(*(c.to_pylist() for c in batch.columns)):
             if title and not title.isspace():
-                rows.append((key, source, "title", False, form(title)))
-            if not text or text.isspace():
-                continue
-            text = form(text)
-            short = _WORDS.match(text) is None
-            if short:
-                units = [line for line in text.split("\n") if line.strip()]
-            elif suspect(text):
-                lines = [line for line in text.split("\n") if suspect(line)]
-                units = list(dict.fromkeys(u for line in lines for u in (line, *_SENTENCE.split(line)) if u.strip()))
+                message = mask(form(title))
+                if message:
+                    bare = bare_title(message, source)
+                    entry = (_hash("t", message, bare), "title", False, message, bare, source)
+                    counts[entry] = counts.get(entry, 0) + 1
+                    fields.append((key, "title", False, [entry[0]]))
+            if text and not text.isspace():
+                text = form(text)
+                short = _LONG.match(text) is None
+                found = dict.fromkeys(m for m in map(mask, text.split("\n")) if m)
+                hashes = []
+                for message in found:
+                    digest = _hash("s" if short else "d", message)
+                    hashes.append(digest)
+                    entry = (digest, "description_raw", short, message, "", source)
+                    counts[entry] = counts.get(entry, 0) + 1
+                fields.append((key, "description_raw", short, hashes))
+        if len(counts) > MOST_HELD:
+            yield rows(fields, counts)
+            counts = {}
+        else:
+            yield rows(fields, {})
+    if counts:
+        yield rows([], counts)
+
+
+def _classifier(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rules = Rules()
+    for batch in batches:
+        kinds = []
+        for name, short, message, bare in zip(*(batch.column(n).to_pylist() for n in ("field_name", "short", "message", "bare"))):
+            if name == "title":
+                found = rules.classify_title(message, bare)
             else:
-                continue
-            rows += [(key, source, "description_raw", short, unit) for unit in units]
-        columns = list(zip(*rows)) if rows else [[]] * 5
-        kinds = [batch.schema.field(0).type, pa.string(), pa.string(), pa.bool_(), pa.string()]
+                found = rules.classify(message)
+                if not short:
+                    found.discard("notice")
+            kinds.append(sorted(found))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(c, k) for c, k in zip(columns, kinds)], names=["id", "source", "field_name", "short", "unit"]
+            [*(batch.column(n) for n in ("hash", "short", "message", "records", "sources")), pa.array(kinds, pa.list_(pa.string()))],
+            names=["hash", "short", "message", "records", "sources", "kinds"],
         )
 
 
-def mask(value: Column) -> Column:
-    """What remains of a message without numbers, addresses, dates and decoration, in lower case."""
-    out = F.lower(value)
-    out = F.regexp_replace(out, r"https?://\S+|www\.\S+|\S+@\S+\.\w+", "@")
-    out = F.regexp_replace(out, r"\b(?=[0-9a-f]*\d)[0-9a-f]{4,}\b|\d+([.,:/-]\d+)*", "0")
-    out = F.regexp_replace(out, r"^[\W_]*(sorry|oops|whoops|hinweis|entschuldigung|note|notice|error)\b[\W_]*", "")
-    out = F.regexp_replace(out, r"(try again|\| back|zur startseite|code 0|\(id 0\)|:-\()\s*$", "")
-    return F.regexp_replace(out, r"^[\s\W_]+|[\s\W_]+$", "")
-
-
-def bare_title(value: Column, source: Column) -> Column:
-    """A title in lower case without dashes around it, gender tags, references and the source's name."""
-    out = F.lower(value)
-    out = F.regexp_replace(out, r"\s*[(\[]((\w{1,4}[/|]){1,3}\w{1,4}|gn|all genders|ref\.? ?\w+|\d+)[)\]]", "")
-    out = F.regexp_replace(out, r"\s(m/w/d|w/m/d|m/f/d|f/m/x)\b", "")
-    out = F.when(source.isNotNull(), F.replace(out, F.lower(source), F.lit(""))).otherwise(out)
-    out = F.regexp_replace(out, r"(/ kennziffer|[(\[]id)?\s+#?\d+[)\]]?\s*$", "")
-    return F.regexp_replace(out, r"^[\s–—|:-]+|[\s–—|:.…!-]+$", "")
-
-
-def _distinct_hits(value: Column) -> Column:
-    hits = F.regexp_extract_all(value, F.lit(f"({PLACEHOLDER}|{MISSING})"), 1)
-    return F.size(F.array_distinct(F.transform(hits, F.lower)))
-
+class Residue:
+    """messages: every distinct message that is residue or recurs; found(): the fields that hold residue."""
 
-def _craft(value: Column) -> Column:
-    return value.rlike(CRAFT) | (_distinct_hits(value) > 1)
-
-
-def _pseudo_latin(value: Column) -> Column:
-    hits = F.size(F.regexp_extract_all(F.lower(value), F.lit(PSEUDO_LATIN), 1))
-    return (hits >= 3) & (hits >= 0.6 * F.size(F.split(F.trim(value), r"\s+")))
-
-
-def classify(value: Column) -> Column:
-    """The kind of a unit of a description, or null."""
-    low = F.lower(value)
-    return (
-        F.when(value.rlike(PLACEHOLDER) & ~_craft(value), "placeholder")
-        .when(value.rlike(MISSING) & ~_craft(value), "missing")
-        .when(low.rlike(FILLER) & ~value.rlike(CRAFT), "filler")
-        .when(_pseudo_latin(value), "filler")
-        .when(low.rlike(NOTICE), "notice")
-    )
-
-
-def classify_title(value: Column, bare: Column) -> Column:
-    whole = lambda rule: bare.rlike(f"^({rule})$")
-    return (
-        F.when(value.rlike(PLACEHOLDER), "placeholder")
-        .when(whole(TITLE_MISSING), "missing")
-        .when(whole(TITLE_FILLER) | _pseudo_latin(value), "filler")
-        .when(whole(TITLE_NOTICE), "notice")
-    )
-
-
-def units(df: DataFrame, key: str, title: str, description: str, source: str) -> DataFrame:
-    """(key, source, field_name, short, unit, bare): what the rules look at."""
-    kind = df.schema[key].dataType.simpleString()
-    found = df.select(F.col(key).alias("id"), F.col(source).alias("source"), F.col(title).alias("t"), F.col(description).alias("d"))
-    rows = found.mapInArrow(_looked_at, f"id {kind}, source string, field_name string, short boolean, unit string")
-    bare = F.when(F.col("field_name") == "title", bare_title(F.col("unit"), F.col("source"))).otherwise("")
-    return rows.withColumn("bare", bare).withColumnRenamed("id", key)
-
-
-def messages(rows: DataFrame) -> DataFrame:
-    """Every distinct masked message of classified units, with its records, sources and kind."""
-    return (
-        rows.groupBy("field_name", "short", "hash", "kind")
-        .agg(
-            F.min("message").alias("message"),
-            F.count(F.lit(1)).alias("records"),
-            F.approx_count_distinct("source").alias("sources"),
-        )
-        .withColumn(
-            "kind",
-            F.when((F.col("kind") == "notice") & ~F.col("short") & (F.col("field_name") != "title"), None)
-            .when(
-                F.col("kind").isNull()
-                & F.col("short")
-                & (F.col("records") >= RECURRING_RECORDS)
-                & (F.col("sources") >= RECURRING_SOURCES),
-                "recurring",
+    def __init__(self, df: DataFrame, key: str, title: str, description: str, source: str):
+        self.key = key
+        kind = df.schema[key].dataType.simpleString()
+        rows = df.select(F.col(key).alias("id"), F.col(source).alias("source"), F.col(title).alias("t"), F.col(description).alias("d"))
+        self.read = cut(
+            rows.mapInArrow(
+                _messages,
+                f"id {kind}, field_name string, short boolean, hashes array<bigint>, hash bigint, message string, bare string, "
+                "source string, records bigint",
             )
-            .otherwise(F.col("kind")),
         )
-    )
-
+        self.fields = self.read.where(F.col("hashes").isNotNull()).select("id", "field_name", "short", "hashes")
+        short = self.fields.where(F.col("short")).count()
+        one = ["hash", "field_name", "short", "message", "bare"]
+        grouped = (
+            self.read.where(F.col("hash").isNotNull())
+            .repartition("hash")  # tasks have counted already
+            .groupBy(*one, "source")
+            .agg(F.sum("records").alias("records"))
+            .groupBy(*one)
+            .agg(F.sum("records").alias("records"), F.count("source").alias("sources"))
+        )
+        known = grouped.mapInArrow(_classifier, "hash bigint, short boolean, message string, records bigint, sources bigint, kinds array<string>")
+        recurs = (
+            F.col("short")
+            & (F.col("records") >= max(RECURRING_RECORDS, short * RECURRING_SHARE))
+            & (F.col("sources") >= RECURRING_SOURCES)
+        )
+        self.messages = cut(known.withColumn("recurs", recurs).where(F.col("recurs") | (F.size("kinds") > 0)))
 
-def classified(rows: DataFrame, key: str) -> DataFrame:
-    """Units with the kind their own wording gives, the masked message and its hash; computed once."""
-    kind = F.when(F.col("field_name") == "title", classify_title(F.col("unit"), F.col("bare"))).otherwise(
-        classify(F.col("unit"))
-    )
-    message = mask(F.col("unit"))
-    return cut(
-        rows.select(
-            key, "source", "field_name", "short", kind.alias("kind"), message.alias("message"), F.xxhash64(message).alias("hash")
-        ).where(F.col("kind").isNotNull() | F.col("short"))
-    )
+    def found(self) -> DataFrame:
+        """(key, field_name, kinds) of every field that holds residue."""
+        lines = self.fields.select(
+            "id", "field_name", F.xxhash64("hashes").alias("row"), F.size("hashes").alias("lines"), F.explode("hashes").alias("hash")
+        )
+        hit = lines.join(self.messages.select("hash", "kinds", "recurs"), "hash")
+        ruled = F.array_distinct(F.flatten(F.collect_set("kinds")))
+        whole = (F.count_distinct("hash") == F.first("lines")) & F.max("recurs")
+        recurring = F.when(whole, F.array(F.lit("recurring"))).otherwise(F.array().cast("array<string>"))
+        return (
+            hit.groupBy("id", "field_name", "row")
+            .agg(F.concat(ruled, recurring).alias("kinds"))
+            .where(F.size("kinds") > 0)
+            .groupBy(F.col("id").alias(self.key), "field_name")
+            .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("kinds")))).alias("kinds"))
+        )
 
 
 def residue(df: DataFrame, key: str, title: str, description: str, source: str) -> DataFrame:
     """(key, field_name, kinds) of every field that holds residue."""
-    rows = classified(units(df, key, title, description, source), key)
-    bad = messages(rows).where(F.col("kind").isNotNull()).select("field_name", "short", "hash", F.col("kind").alias("is"))
-    hit = rows.join(bad, ["field_name", "short", "hash"])
-    return (
-        hit.where(F.col("kind").eqNullSafe(F.col("is")) | (F.col("is") == "recurring"))
-        .groupBy(key, "field_name")
-        .agg(F.array_sort(F.collect_set("is")).alias("kinds"))
-    )
+    return Residue(df, key, title, description, source).found()
 
 
 def without_residue(df: DataFrame, found: DataFrame, key: str) -> DataFrame:

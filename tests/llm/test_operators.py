@@ -6,6 +6,8 @@ import re
 import numpy as np
 import pandas as pd
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from hirelake.llm import boilerplate, canonical, charform, langid, leakage, linkage, packing, repetition, residue
@@ -214,6 +216,15 @@ def test_description_residue(spark):
         8: (None, False),
         9: ("", False),
         10: (long * 3000, False),
+        11: (f"{long}\nSalary (NaN) per month", True),
+        12: (f"{long}\nThe value:nil/none", True),
+        13: (f"{long}\nbla, bla, bla, bla", True),
+        14: (f"{long}\nYour contact is nil,ask later", True),
+        15: ("---\n***", False),
+        16: (f"{long}\nYou will join __team_name__ and report to the field service team", True),
+        17: ("Placeholder copy, replace before launch", True),
+        18: (f"{long}\nYou will join $var_city and report to {{0}}", False),
+        19: (f"{long}\nThe job in <Abteilung> starts soon", True),
     }
     rows = spark.createDataFrame([(k, "Tester", t, "board") for k, (t, _) in cases.items()], "id bigint, title string, body string, source string")
     found = residue.residue(rows, "id", "title", "body", "source")
@@ -222,6 +233,38 @@ def test_description_residue(spark):
     assert residue.residue(rows.where("false"), "id", "title", "body", "source").count() == 0
 
 
+@pytest.mark.parametrize("kind, signs, pattern", residue._RULES)
+def test_signs_are_implied_by_their_rules(kind, signs, pattern):
+    @settings(max_examples=60, deadline=None, suppress_health_check=list(HealthCheck))
+    @given(st.from_regex(pattern))
+    def run(text):
+        assert any(sign in text for sign in signs)
+
+    run()
+
+
+def test_residue_by_recurrence_and_by_message(spark):
+    unknown = "Diese Kiste ist leider leer\nKomm doch morgen wieder"
+    rows = [(n, None, unknown, f"board{n % 4}") for n in range(8)]
+    rows += [(100 + n, None, f"Komm doch morgen wieder\nEigene Zeile {'abcdefgh'[n]}", f"board{n % 4}") for n in range(8)]
+    rows += [(200 + n, None, "Nur auf einer Seite", "board0") for n in range(8)]
+    rows += [(300, None, unknown, None), (300, None, unknown, None)]
+    table = spark.createDataFrame(rows, "id bigint, title string, body string, source string")
+    found = {r["id"]: r["kinds"] for r in residue.residue(table, "id", "title", "body", "source").collect()}
+    assert found == {n: ["recurring"] for n in (*range(8), 300)}
+
+
+def test_residue_is_what_its_rules_say_of_every_line(spark):
+    rules, rng = residue.Rules(), random.Random(8)
+    odd = ["{{x}}", "nan", "NaN,", "(nil)", "bla bla", "lorem ipsum", "[Firma einfügen]", "%%a%%", "__b_c__", "#team#", "todo: x", "xxxx", "#N/A"]
+    texts = ["\n".join(" ".join([sentence(rng, 12), rng.choice(odd), sentence(rng, 8)]) for _ in range(4)) for _ in range(150)]
+    table = spark.createDataFrame([(n, None, t, "board") for n, t in enumerate(texts)], "id bigint, title string, body string, source string")
+    found = {r["id"]: set(r["kinds"]) for r in residue.residue(table, "id", "title", "body", "source").collect()}
+    for n, text in enumerate(texts):
+        want = set().union(*(rules.classify(residue.mask(charform.form(line))) for line in text.split("\n"))) - {"notice"}
+        assert found.get(n, set()) == want
+
+
 # --- 1: boilerplate
 
 
