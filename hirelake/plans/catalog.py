@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +11,7 @@ from hirelake.functions import text as t
 from hirelake.functions import urls as u
 from hirelake.operators import excerpt, export, normalise, ordering, queue, scoring
 from hirelake.plans import sql
-from hirelake.runtime import shared_folder, ship, spread, table
+from hirelake.runtime import new_folder, ship, spread, table
 from hirelake.sinks.files import column_widths
 from hirelake.streaming.pool import Pool, page_statistics
 
@@ -400,21 +398,32 @@ def user_activity(spark, d):
     return rows.agg(F.count(F.lit(1)).alias("events"), F.countDistinct("event_type").alias("kinds"), F.min("ts").alias("first"), F.max("ts").alias("last"))
 
 
-def _stream(spark, d, name: str) -> DataFrame:
-    """A stream over the files of a table."""
-    path = f"{d}/{name}.parquet"
-    reader = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1)
-    return reader.parquet(path) if os.path.isdir(path) else reader.option("pathGlobFilter", f"{name}.parquet").parquet(d)
+def _stream(spark, d, name: str, *columns: str, files: int = 4) -> DataFrame:
+    """A stream over some columns of a table, of several files that arrive one after the other."""
+    path = new_folder(spark, "arriving")
+    rows = table(spark, d, name).select(*columns)
+    rows.repartition(files).write.parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def _fed_pool(spark, d) -> Pool:
+    folder = new_folder(spark, "pool")
+    pool = Pool(spark, folder, "url", "seq")
+    pool.feed(_stream(spark, d, "collected", "url", "seq", "source"), f"{folder}/checkpoint").awaitTermination()
+    return pool
 
 
 @query
 def stream_first_seen(spark, d):
-    """The pool of a stream of sightings: each posting once."""
-    folder = tempfile.mkdtemp(prefix="pool-", dir=shared_folder(spark))
-    pool = Pool(spark, folder, "url", "seq")
-    rows = _stream(spark, d, "collected").select("url", "seq", "source")
-    pool.feed(rows, os.path.join(folder, "checkpoint")).awaitTermination()
-    return pool.current().select("url", "source")
+    """The pool of a stream of sightings in several micro-batches: each posting once."""
+    return _fed_pool(spark, d).current().select("url")
+
+
+@query
+def stream_totals(spark, d):
+    """What the micro-batches of that stream found and added, altogether."""
+    rows = _fed_pool(spark, d).statistics()
+    return rows.agg(F.count_distinct("batch").alias("batches"), F.sum("found").alias("found"), F.sum("added").alias("added"))
 
 
 def _shipped(function: Query) -> Query:

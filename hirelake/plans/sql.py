@@ -200,5 +200,6 @@ ORACLES = {
         lower(concat_ws(' ', title, employment_type_raw, description_raw)) AS x, lower(coalesce(employment_type_raw, '')) AS e FROM parsed_detail)""",
     "export_widths": "SELECT c AS \"column\", greatest(10, least(42, greatest(coalesce(n, 0), length(c)) + 2)) AS width FROM (SELECT unnest(['title', 'company', 'location_raw', 'apply_url']) AS c, unnest([max(length(title)), max(length(company)), max(length(location_raw)), max(length(apply_url))]) AS n FROM parsed_detail)",
     "user_activity": "SELECT user_id, count(*) AS events, count(DISTINCT event_type) AS kinds, min(ts) AS first, max(ts) AS last FROM events GROUP BY user_id",
-    "stream_first_seen": "SELECT url, source FROM collected WHERE url IS NOT NULL QUALIFY row_number() OVER (PARTITION BY url ORDER BY seq) = 1",
+    "stream_totals": "SELECT 4 AS batches, count(*) AS found, count(DISTINCT url) AS added FROM collected",
+    "stream_first_seen": "SELECT DISTINCT url FROM collected WHERE url IS NOT NULL",
 }

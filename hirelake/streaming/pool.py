@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from hirelake.operators.ordering import distinct_by_key
+from hirelake.runtime import listed
 
 
 def first_seen_batch(df: DataFrame, key: str, order: str) -> DataFrame:
@@ -20,15 +19,16 @@ class Pool:
 
     Each micro-batch is reduced to its first rows by key, then to keys that the pool hasn't, and
     written as a folder of its own named after the batch; a batch that is run again overwrites its
-    folder, so a lost and repeated batch leaves the pool as it was.
+    folder, so a lost and repeated batch leaves the pool as it was. The folder may be on any file system
+    Spark writes to. Of the pool, a batch reads the key column only.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, key: str, order: str, run: str | None = None):
-        self.spark, self.folder, self.key, self.order, self.run = spark, folder, key, order, run
-        self.rows, self.stats = os.path.join(folder, "rows"), os.path.join(folder, "stats")
+    def __init__(self, spark: SparkSession, folder: str, key: str, order: str):
+        self.spark, self.folder, self.key, self.order = spark, folder, key, order
+        self.rows, self.stats = f"{folder}/rows", f"{folder}/stats"
 
     def current(self, below: int | None = None) -> DataFrame | None:
-        if not os.path.isdir(self.rows) or not any(n.startswith("batch=") for n in os.listdir(self.rows)):
+        if not any(n.startswith("batch=") for n in listed(self.spark, self.rows)):
             return None
         found = self.spark.read.parquet(self.rows)
         return found.where(F.col("batch") < below) if below is not None else found
@@ -37,10 +37,10 @@ class Pool:
         first = first_seen_batch(batch, self.key, self.order).persist()
         known = self.current(below=number)
         fresh = first if known is None else first.join(known.select(self.key), self.key, "left_anti")
-        fresh.write.mode("overwrite").parquet(os.path.join(self.rows, f"batch={number}"))
-        added = self.spark.read.parquet(os.path.join(self.rows, f"batch={number}")).count()
+        fresh.write.mode("overwrite").parquet(f"{self.rows}/batch={number}")
+        added = self.spark.read.parquet(f"{self.rows}/batch={number}").count()
         seen = batch.agg(F.count(F.lit(1)).alias("found"), F.lit(added).alias("added"))
-        seen.write.mode("overwrite").parquet(os.path.join(self.stats, f"batch={number}"))
+        seen.write.mode("overwrite").parquet(f"{self.stats}/batch={number}")
         first.unpersist()
 
     def feed(self, stream: DataFrame, checkpoint: str) -> StreamingQuery:
@@ -58,7 +58,7 @@ class Pool:
 
 
 def page_statistics(df: DataFrame) -> DataFrame:
-    """Rows found and postings first seen per run and page; batch and stream alike."""
+    """Rows found, distinct postings and rows without a title per run and page of a batch table."""
     return df.groupBy("run_id", "search_url").agg(
         F.count(F.lit(1)).alias("found"), F.count_distinct("url").alias("distinct_urls"), F.count_if(F.col("title").isNull()).alias("untitled")
     )
