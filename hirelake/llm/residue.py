@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hirelake.llm.charform import form
-from hirelake.runtime import cut
+from hirelake.runtime import cut, stored
 
 #: Below this number of words a description is no posting.
 POSTING_WORDS = 40
@@ -323,12 +323,13 @@ class Residue:
         self.key = key
         kind = df.schema[key].dataType.simpleString()
         rows = df.select(F.col(key).alias("id"), F.col(source).alias("source"), F.col(title).alias("t"), F.col(description).alias("d"))
-        self.read = cut(
+        self.read = stored(
             rows.mapInArrow(
                 _messages,
                 f"id {kind}, field_name string, short boolean, hashes array<bigint>, hash bigint, message string, bare string, "
                 "source string, records bigint",
-            )
+            ),
+            "messages",
         )
         self.fields = self.read.where(F.col("hashes").isNotNull()).select("id", "field_name", "short", "hashes")
         short = self.fields.where(F.col("short")).count()
