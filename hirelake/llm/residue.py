@@ -168,6 +168,10 @@ _DECORATION = " \t*•·▪►–—|=~+-"
 # What stands before or after a message without being part of it, over masked lower case.
 _BEFORE = re.compile(r"^(\[!\] |(sorry|oops|whoops|ups|hinweis|entschuldigung|note|notice)\b[\s,.:!–—-]+)")
 _AFTER = re.compile(r"\s*(\(id 0\)|\(ref\.? 0\)|:-\(|\| back|zur startseite|try again\.?)$")
+# How those begin and end, for a look before the pattern.
+_FIRST = ("[!]", "sorry", "oops", "whoops", "ups", "hinweis", "entschuldigung", "note", "notice")
+_LAST = ("0)", ":-(", "| back", "zur startseite", "try again", "try again.")
+_DIGIT = re.compile(r"\d")
 _TAGS = re.compile(r"\s*[(\[]((\w{1,4}[/|]){1,3}\w{1,4}|gn|all genders|ref\.? ?\w+|id #?\d+|\d+)[)\]]|\s(m/w/d|w/m/d|m/f/d|f/m/x)\b")
 _TITLE_ENDS = re.compile(r"^[\s–—|:-]+|(/ kennziffer)?\s+#?\d+\s*$|[\s–—|:.…!-]+$")
 
@@ -177,8 +181,11 @@ def mask(text: str) -> str:
     text = text.lower()
     if "@" in text or "/" in text or "www." in text:
         text = _ADDRESS.sub("@", text)
-    text = _NUMBER.sub("0", text).strip(_DECORATION)
-    return _AFTER.sub("", _BEFORE.sub("", text)) or text
+    if _DIGIT.search(text):
+        text = _NUMBER.sub("0", text)
+    text = text.strip(_DECORATION)
+    bare = _BEFORE.sub("", text) if text.startswith(_FIRST) else text
+    return (_AFTER.sub("", bare) if bare.endswith(_LAST) else bare) or text
 
 
 def bare_title(masked: str, source: str | None) -> str:
@@ -225,15 +232,14 @@ class Rules:
 
     def classify(self, message: str) -> set[str]:
         tried = {n for _, of in self.signs.iter(message) for n in of}
-        units = None
+        parts = _SENTENCE.split(message)
+        units = [message, *parts] if len(parts) > 1 else parts
         kinds: set[str] = set()
         for n in sorted(tried):
             kind, _, pattern = _RULES[n]
-            if kind not in kinds and pattern.search(message):
-                units = units or [message, *_SENTENCE.split(message)]
-                if any(pattern.search(u) and not _excused(kind, pattern, u) for u in units):
-                    kinds.add(kind)
-        if _pseudo_latin(message) or any(map(_pseudo_latin, units or _SENTENCE.split(message))):
+            if kind not in kinds and pattern.search(message) and any(pattern.search(u) and not _excused(kind, pattern, u) for u in units):
+                kinds.add(kind)
+        if not PSEUDO_LATIN.isdisjoint(_LATIN_WORD.findall(message)) and any(map(_pseudo_latin, units)):
             kinds.add("filler")
         return kinds
 
@@ -252,13 +258,15 @@ def _hash(*parts: str) -> int:
 def _messages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row per field with the hashes of its messages, and rows with the messages and their counts so far."""
     counts: dict[tuple, int] = {}
+    texts: dict[int, tuple] = {}
     kind = None
 
     def rows(fields: list[tuple], held: dict[tuple, int]) -> pa.RecordBatch:
         none = [None] * len(fields)
         pad = [None] * len(held)
         ids, names, short, hashes = zip(*fields) if fields else ([],) * 4
-        digest, name, brief, message, bare, source = zip(*held) if held else ([],) * 6
+        digest, source = zip(*held) if held else ([],) * 2
+        name, brief, message, bare = zip(*(texts[d] for d in digest)) if held else ([],) * 4
         columns = (
             (kind, [*ids, *pad]), (pa.string(), [*names, *name]), (pa.bool_(), [*short, *brief]), (pa.list_(pa.int64()), [*hashes, *pad]),
             (pa.int64(), [*none, *digest]), (pa.string(), [*none, *message]), (pa.string(), [*none, *bare]),
@@ -275,23 +283,26 @@ def _messages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 message = mask(form(title))
                 if message:
                     bare = bare_title(message, source)
-                    entry = (_hash("t", message, bare), "title", False, message, bare, source)
-                    counts[entry] = counts.get(entry, 0) + 1
-                    fields.append((key, "title", False, [entry[0]]))
+                    digest = _hash("t", message, bare)
+                    texts[digest] = ("title", False, message, bare)
+                    counts[digest, source] = counts.get((digest, source), 0) + 1
+                    fields.append((key, "title", False, [digest]))
             if text and not text.isspace():
                 text = form(text)
                 short = _LONG.match(text) is None
-                found = dict.fromkeys(m for m in map(mask, text.split("\n")) if m)
                 hashes = []
-                for message in found:
-                    digest = _hash("s" if short else "d", message)
-                    hashes.append(digest)
-                    entry = (digest, "description_raw", short, message, "", source)
-                    counts[entry] = counts.get(entry, 0) + 1
+                for message in dict.fromkeys(map(mask, text.split("\n"))):
+                    if message:
+                        digest = _hash("s" if short else "d", message)
+                        hashes.append(digest)
+                        if digest not in texts:
+                            texts[digest] = ("description_raw", short, message, "")
+                        counts[digest, source] = counts.get((digest, source), 0) + 1
                 fields.append((key, "description_raw", short, hashes))
         if len(counts) > MOST_HELD:
             yield rows(fields, counts)
-            counts = {}
+            counts.clear()
+            texts.clear()
         else:
             yield rows(fields, {})
     if counts:
