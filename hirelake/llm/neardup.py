@@ -143,7 +143,8 @@ class NearDuplicates:
         classes = self.signed.select("id", "class").distinct()
         least = classes.groupBy("class").agg(F.min("id").alias("rep"))
         self.membership = stored(classes.join(least, "class").select("id", "rep").distinct(), "membership")
-        copies = self.membership.where(F.col("id") != F.col("rep")).select("id")
+        # small sides are written out first, so that their size decides the join before the large side moves
+        copies = stored(self.membership.where(F.col("id") != F.col("rep")).select("id"), "copies")
         self.reps = self.signed.join(copies, "id", "left_anti")
         self.links = cut(self._links())
 
@@ -187,7 +188,7 @@ class NearDuplicates:
         )
         sure = estimated.where(F.col("estimate") > self.threshold + DOUBT)
         doubt = cut(estimated.where(F.col("estimate") <= self.threshold + DOUBT).select("a", "b"))
-        wanted = doubt.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        wanted = stored(doubt.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
         texts = stored(self.texts.join(wanted, "id", "left_semi"), "texts")
         text = lambda side: texts.select(F.col("id").alias(side), F.col("text").alias(f"{side}_t")).hint("shuffle_merge")
         doubtful = (
