@@ -6,25 +6,31 @@
    is every title word that is none of the others, nor a slot of a template; rare ones are corrected by
    a join to the only word one edit away that is `OFTENER` times as frequent. What title or place don't
    say is taken from the words of the address.
-2. Pairs that agree in all attributes but one are candidates: the employer may be missing, any other
-   attribute must be missing on one side; the employer may be spelt differently in either case. All
-   are equi-joins on hashes. Employers spelt differently are found among the distinct names, by the
-   forms that a deletion leaves of their beginnings: one letter amiss or two swapped; two amiss are too
-   little to go by where another attribute is missing. Subjects meet by any two of their words and agree
-   in part where one of them says more than the other.
-3. Every candidate has a variable between 0 and 1. Weighted rules become hinge losses: an agreeing
-   attribute supports the match, a disagreeing one speaks against it, no match is the default; one
-   posting has one job (exclusivity: its variables sum to 1 at most); two readings of one page are the
-   same job (transitivity: their variables are equal). The convex problem is solved by alternating
-   directions with one copy of a variable per rule. Rules never reach beyond a page, so after one
-   shuffle by page each task iterates on its own pages. The variable is the confidence.
+2. Pairs that agree in three of the four attributes employer, role (with level), subject and place are
+   candidates, whatever the fourth says. All are equi-joins on hashes. Employers spelt differently meet
+   through the distinct names, by the forms that up to two deletions leave of their beginnings; beside an
+   unknown attribute one letter amiss or two swapped are the most. Subjects meet by any two of their
+   words, or by one where the other attributes agree.
+3. Every candidate has a variable between 0 and 1, its confidence. Weighted rules become hinge losses:
+   similar attributes support a match, dissimilar ones speak against it, by degree; no match is the
+   default. Hard and quadratic terms tie variables together:
+   - a posting has one job, so the variables of one reading sum to 1 at most (exclusivity);
+   - a listing is one job, so what its postings say otherwise than it, and otherwise than one another,
+     sums to 1 at most over the different things said (exclusivity);
+   - readings of one page are one job, and so are postings on different pages and boards that say the
+     same of one listing: their variables are drawn together (transitivity).
+4. The convex problem is solved by alternating directions. Terms within a page are solved in the task
+   that holds the page, with one copy of a variable per term. Terms across pages form a table of factors:
+   each round averages the pages' variables per listing and thing said, projects the averages of a
+   listing onto its bound, and hands them back to the pages as targets, with multipliers for what still
+   differs; a round is shuffles of aggregates, and ends when no variable moves by `STILL`.
 
 Copies (equal attributes on one page; equal attributes in the feed) are one reading and one job each
 until the result is written out per pair of rows.
 
-Defined results: null and empty fields say nothing; records of which two or more attributes are
-unknown match nothing; more than `MOST_SUBJECT_WORDS` words are a text, not a subject; repeated rows match like their originals; empty tables give no rows; extra
-columns are ignored.
+Defined results: null and empty fields say nothing; a null page is a page of its own; records of which two
+or more attributes are unknown match nothing; more than `MOST_SUBJECT_WORDS` words are a text, not a
+subject; repeated rows match like their originals; empty tables give no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,14 +46,14 @@ from pyspark.sql import functions as F
 from hirelake.llm.boilerplate import frequent_words
 from hirelake.llm.charform import form
 from hirelake.llm.residue import PLACEHOLDER
-from hirelake.runtime import cut, spread
+from hirelake.runtime import cut, spread, stored
 
 LEAST_WORD_SHARE = 0.01
 MOST_PLACES = 200_000
 LEAST_CONFIDENCE = 0.6
 OFTENER = 3
 MOST_SUBJECT_WORDS = 40
-#: Names one edit apart share a form of so many first letters with one left out at most.
+#: Names some edits apart share a form of so many first letters with as many left out at most.
 NAME_START = 8
 
 # One word or two per role, English first, then German.
@@ -247,22 +253,21 @@ def _reading(reader):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = reader.value.read
         for batch in batches:
-            keys, *fields = (c.to_pylist() for c in batch.columns)
-            found = list(zip(*(read(*row) for row in zip(*fields)))) if keys else [[]] * 7
+            fields = [c.to_pylist() for c in batch.columns[2:]]
+            found = list(zip(*(read(*row) for row in zip(*fields)))) if batch.num_rows else [[]] * 7
             kinds = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(v, k) for v, k in zip(found, kinds))],
-                names=["id", "role", "level", "subject", "place", "name", "host", "trade"],
+                [batch.column(0), batch.column(1), *(pa.array(v, k) for v, k in zip(found, kinds))],
+                names=["id", "page", "role", "level", "subject", "place", "name", "host", "trade"],
             )
 
     return run
 
 
-def attributes(df: DataFrame, key: str, reader, employer_address: Column) -> DataFrame:
+def attributes(df: DataFrame, key: str, reader, employer_address: Column, page: Column) -> DataFrame:
     kind = df.schema[key].dataType.simpleString()
-    return spread(
-        df.select(F.col(key).alias("id"), "title", "company", "location_raw", "source_job_url", employer_address.alias("own"))
-    ).mapInArrow(_reading(reader), f"id {kind}, {ATTRIBUTES}")
+    rows = df.select(F.col(key).alias("id"), page.alias("page"), "title", "company", "location_raw", "source_job_url", employer_address.alias("own"))
+    return spread(rows).mapInArrow(_reading(reader), f"id {kind}, page bigint, {ATTRIBUTES}")
 
 
 #: Weights of the rules: (supports a match, speaks against it), by attribute.
@@ -272,20 +277,23 @@ DEFAULT = 0.3
 EXCLUSIVE = 10.0
 SAME_PAGE = 10.0
 STEP, ROUNDS = 1.0, 60
+#: Weight of the ties across pages; their rounds end when no variable moves by STILL.
+TIE, MOST_TIE_ROUNDS, STILL = 1.0, 12, 0.01
 
 
 def solve(
-    similar: np.ndarray, weight: np.ndarray, reading: np.ndarray, listing: np.ndarray, page_job: np.ndarray
+    similar: np.ndarray, weight: np.ndarray, reading: np.ndarray, listing: np.ndarray, page_job: np.ndarray, target: np.ndarray | None = None
 ) -> np.ndarray:
     """The variables: similar and weight by candidate and attribute (support, against in weight[..., 0:2]).
 
     reading: which candidates exclude one another, unless they are one job listed twice (listing);
-    page_job: which are one job seen twice.
+    page_job: which are one job seen twice; target: where the ties across pages draw each.
     """
     n, k = similar.shape
-    copies = np.full((n, k + 3), 0.5)
-    duals = np.zeros((n, k + 3))
-    shared = np.full(n, 0.5)
+    terms = k + 3 + (target is not None)
+    copies = np.full((n, terms), 0.5)
+    duals = np.zeros((n, terms))
+    shared = np.full(n, 0.5) if target is None else np.clip(target, 0, 1)
     in_page = np.bincount(page_job)
     part = 1 / np.bincount(listing)[listing]  # a job listed n times counts once
     squares = np.bincount(reading, weights=part**2)
@@ -301,13 +309,15 @@ def solve(
         copies[:, k + 1] = start[:, k + 1] - part * step[reading]
         mean = np.bincount(page_job, weights=start[:, k + 2], minlength=len(in_page)) / np.maximum(in_page, 1)
         copies[:, k + 2] = mean[page_job] + (start[:, k + 2] - mean[page_job]) / (1 + 2 * SAME_PAGE / STEP)
+        if target is not None:
+            copies[:, k + 3] = (STEP * start[:, k + 3] + TIE * target) / (STEP + TIE)
         shared = np.clip((copies + duals).mean(axis=1), 0, 1)
         duals += copies - shared[:, None]
     return shared
 
 
 def _solver(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates sorted by page; whole pages are solved together, many at a time."""
+    """Candidates sorted by page; whole pages are solved together, many at a time. Adds value, replacing an older one."""
     waiting: list[pa.RecordBatch] = []
     size = 0
 
@@ -318,9 +328,10 @@ def _solver(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = np.broadcast_to(np.array([WEIGHTS[n] for n in names]), (*similar.shape, 2)).copy()
         weight[unknown] = UNKNOWN
         number = lambda *columns: np.unique(np.stack(columns, axis=1), axis=0, return_inverse=True)[1].ravel()
-        a, f, page, job = (rows[c].to_numpy(zero_copy_only=False) for c in ("a", "f", "page", "job"))
-        found = solve(np.where(unknown, 0.5, similar), weight, number(a), number(a, job), number(page, f))
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(f), pa.array(found)], names=["a", "f", "confidence"])
+        a, f, page, job, target = (rows[c].to_numpy(zero_copy_only=False) for c in ("a", "f", "page", "job", "target"))
+        tied = None if np.isnan(target).all() else np.where(np.isnan(target), 0.5, target)
+        found = solve(np.where(unknown, 0.5, similar), weight, number(a), number(a, job), number(page, f), tied)
+        return rows.set_column(rows.schema.get_field_index("value"), "value", pa.array(found)).combine_chunks().to_batches()[0]
 
     for batch in batches:
         if not batch.num_rows:
@@ -339,6 +350,35 @@ def _solver(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield solved(pa.Table.from_batches(waiting).combine_chunks())
 
 
+def _by_page(rows: DataFrame) -> DataFrame:
+    return rows.repartition("page").sortWithinPartitions("page").mapInArrow(_solver, rows.schema)
+
+
+def confidences(candidates: DataFrame) -> DataFrame:
+    """Candidates (page, a, f, job, said, similarities) with the value of their variables."""
+    none = F.lit(float("nan"))
+    rows = candidates.select("*", none.alias("target"), none.alias("value"), F.lit(0.0).alias("u"))
+    now = stored(_by_page(rows), "round")
+    for _ in range(MOST_TIE_ROUNDS):
+        v = F.col("value") + F.col("u")
+        said = now.groupBy("f", "said").agg(F.avg(v).alias("mean"))
+        bound = said.groupBy("f").agg(F.sum("mean").alias("all"), F.count(F.lit(1)).alias("things"))
+        excess = F.greatest(F.col("all") - 1, F.lit(0.0)) / F.col("things")
+        agreed = said.join(bound, "f").select("f", "said", F.greatest(F.col("mean") - excess, F.lit(0.0)).alias("agreed"))
+        tied = (
+            now.join(agreed, ["f", "said"])
+            .withColumn("u", v - F.col("agreed"))
+            .withColumn("target", F.col("agreed") - F.col("u"))
+            .withColumn("before", F.col("value"))
+        )
+        after = stored(_by_page(tied.select(*now.columns, "before")), "round")
+        moved = after.agg(F.max(F.abs(F.col("value") - F.col("before")))).first()[0]
+        now = after.drop("before")
+        if moved is None or moved < STILL:
+            break
+    return now
+
+
 def _employer_similarity() -> Column:
     """1 for the same name; less for misspelt ones, if the trades in the names don't differ."""
     trades = F.levenshtein("a_trade", "f_trade") > 2
@@ -354,17 +394,26 @@ def _employer_similarity() -> Column:
 
 
 def _subject_similarity() -> Column:
-    """1 for the same words, less where one side has two or more and the other has more; NaN: unknown."""
+    """1 for the same words, less where one side has two or more and the other has more, else the share in common."""
     a, f = F.split("a_subject", " "), F.split("f_subject", " ")
     common = F.size(F.array_intersect(a, f))
     return (
         F.when(F.col("a_subject").isNull() | F.col("f_subject").isNull(), F.lit(float("nan")))
         .when(F.col("a_subject") == F.col("f_subject"), 1.0)
         .when((common >= 2) & (common == F.least(F.size(a), F.size(f))), 0.9)
-        .otherwise(0.0)
+        .otherwise(0.5 * common / F.greatest(F.size(a), F.size(f)))
     )
 
 
+def _said_otherwise() -> Column:
+    """What a posting says otherwise than a listing; the same for all that say nothing otherwise."""
+    other = lambda c, x: F.when(F.col(c) < 0.9, F.coalesce(x, F.lit(""))).otherwise(F.lit(""))
+    return F.xxhash64(
+        other("role", F.concat_ws(" ", "a_role", "a_level")), other("subject", F.col("a_subject")), other("place", F.col("a_place").cast("string")),
+        other("employer", F.coalesce("a_name", "a_host")),
+    )
+
+
 def _subject_keys(subject: Column) -> Column:
     """The only word, or any two of the words."""
     words = F.split(subject, " ")
@@ -394,12 +443,16 @@ def _corrections(sides: list[DataFrame], known: DataFrame) -> DataFrame:
     return wrong.select("subject", F.array_join(F.array_sort(F.array_distinct(words)), " ").alias("spelled"))
 
 
-def _deletions(name: Column) -> Column:
-    """The first letters of a name, and with one of them left out, but never all."""
+def _deletions(name: Column, most: int = 1) -> Column:
+    """The first letters of a name, and with up to `most` of them left out, but never all."""
     start = F.substring(name, 1, NAME_START)
-    places = F.sequence(F.lit(1), F.length(start))
-    one = F.transform(places, lambda n: F.concat(F.substring(start, F.lit(1), n - 1), F.substr(start, n + 1)))
-    return F.filter(F.array_distinct(F.concat(F.array(start), one)), lambda x: x != "")
+    without = lambda x: F.transform(
+        F.sequence(F.lit(1), F.length(x)), lambda n: F.concat(F.substring(x, F.lit(1), n - 1), F.substr(x, n + 1))
+    )
+    found = F.array(start)
+    for _ in range(most):
+        found = F.array_distinct(F.concat(found, F.flatten(F.transform(F.filter(found, lambda x: F.length(x) > 1), without))))
+    return found
 
 
 def _one_edit(x: str, y: str) -> Column:
@@ -410,12 +463,13 @@ def _one_edit(x: str, y: str) -> Column:
 
 
 def near_names(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(a_who, who) of every distinct name of left and name of right at most one edit from it."""
+    """(a_who, who, close) of every distinct name of left and name of right at most two edits from it; close: one."""
     sides = [
-        df.select("who").where(F.col("who") != "").distinct().withColumn("part", F.explode(_deletions(F.col("who")))).withColumnRenamed("who", name)
+        df.select("who").where(F.col("who") != "").distinct().withColumn("part", F.explode(_deletions(F.col("who"), 2))).withColumnRenamed("who", name)
         for df, name in ((left, "a_who"), (right, "who"))
     ]
-    return sides[0].join(sides[1], "part").where(_one_edit("a_who", "who")).select("a_who", "who").distinct()
+    found = sides[0].join(sides[1], "part").select("a_who", "who").distinct()
+    return found.where(F.levenshtein("a_who", "who", 2) >= 0).withColumn("close", _one_edit("a_who", "who"))
 
 
 class Linkage:
@@ -431,47 +485,59 @@ class Linkage:
         words = [r["word"] for r in frequent_words(titles, ["title"], LEAST_WORD_SHARE).collect()]  # 1 / share per title word
         reader = spark.sparkContext.broadcast(Reader(sorted(words), Places([tuple(r) for r in listed])))
         columns = ["role", "level", "subject", "place", "name", "host", "trade"]
-        pages = left.select(F.col(left_key).alias("id"), F.xxhash64(page).alias("page"))
-        mine = attributes(left, left_key, reader, F.col(left_address)).join(pages, "id")
-        theirs = cut(attributes(right, right_key, reader, F.col("source_job_url")))
-        mine = cut(mine)
+        own_page = F.coalesce(F.when(F.col(page).isNotNull(), F.xxhash64(page)), F.xxhash64(F.lit("row"), left_key))
+        mine = cut(attributes(left, left_key, reader, F.col(left_address), own_page))
+        theirs = cut(attributes(right, right_key, reader, F.col("source_job_url"), F.lit(0).cast("bigint")))
         known = spark.createDataFrame([(w,) for w in words], "word string")
         spelled = cut(_corrections([mine, theirs], known))
         correct = lambda df: df.join(spelled, "subject", "left").withColumn("subject", F.coalesce("spelled", "subject")).drop("spelled")
         self.mine = cut(correct(mine).withColumn("a", F.xxhash64("page", *columns)))
-        self.theirs = cut(correct(theirs).withColumn("f", F.xxhash64(*columns)))
+        self.theirs = cut(correct(theirs).drop("page").withColumn("f", F.xxhash64(*columns)))
         self.columns = columns
 
-    def _candidates(self) -> DataFrame:
+    def candidates(self) -> DataFrame:
+        """(page, a, f, job, said, similarities) of the pairs that agree in three attributes."""
         a = self.mine.select("a", "page", *(F.col(c).alias(f"a_{c}") for c in self.columns)).dropDuplicates(["a"])
         f = self.theirs.select("f", *(F.col(c).alias(f"f_{c}") for c in self.columns)).dropDuplicates(["f"])
-        who = lambda s: F.explode(F.array_distinct(F.array_compact(F.array(f"{s}_name", f"{s}_host"))))
-        what = lambda s: (F.col(f"{s}_role"), F.col(f"{s}_level"))
-        blocks = [
-            ("employer", lambda s: (*what(s), F.col("words"), F.col(f"{s}_place")), False),
-            ("place", lambda s: (F.col("who"), *what(s), F.col("words")), True),
-            ("subject", lambda s: (F.col("who"), *what(s), F.col(f"{s}_place")), True),
-            ("role", lambda s: (F.col("who"), F.col("words"), F.col(f"{s}_place")), True),
-        ]
-        found = None
-        employed = {"a": a.withColumn("a_who", who("a")), "f": f.withColumn("who", who("f"))}
+        names = lambda s: F.array_distinct(F.array_compact(F.array(f"{s}_name", f"{s}_host")))
+        employed = {"a": a.withColumn("a_who", F.explode(names("a"))), "f": f.withColumn("who", F.explode(names("f")))}
         near = cut(near_names(employed["a"].select(F.col("a_who").alias("who")), employed["f"]))
         employed["a"] = employed["a"].join(near, "a_who").drop("a_who")  # by the names that the feed has
-        for left_out, keys, with_employer in blocks:
-            sides = []
-            for s, df in (("a", a), ("f", f)):
-                df = employed[s] if with_employer else df
-                df = df.withColumn("words", F.explode(_subject_keys(F.col(f"{s}_subject")))) if left_out != "subject" else df
-                known = [k.isNotNull() for k in keys(s)]
-                for condition in known:
-                    df = df.where(condition)
-                sides.append(df.withColumn("block", F.xxhash64(*keys(s))).drop("who", "words"))
-            pairs = sides[0].join(sides[1], "block").drop("block")
-            if left_out != "subject":
-                pairs = pairs.where(_subject_similarity() > 0)
-            if left_out != "employer":
-                pairs = pairs.where(F.col(f"a_{left_out}").isNull() | F.col(f"f_{left_out}").isNull())
-            found = pairs if found is None else found.unionByName(pairs)
+        nameless = {s: df.where(F.size(names(s)) == 0).withColumn("who", F.lit("")) for s, df in (("a", a), ("f", f))}
+        plain = {"a": a.withColumn("who", F.lit("")).withColumn("close", F.lit(True)), "f": f.withColumn("who", F.lit(""))}
+        nameless["a"] = nameless["a"].withColumn("close", F.lit(True))
+
+        def block(sides: dict[str, DataFrame], keys: list[str], words) -> DataFrame:
+            joined = []
+            for s in ("a", "f"):
+                of = [F.col("who"), *(F.col(f"{s}_{k}") for k in keys)]
+                df = sides[s]
+                for k in of:
+                    df = df.where(k.isNotNull())
+                if words is not None:
+                    df = df.withColumn("words", F.explode(words(F.col(f"{s}_subject"))))
+                    of.append(F.col("words"))
+                joined.append(df.withColumn("block", F.xxhash64(*of)).drop("who", "words"))
+            return joined[0].join(joined[1], "block").drop("block")
+
+        pairs, single = _subject_keys, lambda subject: F.split(subject, " ")
+        role = ["role", "level"]
+        close = F.col("close") | (F.col("a_role").isNotNull() & F.col("f_role").isNotNull() & F.col("a_place").isNotNull()
+                                  & F.col("f_place").isNotNull() & F.col("a_subject").isNotNull() & F.col("f_subject").isNotNull())
+        unknown = F.col("a_subject").isNull() | F.col("f_subject").isNull()
+        blocks = [
+            block({"a": nameless["a"], "f": plain["f"]}, [*role, "place"], pairs),
+            block({"a": plain["a"], "f": nameless["f"]}, [*role, "place"], pairs),
+            block(employed, role, pairs),
+            block(employed, ["place"], pairs),
+            block(employed, [*role, "place"], single),
+            block({"a": employed["a"].where("a_subject is null"), "f": employed["f"]}, [*role, "place"], None).where(unknown),
+            block({"a": employed["a"], "f": employed["f"].where("f_subject is null")}, [*role, "place"], None).where(unknown),
+        ]
+        found = blocks[0]
+        for more in blocks[1:]:
+            found = found.unionByName(more)
+        found = found.where(close).drop("close")
         equal = lambda x, y: F.when(F.col(x).isNull() | F.col(y).isNull(), F.lit(float("nan"))).otherwise((F.col(x) == F.col(y)).cast("double"))
         # listings that only add to what a posting says are one job to it
         said = F.array_join(F.array_intersect(F.split("f_subject", " "), F.split("a_subject", " ")), " ")
@@ -485,20 +551,14 @@ class Linkage:
             )
             .withColumn("subject", _subject_similarity())
             .withColumn("place", equal("a_place", "f_place"))
-            .where(F.isnan("employer") | (F.col("employer") > 0))
+            .withColumn("said", _said_otherwise())
             .withColumn("job", F.xxhash64("f_role", "f_level", F.coalesce(said, "f_subject"), "f_place"))
-            .select("page", "a", "f", "job", *WEIGHTS)
+            .select("page", "a", "f", "job", "said", *WEIGHTS)
         )
 
     def matches(self, least: float = LEAST_CONFIDENCE) -> DataFrame:
         """(left_key, right_key, confidence) of every pair of rows that are the same job."""
-        found = (
-            self._candidates()
-            .repartition("page")
-            .sortWithinPartitions("page")
-            .mapInArrow(_solver, "a bigint, f bigint, confidence double")
-            .where(F.col("confidence") >= least)
-        )
+        found = confidences(self.candidates()).select("a", "f", F.col("value").alias("confidence")).where(F.col("confidence") >= least)
         return (
             found.join(self.mine.select("a", F.col("id").alias(self.left_key)), "a")
             .join(self.theirs.select("f", F.col("id").alias(self.right_key)), "f")

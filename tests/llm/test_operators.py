@@ -456,9 +456,13 @@ def test_near_names_equal_brute_force(spark):
             names.add("".join(letters))
     df = spark.createDataFrame([(n,) for n in sorted(names)], "who string")
     want = {(a, b) for a in names for b in names if linkage.one_edit(a, b)}
-    got = {(r[0], r[1]) for r in linkage.near_names(df, df).collect()}
+    found = linkage.near_names(df, df).collect()
+    got = {(r[0], r[1]) for r in found if r["close"]}
     assert all(set(a) & set(b) for a, b in got) and all(not set(a) & set(b) for a, b in want - got)
     assert not {p for p in got - want if sorted(p[0]) != sorted(p[1])}
+    starts = [n for n in sorted(names) if len(n) > 8]
+    alike = {(a, b) for a in starts for b in starts if a[8:] == b[8:] and sum(x != y for x, y in zip(a, b)) == 2 and len(a) == len(b)}
+    assert alike <= {(r[0], r[1]) for r in found}
 
 
 def test_alternating_directions_find_the_optimum():
@@ -470,3 +474,29 @@ def test_alternating_directions_find_the_optimum():
     assert rival.sum() < 1.1
     twice = linkage.solve(similar[2:], weight[2:], np.zeros(2, int), np.zeros(2, int), np.arange(2))
     assert twice.min() > 0.95
+
+
+def test_ties_across_pages_change_confidences(spark):
+    nan = float("nan")
+    schema = "page bigint, a bigint, f bigint, job bigint, said bigint, employer double, role double, subject double, place double"
+    sure, weak = (1.0, 1.0, 1.0, 1.0), (1.0, 1.0, 0.6, nan)
+    alone = [(1, 1, 1, 1, 0, *weak)]
+    tied = [(1, 1, 1, 1, 0, *weak), *((n, n, 1, 1, 0, *sure) for n in range(2, 6))]
+    rival = [(1, 1, 1, 1, 7, *weak), *((n, n, 1, 1, 0, *sure) for n in range(2, 6))]
+    value = lambda rows: {r["a"]: r["value"] for r in linkage.confidences(spark.createDataFrame(rows, schema)).collect()}[1]
+    assert value(rival) < value(alone) < value(tied)
+    assert linkage.confidences(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_null_pages_are_apart(spark):
+    columns = "id bigint, url string, apply_url string, title string, company string, location_raw string, source_job_url string"
+    title = "Senior Developer Bakery Robotics"
+    posts = [(n, None, None, title, "Lumdrajet GmbH", town, None) for n, town in enumerate(["Bremen", "Ulm", "Bremen", None])]
+    feed = [(n, title, "Lumdrajet", town, None) for n, town in enumerate(["Bremen", "Ulm"])]
+    places = [(1, "Bremen", "X", None), (2, "Ulm", "Y", None)]
+    found = linkage.Linkage(
+        spark.createDataFrame(posts, columns), "id", "url", "apply_url",
+        spark.createDataFrame(feed, "feed bigint, title string, company string, location_raw string, source_job_url string"), "feed",
+        spark.createDataFrame(places, "ref_id int, canonical_value string, place_region string, other_name string"),
+    ).matches()
+    assert {(r["id"], r["feed"]) for r in found.collect()} == {(0, 0), (2, 0), (1, 1)}
