@@ -7,10 +7,13 @@
    a join to the only word one edit away that is `OFTENER` times as frequent. What title or place don't
    say is taken from the words of the address.
 2. Pairs that agree in three of the four attributes employer, role (with level), subject and place are
-   candidates, whatever the fourth says. All are equi-joins on hashes. Employers spelt differently meet
-   through the distinct names, by the forms that up to two deletions leave of their beginnings; beside an
-   unknown attribute one letter amiss or two swapped are the most. Subjects meet by any two of their
-   words, or by one where the other attributes agree.
+   candidates, if the fourth is unknown to one side or similar: the employer spelt differently, the
+   subject with a word in common. All kinds of agreement are keys of one equi-join of (key, id) rows, and
+   an unknown attribute makes the side that lacks it the rare one. Listings with equal attributes are one,
+   so a posting meets as many of them as there are other words beside the one in common, however many
+   postings there are. Employers spelt differently meet through
+   the distinct names, by the forms that up to two deletions leave of their beginnings; beside an unknown
+   attribute one letter amiss or two swapped are the most. Subjects meet by any two of their words.
 3. Every candidate has a variable between 0 and 1, its confidence. Weighted rules become hinge losses:
    similar attributes support a match, dissimilar ones speak against it, by degree; no match is the
    default. Hard and quadratic terms tie variables together:
@@ -394,17 +397,23 @@ def _employer_similarity() -> Column:
 
 
 def _subject_similarity() -> Column:
-    """1 for the same words, less where one side has two or more and the other has more, else the share in common."""
+    """1 for the same words, less where one side has more, half the share in common at other words. NaN: unknown."""
     a, f = F.split("a_subject", " "), F.split("f_subject", " ")
     common = F.size(F.array_intersect(a, f))
     return (
         F.when(F.col("a_subject").isNull() | F.col("f_subject").isNull(), F.lit(float("nan")))
         .when(F.col("a_subject") == F.col("f_subject"), 1.0)
         .when((common >= 2) & (common == F.least(F.size(a), F.size(f))), 0.9)
+        .when((common == 1) & (F.least(F.size(a), F.size(f)) == 1), 0.55)
         .otherwise(0.5 * common / F.greatest(F.size(a), F.size(f)))
     )
 
 
+def _all_similar() -> Column:
+    """No attribute is known to be another."""
+    return _all([F.nullif(F.col(c), F.lit(0.0)) for c in WEIGHTS])
+
+
 def _said_otherwise() -> Column:
     """What a posting says otherwise than a listing; the same for all that say nothing otherwise."""
     other = lambda c, x: F.when(F.col(c) < 0.9, F.coalesce(x, F.lit(""))).otherwise(F.lit(""))
@@ -414,11 +423,49 @@ def _said_otherwise() -> Column:
     )
 
 
-def _subject_keys(subject: Column) -> Column:
-    """The only word, or any two of the words."""
-    words = F.split(subject, " ")
+def _keys(s: str) -> Column:
+    """What a row of side s ("a" or "f") with an employer's name in who must share with a row of the other side.
+
+    A key says which attribute may be unknown, and on which side; only rows that lack it have it there.
+    """
+    role, level, place, subject = (F.col(f"{s}_{c}") for c in ("role", "level", "place", "subject"))
+    words = F.when(subject.isNull(), F.array().cast("array<string>")).otherwise(F.split(subject, " "))
     pairs = F.flatten(F.transform(words, lambda x: F.transform(F.filter(words, lambda y: y > x), lambda y: F.concat(x, F.lit(" "), y))))
-    return F.when(F.size(words) == 1, words).otherwise(pairs)
+    pairs = F.when(F.size(words) == 1, words).otherwise(pairs)
+    none = F.array().cast("array<bigint>")
+
+    def keys(name: str, condition: Column, among: Column, *of: Column) -> Column:
+        return F.when(condition & _all(of), F.transform(among, lambda w: F.xxhash64(F.lit(name), w, *of))).otherwise(none)
+
+    def lacking(name: str, attribute: Column, among: Column, *of: Column) -> list[Column]:
+        """Keys for the attribute unknown to this side, and for it unknown to the other."""
+        other = "f" if s == "a" else "a"
+        return [
+            keys(f"{name} {s}", F.col("close") & attribute.isNull(), among, *of),
+            keys(f"{name} {other}", F.col("close"), among, *of),
+        ]
+
+    who = F.col("who")
+    whole = F.array(F.lit(""))
+    return F.array_distinct(
+        F.concat(
+            keys("all", who.isNotNull(), pairs, who, role, level, place),
+            *lacking("place", place, pairs, who, role, level),
+            *lacking("role", role, pairs, who, place),
+            *lacking("subject", subject, whole, who, role, level, place),
+            keys("word", F.col("close"), words, who, role, level, place),
+            keys(f"employer {s}", F.col("nameless"), pairs, role, level, place),
+            keys(f"employer {'f' if s == 'a' else 'a'}", F.col("first"), pairs, role, level, place),
+        )
+    )
+
+
+def _all(columns) -> Column:
+    """No column is null."""
+    out = F.lit(True)
+    for c in columns:
+        out = out & c.isNotNull()
+    return out
 
 
 def _corrections(sides: list[DataFrame], known: DataFrame) -> DataFrame:
@@ -500,50 +547,21 @@ class Linkage:
         a = self.mine.select("a", "page", *(F.col(c).alias(f"a_{c}") for c in self.columns)).dropDuplicates(["a"])
         f = self.theirs.select("f", *(F.col(c).alias(f"f_{c}") for c in self.columns)).dropDuplicates(["f"])
         names = lambda s: F.array_distinct(F.array_compact(F.array(f"{s}_name", f"{s}_host")))
-        employed = {"a": a.withColumn("a_who", F.explode(names("a"))), "f": f.withColumn("who", F.explode(names("f")))}
-        near = cut(near_names(employed["a"].select(F.col("a_who").alias("who")), employed["f"]))
-        employed["a"] = employed["a"].join(near, "a_who").drop("a_who")  # by the names that the feed has
-        nameless = {s: df.where(F.size(names(s)) == 0).withColumn("who", F.lit("")) for s, df in (("a", a), ("f", f))}
-        plain = {"a": a.withColumn("who", F.lit("")).withColumn("close", F.lit(True)), "f": f.withColumn("who", F.lit(""))}
-        nameless["a"] = nameless["a"].withColumn("close", F.lit(True))
-
-        def block(sides: dict[str, DataFrame], keys: list[str], words) -> DataFrame:
-            joined = []
-            for s in ("a", "f"):
-                of = [F.col("who"), *(F.col(f"{s}_{k}") for k in keys)]
-                df = sides[s]
-                for k in of:
-                    df = df.where(k.isNotNull())
-                if words is not None:
-                    df = df.withColumn("words", F.explode(words(F.col(f"{s}_subject"))))
-                    of.append(F.col("words"))
-                joined.append(df.withColumn("block", F.xxhash64(*of)).drop("who", "words"))
-            return joined[0].join(joined[1], "block").drop("block")
-
-        pairs, single = _subject_keys, lambda subject: F.split(subject, " ")
-        role = ["role", "level"]
-        close = F.col("close") | (F.col("a_role").isNotNull() & F.col("f_role").isNotNull() & F.col("a_place").isNotNull()
-                                  & F.col("f_place").isNotNull() & F.col("a_subject").isNotNull() & F.col("f_subject").isNotNull())
-        unknown = F.col("a_subject").isNull() | F.col("f_subject").isNull()
-        blocks = [
-            block({"a": nameless["a"], "f": plain["f"]}, [*role, "place"], pairs),
-            block({"a": plain["a"], "f": nameless["f"]}, [*role, "place"], pairs),
-            block(employed, role, pairs),
-            block(employed, ["place"], pairs),
-            block(employed, [*role, "place"], single),
-            block({"a": employed["a"].where("a_subject is null"), "f": employed["f"]}, [*role, "place"], None).where(unknown),
-            block({"a": employed["a"], "f": employed["f"].where("f_subject is null")}, [*role, "place"], None).where(unknown),
-        ]
-        found = blocks[0]
-        for more in blocks[1:]:
-            found = found.unionByName(more)
-        found = found.where(close).drop("close")
+        # a row per name; the first of them also stands for the row where the other side has no name
+        named = lambda df, s, name: df.select(
+            "*", F.posexplode_outer(names(s)).alias("at", name)
+        ).withColumns({"first": F.coalesce(F.col("at"), F.lit(0)) == 0, "nameless": F.col(name).isNull()}).drop("at")
+        mine, theirs = named(a, "a", "a_who"), named(f, "f", "who").withColumn("close", F.lit(True))
+        near = stored(near_names(mine.select(F.col("a_who").alias("who")), theirs), "names")
+        # by the names that the feed has; rows whose names it hasn't can still lack a counterpart's name
+        mine = mine.join(near, "a_who", "left").withColumn("close", F.coalesce("close", F.lit(True)))
+        keyed = lambda df, s: df.select(s, F.explode(_keys(s)).alias("key")).distinct()
+        found = keyed(mine, "a").join(keyed(theirs, "f"), "key").select("a", "f").distinct().join(a, "a").join(f, "f")
         equal = lambda x, y: F.when(F.col(x).isNull() | F.col(y).isNull(), F.lit(float("nan"))).otherwise((F.col(x) == F.col(y)).cast("double"))
         # listings that only add to what a posting says are one job to it
         said = F.array_join(F.array_intersect(F.split("f_subject", " "), F.split("a_subject", " ")), " ")
         return (
-            found.dropDuplicates(["a", "f"])
-            .withColumn("employer", F.coalesce(_employer_similarity(), F.lit(float("nan"))))
+            found.withColumn("employer", F.coalesce(_employer_similarity(), F.lit(float("nan"))))
             .withColumn(
                 "role", F.when(F.col("a_level") == F.col("f_level"), equal("a_role", "f_role")).otherwise(
                     F.when(F.col("a_role").isNull() | F.col("f_role").isNull(), F.lit(float("nan"))).otherwise(F.lit(0.0))
@@ -551,6 +569,7 @@ class Linkage:
             )
             .withColumn("subject", _subject_similarity())
             .withColumn("place", equal("a_place", "f_place"))
+            .where(_all_similar())
             .withColumn("said", _said_otherwise())
             .withColumn("job", F.xxhash64("f_role", "f_level", F.coalesce(said, "f_subject"), "f_place"))
             .select("page", "a", "f", "job", "said", *WEIGHTS)
