@@ -367,9 +367,9 @@ def confidences(candidates: DataFrame) -> DataFrame:
         said = now.groupBy("f", "said").agg(F.avg(v).alias("mean"))
         bound = said.groupBy("f").agg(F.sum("mean").alias("all"), F.count(F.lit(1)).alias("things"))
         excess = F.greatest(F.col("all") - 1, F.lit(0.0)) / F.col("things")
-        agreed = said.join(bound, "f").select("f", "said", F.greatest(F.col("mean") - excess, F.lit(0.0)).alias("agreed"))
+        agreed = said.join(bound.hint("shuffle_merge"), "f").select("f", "said", F.greatest(F.col("mean") - excess, F.lit(0.0)).alias("agreed"))
         tied = (
-            now.join(agreed, ["f", "said"])
+            now.join(agreed.hint("shuffle_merge"), ["f", "said"])
             .withColumn("u", v - F.col("agreed"))
             .withColumn("target", F.col("agreed") - F.col("u"))
             .withColumn("before", F.col("value"))
@@ -537,7 +537,7 @@ class Linkage:
         theirs = cut(attributes(right, right_key, reader, F.col("source_job_url"), F.lit(0).cast("bigint")))
         known = spark.createDataFrame([(w,) for w in words], "word string")
         spelled = cut(_corrections([mine, theirs], known))
-        correct = lambda df: df.join(spelled, "subject", "left").withColumn("subject", F.coalesce("spelled", "subject")).drop("spelled")
+        correct = lambda df: df.join(spelled.hint("shuffle_merge"), "subject", "left").withColumn("subject", F.coalesce("spelled", "subject")).drop("spelled")
         self.mine = cut(correct(mine).withColumn("a", F.xxhash64("page", *columns)))
         self.theirs = cut(correct(theirs).drop("page").withColumn("f", F.xxhash64(*columns)))
         self.columns = columns
@@ -554,9 +554,11 @@ class Linkage:
         mine, theirs = named(a, "a", "a_who"), named(f, "f", "who").withColumn("close", F.lit(True))
         near = stored(near_names(mine.select(F.col("a_who").alias("who")), theirs), "names")
         # by the names that the feed has; rows whose names it hasn't can still lack a counterpart's name
-        mine = mine.join(near, "a_who", "left").withColumn("close", F.coalesce("close", F.lit(True)))
+        mine = mine.join(near.hint("shuffle_merge"), "a_who", "left").withColumn("close", F.coalesce("close", F.lit(True)))
         keyed = lambda df, s: df.select(s, F.explode(_keys(s)).alias("key")).distinct()
-        found = keyed(mine, "a").join(keyed(theirs, "f"), "key").select("a", "f").distinct().join(a, "a").join(f, "f")
+        # all of these grow with the rows: no side is broadcast because it is small once compressed
+        found = keyed(mine, "a").join(keyed(theirs, "f").hint("shuffle_merge"), "key").select("a", "f").distinct()
+        found = found.join(a.hint("shuffle_merge"), "a").join(f.hint("shuffle_merge"), "f")
         equal = lambda x, y: F.when(F.col(x).isNull() | F.col(y).isNull(), F.lit(float("nan"))).otherwise((F.col(x) == F.col(y)).cast("double"))
         # listings that only add to what a posting says are one job to it
         said = F.array_join(F.array_intersect(F.split("f_subject", " "), F.split("a_subject", " ")), " ")
@@ -579,8 +581,8 @@ class Linkage:
         """(left_key, right_key, confidence) of every pair of rows that are the same job."""
         found = confidences(self.candidates()).select("a", "f", F.col("value").alias("confidence")).where(F.col("confidence") >= least)
         return (
-            found.join(self.mine.select("a", F.col("id").alias(self.left_key)), "a")
-            .join(self.theirs.select("f", F.col("id").alias(self.right_key)), "f")
+            found.join(self.mine.select("a", F.col("id").alias(self.left_key)).hint("shuffle_merge"), "a")
+            .join(self.theirs.select("f", F.col("id").alias(self.right_key)).hint("shuffle_merge"), "f")
             .groupBy(self.left_key, self.right_key)
             .agg(F.max("confidence").alias("confidence"))
         )
