@@ -50,6 +50,8 @@ _IGNORABLE = [(0x00AD, 0x00AD), (0x034F, 0x034F), (0x061C, 0x061C), (0x115F, 0x1
 
 #: Characters that are in form wherever they stand; every other character gets a text examined.
 PLAIN_CLASS = r"\n\r\x20-\x7e\xa1-\xac\xae-ıĴ-ľŁ-ňŊ-ž‐‒-‖‘-‣…‰-※←-⇿─-➿"
+#: Characters whose full case folding is their lower case, whatever stands beside them.
+_LOWERED = r"\n\r\t\x20-\x7e\xa0-\xb4\xb6-\xde\xe0-\xff‐-‧‰-⁞←-⇿─-➿"
 _EXAMINE = re.compile(f"[^{PLAIN_CLASS}]")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _LATIN = re.compile(r"[A-Za-zÀ-ɏ]")
@@ -113,16 +115,16 @@ def form_of(value: Column) -> Column:
     return F.coalesce(_forms(F.when(examined(value), value)), value)
 
 
-# Letters whose full case folding isn't their lower case.
-_FOLDINGS = (("ß", "ss"), ("ς", "σ"), ("ſ", "s"), ("ŉ", "ʼn"), ("ǰ", "ǰ"), ("ΐ", "ΐ"), ("ΰ", "ΰ"), ("և", "եւ"))
+@F.pandas_udf(T.StringType())
+def _folded(values: pd.Series) -> pd.Series:
+    codes, distinct = pd.factorize(values, use_na_sentinel=True)
+    done = [v.casefold() for v in distinct]
+    return pd.Series([None if c < 0 else done[c] for c in codes], dtype=object)
 
 
 def key_of(formed: Column) -> Column:
-    """Full case folding of a text already in form."""
-    out = F.lower(formed)
-    for letter, folded in _FOLDINGS:
-        out = F.replace(out, F.lit(letter), F.lit(folded))
-    return out
+    """Full case folding of a text already in form; lower case does it for texts in ASCII letters and common ones with accents."""
+    return F.coalesce(_folded(F.when(formed.rlike(f"[^{_LOWERED}]"), formed)), F.lower(formed))
 
 
 def normalise(df: DataFrame, columns: list[str]) -> DataFrame:

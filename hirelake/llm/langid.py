@@ -11,7 +11,8 @@ matrix; all texts are scored by products of presence matrices with it, batch by
 Every description and every paragraph gets a language and a confidence (softmax of the scores). The
 language of a description is the one with most words over its paragraphs.
 
-Defined results: null and blank descriptions have no language and no paragraphs; labels are read in
+Defined results: null and blank descriptions have no language and no paragraphs; paragraphs without a letter
+have none either and no vote; labels are read in
 any spelling of the six names, codes or own names; other labels count as not known; without any usable
 label every result is empty; repeated rows are kept; extra columns are ignored.
 """
@@ -53,6 +54,7 @@ _BATCH = 256
 
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F], dtype=np.uint32)
 _DROP = re.compile(r"[\W\d_]+")
+_LETTER = re.compile(r"[^\W\d_]")
 
 
 def label_of(label: Column) -> Column:
@@ -97,9 +99,7 @@ def _ridge(kernel: np.ndarray, among: np.ndarray, targets: np.ndarray) -> np.nda
 
 
 def fit(texts: list[str], labels: list[str]) -> np.ndarray:
-    """The feature-by-language matrix; zeros without texts."""
-    if not texts:
-        return np.zeros((WIDTH, len(LANGUAGES)), dtype=np.float32)
+    """The feature-by-language matrix of the languages among the labels; others score below all of them."""
     wanted = np.array([LANGUAGES.index(x) for x in labels])
     order = np.random.Generator(np.random.PCG64(3)).permutation(len(texts))
     chosen = np.concatenate([order[wanted[order] == k][:LANDMARKS] for k in range(len(LANGUAGES))])
@@ -111,7 +111,9 @@ def fit(texts: list[str], labels: list[str]) -> np.ndarray:
     agree = (kernel @ weights).argmax(axis=1) == wanted
     if agree.any():
         weights = _ridge(kernel[agree], among, targets[agree])
-    return (landmarks.T @ weights).astype(np.float32)
+    matrix = (landmarks.T @ weights).astype(np.float32)
+    matrix[:, ~np.isin(np.arange(len(LANGUAGES)), wanted)] = -np.inf
+    return matrix
 
 
 def score(texts: list[str], matrix: np.ndarray) -> np.ndarray:
@@ -119,7 +121,10 @@ def score(texts: list[str], matrix: np.ndarray) -> np.ndarray:
     for at in range(0, len(texts), _BATCH):
         found = presence(texts[at : at + _BATCH]).astype(np.float32)
         norm = np.sqrt(np.maximum(found.sum(axis=1, keepdims=True), 1))
-        parts.append((found @ matrix) / norm)
+        known = np.isfinite(matrix[0])
+        scores = np.full((len(found), matrix.shape[1]), -np.inf, dtype=np.float32)
+        scores[:, known] = (found @ matrix[:, known]) / norm
+        parts.append(scores)
     return np.concatenate(parts)
 
 
@@ -155,6 +160,8 @@ def _segmenter(matrix):
                 for n, text in enumerate(batch.column(1).to_pylist()):
                     if text and not text.isspace():
                         for number, part in enumerate(paragraphs(form(text)), 1):
+                            if not _LETTER.search(part):
+                                continue  # no n-grams, no language
                             rows.append((n, number, len(part.split()), in_sentences(part)))
                             texts.append(part)
                 scores = score(texts, weights)
@@ -209,8 +216,12 @@ def training_sample(
 
 def segments(texts: DataFrame, labels: DataFrame, key: str, text: str, label: str, sample: int = SAMPLE) -> DataFrame:
     """(key, segment_no, words, text_words, sentences, language, main, confidence); segment 0 is the description."""
-    matrix = texts.sparkSession.sparkContext.broadcast(fit(*training_sample(texts, labels, key, text, label, sample)))
+    parts, named = training_sample(texts, labels, key, text, label, sample)
     kind = texts.schema[key].dataType.simpleString()
+    if not parts:
+        ddl = f"{key} {kind}, segment_no int, words int, text_words int, sentences boolean, language string, main string, confidence double"
+        return texts.sparkSession.createDataFrame([], ddl)
+    matrix = texts.sparkSession.sparkContext.broadcast(fit(parts, named))
     return (
         spread(texts.select(F.col(key).alias("id"), F.col(text).alias("text")))
         .mapInArrow(

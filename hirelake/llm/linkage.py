@@ -478,7 +478,7 @@ def _corrections(sides: list[DataFrame], known: DataFrame) -> DataFrame:
     better = part(counted.where(F.length("word") >= 5)).select("part", F.col("word").alias("as"), F.col("rows").alias("more"))
     found = (
         part(rare)
-        .join(better, "part")
+        .join(better.hint("shuffle_merge"), "part")
         .where((F.col("more") >= OFTENER * F.col("rows")) & (F.col("word") != F.col("as")) & _one_edit("word", "as"))
         .groupBy("word")
         .agg(F.collect_set("as").alias("as"))
@@ -515,7 +515,7 @@ def near_names(left: DataFrame, right: DataFrame) -> DataFrame:
         df.select("who").where(F.col("who") != "").distinct().withColumn("part", F.explode(_deletions(F.col("who"), 2))).withColumnRenamed("who", name)
         for df, name in ((left, "a_who"), (right, "who"))
     ]
-    found = sides[0].join(sides[1], "part").select("a_who", "who").distinct()
+    found = sides[0].join(sides[1].hint("shuffle_merge"), "part").select("a_who", "who").distinct()
     return found.where(F.levenshtein("a_who", "who", 2) >= 0).withColumn("close", _one_edit("a_who", "who"))
 
 

@@ -500,3 +500,20 @@ def test_null_pages_are_apart(spark):
         spark.createDataFrame(places, "ref_id int, canonical_value string, place_region string, other_name string"),
     ).matches()
     assert {(r["id"], r["feed"]) for r in found.collect()} == {(0, 0), (2, 0), (1, 1)}
+
+
+def test_keys_are_full_case_folding(spark):
+    texts = [chr(c) for c in range(0x20, 0x30000) if not 0xD800 <= c < 0xE000]
+    rows = spark.createDataFrame([("".join(texts[n : n + 1]),) for n in range(len(texts))], "t string").repartition(4)
+    got = rows.select("t", charform.key_of(F.col("t")).alias("k")).collect()
+    assert [r["t"] for r in got if r["k"] != r["t"].casefold()] == []
+
+
+def test_languages_without_labels_or_letters(spark):
+    texts = spark.createDataFrame([(1, "Wir suchen dich für unser Team in Bremen. " * 8), (2, "12 34 56\n\n--- 78")], "id bigint, text string")
+    unknown = spark.createDataFrame([(1, "unknown"), (2, None)], "id bigint, label string")
+    assert langid.segments(texts, unknown, "id", "text", "label").count() == 0
+    known = spark.createDataFrame([(1, "German"), (2, "de")], "id bigint, label string")
+    got = langid.segments(texts, known, "id", "text", "label").collect()
+    assert {(r["id"], r["segment_no"], r["language"]) for r in got} == {(1, 0, "german"), (1, 1, "german")}
+    assert all(r["confidence"] > 0.99 for r in got)
