@@ -76,8 +76,9 @@ def _literal(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def synonym_rows() -> str:
-    return ", ".join(f"({_literal(name)}, {_literal(s)})" for name, spelled in SYNONYMS.items() for s in spelled)
+def synonym_table(spark: SparkSession) -> DataFrame:
+    """(name, phrase) of the synonyms known without a table of one's own."""
+    return spark.createDataFrame([(name, s) for name, spelled in SYNONYMS.items() for s in spelled], "name string, phrase string")
 
 
 def _segment_start(length: str, n: str) -> str:
@@ -104,13 +105,13 @@ def _closest(spark: SparkSession, values: DataFrame, references: DataFrame) -> D
     ),
     near AS (
         SELECT field_name, v, r, distance FROM (
-            SELECT DISTINCT p.field_name, p.v, c.r, levenshtein(p.v, c.r) AS distance
+            SELECT /*+ MERGE(p) */ DISTINCT p.field_name, p.v, c.r, levenshtein(p.v, c.r) AS distance
             FROM probe p JOIN cut c ON p.field_name = c.field_name AND p.l = c.l AND p.s = c.s AND p.part = c.part
         )
         WHERE distance <= 1 OR (distance = 2 AND length(v) = length(r) AND exists(sequence(1, length(v) - 1),
             i -> concat(substring(v, 1, i - 1), substring(v, i + 1, 1), substring(v, i, 1), substring(v, i + 2)) = r))
         UNION
-        SELECT DISTINCT a.field_name, a.v, b.r, 0 FROM {{vals}} a JOIN {{refs}} b ON a.field_name = b.field_name AND a.v = b.r
+        SELECT /*+ MERGE(a) */ DISTINCT a.field_name, a.v, b.r, 0 FROM {{vals}} a JOIN {{refs}} b ON a.field_name = b.field_name AND a.v = b.r
     )
     SELECT field_name, v, r FROM (
         SELECT field_name, v, r, distance, min(distance) OVER (PARTITION BY field_name, v) AS least FROM near)
@@ -126,29 +127,30 @@ def _fields(spark: SparkSession, rows: DataFrame, key: str, fields: list[str]) -
     )
 
 
-def _few_meanings(spark: SparkSession, values: DataFrame, references: DataFrame) -> DataFrame:
+def _few_meanings(spark: SparkSession, values: DataFrame, references: DataFrame, synonyms: DataFrame) -> DataFrame:
     """(field_name, value, ref_id) for fields whose meanings have synonyms."""
     phrases = cut(spark.sql(f"SELECT field_name, value, {PHRASE.format(v='value')} AS v FROM {{vals}}", vals=values))
     named = cut(
         spark.sql(
             f"""
-            SELECT r.field_name, r.ref_id, s.phrase AS r
-            FROM {{refs}} r JOIN (VALUES {synonym_rows()}) s (name, phrase) ON r.canonical_value = s.name
+            SELECT r.field_name, r.ref_id, {PHRASE.format(v="s.phrase")} AS r
+            FROM {{refs}} r JOIN {{synonyms}} s ON r.canonical_value = s.name
             UNION
             SELECT field_name, ref_id, {PHRASE.format(v="canonical_value")} FROM {{refs}}
             """,
             refs=references,
+            synonyms=synonyms,
         )
     )
     return spark.sql(
         f"""
         WITH whole AS (
-            SELECT p.field_name, p.value, n.ref_id
+            SELECT /*+ MERGE(c) */ p.field_name, p.value, n.ref_id
             FROM {{phrases}} p JOIN {{closest}} c ON p.field_name = c.field_name AND p.v = c.v
             JOIN {{named}} n ON c.field_name = n.field_name AND c.r = n.r
         ),
         by_word AS (
-            SELECT w.field_name, w.value, n.ref_id
+            SELECT /*+ MERGE(x) */ w.field_name, w.value, n.ref_id
             FROM (SELECT field_name, value, explode(split(v, ' ')) AS word FROM {{phrases}}) w
             JOIN {{named}} n ON w.field_name = n.field_name AND w.word = n.r
             LEFT ANTI JOIN whole x ON w.field_name = x.field_name AND w.value = x.value
@@ -202,7 +204,7 @@ def _places(spark: SparkSession, values: DataFrame, references: DataFrame) -> Da
     hits = cut(
         spark.sql(
             """
-            SELECT DISTINCT t.field_name, t.value, n.ref_id, n.kind, n.base
+            SELECT /*+ MERGE(c) */ DISTINCT t.field_name, t.value, n.ref_id, n.kind, n.base
             FROM {tokens} t JOIN {closest} c ON t.field_name = c.field_name AND t.v = c.v
             JOIN {named} n ON c.field_name = n.field_name AND c.r = n.r
             """,
@@ -215,7 +217,7 @@ def _places(spark: SparkSession, values: DataFrame, references: DataFrame) -> Da
         """
         WITH of AS (SELECT field_name, value, ref_id, 1 AS fits FROM {hits} WHERE kind = 'of' GROUP BY field_name, value, ref_id),
         candidates AS (
-            SELECT h.field_name, h.value, h.ref_id, h.base, coalesce(o.fits, 0) AS fits
+            SELECT /*+ MERGE(o) */ h.field_name, h.value, h.ref_id, h.base, coalesce(o.fits, 0) AS fits
             FROM (SELECT DISTINCT field_name, value, ref_id, base FROM {hits} WHERE kind = 'name') h
             LEFT JOIN of o ON h.field_name = o.field_name AND h.value = o.value AND h.ref_id = o.ref_id
         ),
@@ -231,10 +233,13 @@ def _places(spark: SparkSession, values: DataFrame, references: DataFrame) -> Da
     )
 
 
-def mapping(rows: DataFrame, references: DataFrame, key: str, fields: list[str], places: list[str]) -> DataFrame:
+def mapping(
+    rows: DataFrame, references: DataFrame, key: str, fields: list[str], places: list[str], synonyms: DataFrame | None = None
+) -> DataFrame:
     """(key, field_name, value, ref_id) of every value that isn't canonical letter for letter; -1: unmatched.
 
     references: ref_id, field_name, canonical_value, place_region, other_name. places: the fields of place names.
+    synonyms: name (a canonical value), phrase; other spellings of values of the fields with few meanings.
     """
     spark = rows.sparkSession
     entered = spark.sql(
@@ -248,7 +253,7 @@ def mapping(rows: DataFrame, references: DataFrame, key: str, fields: list[str],
     pick = lambda df, rule: spark.sql(f"SELECT * FROM {{df}} WHERE field_name {rule} ({listed})", df=df)
     found = spark.sql(
         "SELECT * FROM {a} UNION ALL SELECT * FROM {b}",
-        a=cut(_few_meanings(spark, pick(values, "NOT IN"), pick(references, "NOT IN"))),
+        a=cut(_few_meanings(spark, pick(values, "NOT IN"), pick(references, "NOT IN"), synonyms or synonym_table(spark))),
         b=cut(_places(spark, pick(values, "IN"), pick(references, "IN"))),
     )
     return spark.sql(
@@ -256,10 +261,10 @@ def mapping(rows: DataFrame, references: DataFrame, key: str, fields: list[str],
         WITH meant AS (
             SELECT field_name, value, ref_id FROM {{found}}
             UNION ALL
-            SELECT v.field_name, v.value, -1 FROM {{values}} v
+            SELECT /*+ MERGE(f) */ v.field_name, v.value, -1 FROM {{values}} v
             LEFT ANTI JOIN {{found}} f ON v.field_name = f.field_name AND v.value = f.value
         )
-        SELECT e.`{key}`, e.field_name, e.value, m.ref_id
+        SELECT /*+ MERGE(m) */ e.`{key}`, e.field_name, e.value, m.ref_id
         FROM {{entered}} e JOIN meant m ON e.field_name = m.field_name AND e.value = m.value
         """,
         found=found,
