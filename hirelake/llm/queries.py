@@ -18,11 +18,11 @@ FREE_FIELDS = ["location_raw", "employment_type_raw", "workplace_type_raw"]
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _templates(spark: SparkSession, sf_dir: str) -> SiteTemplates:
+def _templates(spark: SparkSession, sf_dir: str, keep_text: bool = False) -> SiteTemplates:
     pages = table(spark, sf_dir, "parsed_detail").select(
         "detail_id", "url", "title", "company", "location_raw", "description_raw"
     )
-    return SiteTemplates(pages, "detail_id", "url", "description_raw", "company", ["title", "company", "location_raw"])
+    return SiteTemplates(pages, "detail_id", "url", "description_raw", "company", ["title", "company", "location_raw"], keep_text=keep_text)
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +31,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _templates(spark, sf_dir).main_texts().withColumnRenamed("main", "description_main")
+    return _templates(spark, sf_dir, keep_text=True).main_texts().withColumnRenamed("main", "description_main")
 
 
 def p2_residue(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -280,8 +280,10 @@ def test_site_templates(spark):
     rows += [(1000 + n, "https://www.board0.example/c", "Tester", "Firma GmbH", "Ort", copy, "x") for n in range(200)]
     rows += [(5000, None, None, None, None, None, None), (5001, "https://www.board1.example/e", None, None, None, "", None)]
     df = spark.createDataFrame(rows, "id bigint, url string, title string, company string, place string, body string, main string")
-    found = boilerplate.SiteTemplates(df, "id", "url", "body", "company", ["title", "company", "place"])
+    found = boilerplate.SiteTemplates(df, "id", "url", "body", "company", ["title", "company", "place"], keep_text=True)
     got = {r["id"]: set(r["furniture_lines"]) for r in found.marked().collect()}
+    divided = boilerplate.SiteTemplates(df, "id", "url", "body", "company", ["title", "company", "place"], task_pages=7)
+    assert {r["id"]: set(r["furniture_lines"]) for r in divided.marked().collect()} == got
     assert {n: got[n] for n in truth} == truth
     assert got[1000] == truth[0] and got[5000] == set() and got[5001] == set()
     texts = {r["id"]: r["main"] for r in found.main_texts().collect()}
@@ -305,6 +307,39 @@ def test_templates_of_hosts_with_one_employer_or_none(spark, company):
     assert {n: got[n] for n in truth} == truth and got[1000] == set()
 
 
+def test_templates_of_thousands_of_small_hosts(spark):
+    rng, rows, truth = random.Random(4), [], {}
+    for host in range(2000):
+        menu = f"Jobs of {sentence(rng, 2)}"
+        for n in range(8):
+            body = ["What you do", *(f"- {sentence(rng, 9)} {host}" for _ in range(3)), "", sentence(rng, 20)]
+            truth[host * 10 + n] = {len(body) + 1}
+            rows.append((host * 10 + n, f"https://host{host}.example/{n}", f"Tester {n}", f"Firm{'abcdefgh'[n]} AG", "\n".join([*body, "", menu])))
+    df = spark.createDataFrame(rows, "id bigint, url string, title string, company string, body string").repartition(8)
+    got = {r["id"]: set(r["furniture_lines"]) for r in boilerplate.SiteTemplates(df, "id", "url", "body", "company", ["title"]).marked().collect()}
+    assert got == truth
+
+
+def test_repeated_keys_keep_their_own_lines(spark):
+    rng, rows = random.Random(3), []
+    for n in range(60):
+        body = ["What you do", *(f"- {sentence(rng, 9)}" for _ in range(3)), sentence(rng, 20)]
+        rows.append((n // 2, "https://a.example/x", f"Tester {n}", f"Firm{'abcdefgh'[n % 8]} AG", "\n".join([*body, "", "Follow us"])))
+    df = spark.createDataFrame(rows, "id bigint, url string, title string, company string, body string")
+    texts = boilerplate.SiteTemplates(df, "id", "url", "body", "company", ["title"], keep_text=True).main_texts().collect()
+    assert len(texts) == 60 and not [r for r in texts if "Follow us" in r["main"]]
+
+
+def test_blocks_are_deleted_whole(spark):
+    rng, rows = random.Random(2), []
+    for n in range(80):
+        words = sentence(rng, 15)
+        rows.append((n, "https://a.example/x", f"Tester {n}", f"Firm{'abcdefgh'[n % 8]} AG", f"{words}\n\nOur app\nfor your phone\n\n{sentence(rng, 12)}"))
+    df = spark.createDataFrame(rows, "id bigint, url string, title string, company string, body string")
+    got = boilerplate.SiteTemplates(df, "id", "url", "body", "company", ["title"]).marked().collect()
+    assert {tuple(r["furniture_lines"]) for r in got} == {(2, 3)}
+
+
 # --- 3: languages
 
 
