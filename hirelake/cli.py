@@ -9,29 +9,21 @@ from pyspark.sql import functions as F
 
 from hirelake.operators import normalise, queue
 from hirelake.plans import catalog
-from hirelake.sinks.files import suffixed, write_jsonl
+from hirelake.sinks.files import suffixed, write_json_document, write_jsonl
 from hirelake.sources.files import latest_file, read_config, read_jsonl
 
 
-def plan_queue(spark: SparkSession, config: dict, group: str | None, per_source: int | None, total: int | None, pages: int | None):
-    """The queue of a configuration: sources with templates, locations, queries, caps."""
-    from pyspark.sql import types as T
+def listed(text: str | None, divider: str) -> list[str] | None:
+    return [part.strip() for part in text.split(divider) if part.strip()] or None if text else None
 
-    sources = [
-        (name, n, s["template"], int(pages or s.get("max_pages") or 1), s.get("supported_locations"))
-        for n, (name, s) in enumerate((config.get("sources") or {}).items())
-        if s.get("enabled")
-    ]
-    safety = config.get("run_safety") or {}
-    string, whole = T.StringType(), T.IntegerType()
-    kinds = [("source", string), ("source_rank", whole), ("template", string), ("pages", whole), ("locations", T.ArrayType(string))]
-    table = spark.createDataFrame(sources, T.StructType([T.StructField(n, k) for n, k in kinds]))
-    listed = lambda values, name: spark.createDataFrame([(v, n) for n, v in enumerate(values)], f"{name} string, {name}_no int")
-    grid = queue.grid(listed(queue.query_texts(spark, config, group), "query"), listed(config.get("active_locations") or [], "location"), table)
-    rows = grid.withColumn("key", F.concat_ws("\x1f", "query", "location")).withColumn(
-        "seq", (F.col("query_no") * 1_000_000 + F.col("location_no") * 1_000 + F.col("page_number")).cast("bigint")
-    )
-    return queue.fair_queue(rows, "key", "seq", per_source or safety.get("max_urls_per_source") or 300, total or safety.get("max_total_urls") or 1500)
+
+def write_queue(rows, outputs: dict, suffix: str | None) -> None:
+    """The queue as a document and as lines, under the names that a field of a queue file has."""
+    named = rows.withColumnsRenamed({"page_number": "pageNumber", "query_group": "queryGroup"})
+    if outputs.get("json"):
+        write_json_document(named, suffixed(outputs["json"], suffix), "place")
+    if outputs.get("jsonl"):
+        write_jsonl(named, suffixed(outputs["jsonl"], suffix), [F.col("place")])
 
 
 def main(arguments: list[str] | None = None) -> None:
@@ -39,11 +31,15 @@ def main(arguments: list[str] | None = None) -> None:
     commands = parser.add_subparsers(dest="command", required=True)
     plan = commands.add_parser("queue")
     plan.add_argument("config")
-    plan.add_argument("--group")
+    plan.add_argument("--profile")
+    plan.add_argument("--group", "--query-group")
+    plan.add_argument("--sources", help="divided by commas")
+    plan.add_argument("--locations", help="divided by |")
+    plan.add_argument("--profile-locations", action="store_true")
     plan.add_argument("--max-pages", type=int)
-    plan.add_argument("--max-urls-per-source", type=int)
-    plan.add_argument("--max-total-urls", type=int)
-    plan.add_argument("--output")
+    plan.add_argument("--max-per-source", type=int)
+    plan.add_argument("--max-total", type=int)
+    plan.add_argument("--output-suffix")
     plan.add_argument("--sample", type=int, default=10)
     plan.add_argument("--dry-run", action="store_true")
     load = commands.add_parser("import")
@@ -56,11 +52,15 @@ def main(arguments: list[str] | None = None) -> None:
     options = parser.parse_args(arguments)
     spark = SparkSession.builder.getOrCreate()
     if options.command == "queue":
-        rows = plan_queue(spark, read_config(options.config), options.group, options.max_urls_per_source, options.max_total_urls, options.max_pages)
+        config = read_config(options.config)
+        profile = read_config(options.profile) if options.profile else None
+        chosen = queue.Plan(options.group, listed(options.sources, ","), listed(options.locations, "|"), options.profile_locations,
+                            options.max_pages, options.max_per_source, options.max_total)
+        rows = queue.planned_queue(spark, config, profile, chosen).persist()
         rows.groupBy("source").count().orderBy("source").show()
         rows.orderBy("place").select("place", "source", "query", "location", "url").limit(options.sample).show(truncate=False)
-        if options.output and not options.dry_run:
-            write_jsonl(rows, suffixed(options.output, options.group), [F.col("place")])
+        if not options.dry_run:
+            write_queue(rows, (config.get("run_safety") or {}).get("write_outputs") or {}, options.output_suffix or options.group)
     elif options.command == "import":
         from pyspark.sql import types as T
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from hirelake.operators import excerpt, export, normalise, ordering, queue, scor
 from hirelake.plans import sql
 from hirelake.runtime import new_folder, ship, spread, table
 from hirelake.sinks.files import column_widths
+from hirelake.sources import html
 from hirelake.streaming.pool import Pool, page_statistics
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -133,6 +135,30 @@ def queue_grid(spark, d):
     return queue.grid(texts, places, sources).select("source", "query", "location", F.col("page_number").cast("bigint").alias("page_number"), "url")
 
 
+#: A configuration of two boards for the texts and places of the queue table.
+PLANNED = {
+    "defaults": {"recent_days": 7},
+    "sources": {
+        "xing": {"enabled": True, "url_template": "https://x.example/jobs?k={query_plus}&l={location_plus}&age={recent_days}"},
+        "off": {"url_template": "https://off.example/{query}"},
+        "indeed": {"enabled": True, "display_name": "Indeed", "url_template": "https://i.example/{location_slug}?q={query_plus}&r={radius_km}",
+                   "supported_locations": ["Zwistbach", "Löppbach"], "location_slug_overrides": {"Zwistbach": "zw"}, "max_pages_per_search": 2},
+    },
+    "discovery": {"source_order": ["indeed", "gone"]},
+    "run_safety": {"max_urls_per_source": 30, "max_total_urls": 50},
+}
+
+
+@query
+def queue_planned(spark, d):
+    """The queue of a configuration whose queries and places are those of the queue table."""
+    rows = table(spark, d, "queue_generated")
+    values = lambda c: [r[c] for r in queue.ordered_distinct(rows, c, "seq").orderBy("seq").collect()]  # noqa: E731  configuration
+    config = PLANNED | {"query_generation": {"explicit_queries": values("search_query"), "active_locations": values("search_location")}}
+    found = queue.planned_queue(spark, config)
+    return found.select(F.col("place").cast("bigint").alias("place"), "source", "source_name", "query", "location", F.col("page_number").cast("bigint").alias("page_number"), "url")
+
+
 @query
 def slugs(spark, d):
     rows = table(spark, d, "queue_generated").select("search_query", "search_location").distinct()
@@ -340,6 +366,83 @@ def cache_hits_and_misses(spark, d):
     return both.groupBy("source", "hit").agg(F.count(F.lit(1)).alias("n"))
 
 
+def chat_body(answer):
+    """An answer as a chat service wraps it."""
+    message = F.struct(F.struct(answer.alias("content")).alias("message"))
+    usage = F.struct(F.lit(100).alias("prompt_tokens"), F.length(answer).alias("completion_tokens"))
+    return F.to_json(F.struct(F.array(message).alias("choices"), usage.alias("usage")))
+
+
+@query
+def scored_postings(spark, d):
+    """Postings with the answers of a replayed service in all shapes, every fifth from the cache, every seventh missing."""
+    rows = _answers(spark, d).withColumn("key", F.col("detail_id").cast("string"))
+    answers = rows.where("detail_id % 7 <> 0").select(
+        "key", chat_body(F.col("answer")).alias("answer"), F.lit(None).cast("string").alias("error"), (F.col("detail_id") % 5 == 0).alias("cache_hit")
+    )
+    found = scoring.scored_rows(rows.select("detail_id", "key"), answers, "replay")
+    return found.select("detail_id", "llm_score", "llm_category", F.size("llm_fit_tags").cast("bigint").alias("tags"), "llm_cache_hit",
+                        F.col("llm_error").isNotNull().alias("failed"), F.col("llm_usage.completion_tokens").alias("completion_tokens"))
+
+
+@query
+def cache_round_trip(spark, d):
+    """Requests answered by a service that shouts, twice: the second time all from the cache."""
+    path = new_folder(spark, "cache")
+    requests = table(spark, d, "employer_feed").select(F.col("feed_id").cast("string").alias("key"), F.coalesce("title", F.lit("-")).alias("prompt"))
+    client = _shout
+    scoring.answered(requests, path, client).count()
+    again = scoring.answered(requests, path, client)
+    return again.groupBy("cache_hit").agg(F.count(F.lit(1)).alias("n"), F.count("error").alias("errors"))
+
+
+def _shout(prompt: str) -> str:
+    return json.dumps({"choices": [{"message": {"content": json.dumps({"score": len(prompt) % 10})}}]})
+
+
+#: Marks by which six boards show a company and a place, in the order of BOARD_NAMES.
+BOARD_NAMES = ("linkedin", "indeed", "stepstone", "xing", "arbeitsagentur", "stellenwerk")
+COMPANY_MARKS = ("class='topcard__org-name-link'", "data-company-name='true'", "data-testid='company-name'", "data-testid='the-company'", "data-testid='arbeitgeber-1'", "class='field--name-field-company'")
+PLACE_MARKS = ("class='topcard__flavor--bullet'", "data-testid='job-location'", "class='job-location'", "data-testid='a-location'", "data-testid='arbeitsort-1'", "class='field--name-field-location'")
+
+
+def _markup(value):
+    """A text as it stands in a page."""
+    for plain, written in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("'", "&#39;")):
+        value = F.replace(value, F.lit(plain), F.lit(written))
+    return F.coalesce(value, F.lit(""))
+
+
+@query
+def detail_pages(spark, d):
+    """Postings written as pages of six boards and parsed again; what a page lacks comes from the search page's record."""
+    n = (F.col("detail_id") % 6).cast("int")
+    pick = lambda values: F.get(F.array(*map(F.lit, values)), n)
+    rows = table(spark, d, "parsed_detail").select(
+        "detail_id", pick(BOARD_NAMES).alias("source"), "url", F.lit("Title of the search page").alias("title"), F.col("apply_url").alias("apply"),
+        F.concat(
+            F.lit("<html><head><title>x</title></head><body><nav>Menu</nav><h1> "), _markup(F.col("title")), F.lit("</h1><p "), pick(COMPANY_MARKS), F.lit(">"),
+            _markup(F.col("company")), F.lit("</p><p "), pick(PLACE_MARKS), F.lit(">"), _markup(F.col("location_raw")), F.lit("</p><a class='apply-x' href='"),
+            _markup(F.col("apply_url")), F.lit("'>Go</a><script>let x = 1;</script></body></html>"),
+        ).alias("html"),
+    )
+    found = html.detail_records(spread(rows), "detail_id", "html")
+    return found.select("detail_id", "source", "title", "company", "location_raw", "apply_url", F.array_join("sources", ",").alias("sources"), "parse_success")
+
+
+@query
+def card_records(spark, d):
+    """Sightings written as search pages with cards and collected again: the first link of each posting."""
+    rows = table(spark, d, "collected").select("seq", F.expr(BOARD_URLS).alias("link"), "title", "company")
+    link = _markup(F.col("link"))
+    page = F.concat(
+        F.lit("<body><ul><li><h2> "), _markup(F.col("title")), F.lit("</h2><span class='jobCompany'>"), _markup(F.col("company")), F.lit("</span><a href='"), link,
+        F.lit("'>Open</a></li><li><a href='"), link, F.lit("'>Again</a><a href='/help'>Help</a></li></ul></body>"),
+    )
+    pages = rows.select("seq", F.lit("https://search.example/").alias("page"), page.alias("html"))
+    return html.collected_records(spread(pages), "seq", "page", "html").select("seq", "source", "url", "title", "company", F.col("position").cast("bigint").alias("position"))
+
+
 @query
 def usage_accounts(spark, d):
     rows = table(spark, d, "documents").select((F.col("doc_kind") == "advert").alias("hit"), F.col("n_chars").alias("total_tokens"), F.length("company").alias("prompt_tokens"))

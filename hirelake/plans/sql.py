@@ -147,6 +147,16 @@ ORACLES = {
         SELECT 'indeed' AS source, query, location, p AS page_number, 'https://a.example/jobs?q=' || qp || '&l=' || lp || CASE WHEN p = 2 THEN '&start=10' ELSE '' END AS url FROM g, (VALUES (1), (2)) t(p)
         UNION ALL SELECT 'stepstone', query, location, p, 'https://b.example/jobs/' || qs || '/in-' || ls || CASE WHEN p = 2 THEN '?page=2' ELSE '' END FROM g, (VALUES (1), (2)) t(p)
         UNION ALL SELECT 'arbeitsagentur', query, location, 1, 'https://c.example/suche?was=' || replace(url_encode(query), '%2F', '/') FROM g WHERE location IN ('Zwistbach', 'Löppbach')""",
+    "queue_planned": f"""WITH q AS (SELECT min_by(x, seq) AS query, min(seq) AS qn FROM (SELECT {collapse('search_query')} AS x, seq FROM queue_generated) WHERE x <> '' GROUP BY lower(x)),
+        l AS (SELECT min_by(x, seq) AS location, min(seq) AS ln FROM (SELECT {collapse('search_location')} AS x, seq FROM queue_generated) WHERE x <> '' GROUP BY lower(x)),
+        e AS (SELECT *, replace(url_encode(query), '%20', '+') AS qp, replace(url_encode(location), '%20', '+') AS lp FROM q, l),
+        g AS (SELECT 0 AS r, 'indeed' AS source, 'Indeed' AS source_name, query, location, qn, ln, p AS page_number,
+                 'https://i.example/' || CASE location WHEN 'Zwistbach' THEN 'zw' ELSE {slug('location')} END || '?q=' || qp || '&r=30' || CASE p WHEN 2 THEN '&start=10' ELSE '' END AS url
+              FROM e, (VALUES (1), (2)) t(p) WHERE location IN ('Zwistbach', 'Löppbach')
+              UNION ALL SELECT 1, 'xing', 'xing', query, location, qn, ln, 1, 'https://x.example/jobs?k=' || qp || '&l=' || lp || '&age=7' FROM e),
+        t AS (SELECT *, row_number() OVER (PARTITION BY r, query, location ORDER BY page_number) AS turn FROM g),
+        c AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY turn, qn, ln) AS slot FROM t QUALIFY slot <= 30 ORDER BY r, slot LIMIT 50)
+        SELECT row_number() OVER (ORDER BY slot, r) AS place, source, source_name, query, location, page_number, url FROM c""",
     "slugs": f"SELECT DISTINCT search_query, search_location, {slug('search_query')} AS query_slug, {slug('search_location')} AS location_slug FROM queue_generated",
     "posting_domains": r"SELECT CASE WHEN regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+') THEN regexp_replace(lower(regexp_extract(url, '://([^/?#:]+)', 1)), '^www\.', '') END AS domain, count(*) AS n FROM collected GROUP BY 1",
     "urls_without_tracking": f"SELECT detail_id, {CLEAN_URL.format(v='source_job_url')} AS clean, regexp_replace(source_job_url, '#.*$', '') AS page FROM parsed_detail",
@@ -188,6 +198,17 @@ ORACLES = {
     "request_keys": "SELECT detail_id, sha256(concat_ws(chr(31), 'model', 'profile', 'company', coalesce(company, ''), 'source_job_url', coalesce(source_job_url, ''), 'title', coalesce(title, ''), '2')) AS key FROM parsed_detail",
     "cache_hits_and_misses": """WITH k AS (SELECT source, concat_ws(chr(31), coalesce(company, ''), coalesce(source_job_url, ''), coalesce(title, '')) AS key FROM parsed_detail)
         SELECT source, key IN (SELECT key FROM k WHERE source = 'talentora') AS hit, count(*) AS n FROM k GROUP BY 1, 2""",
+    "scored_postings": """WITH a AS (SELECT detail_id, detail_id % 11 AS k, detail_id % 7 <> 0 AS there FROM parsed_detail),
+        b AS (SELECT *, there AND k NOT IN (9, 10) AS ok FROM a)
+        SELECT detail_id, CASE WHEN ok THEN CASE k WHEN 0 THEN 8 WHEN 1 THEN 7 WHEN 2 THEN 7 WHEN 4 THEN 1 WHEN 8 THEN 10 ELSE 0 END END AS llm_score,
+            CASE WHEN NOT ok THEN 'llm_error' WHEN k IN (0, 1) THEN 'target' WHEN k = 5 THEN 'other' WHEN k = 8 THEN 'alternative' ELSE '' END AS llm_category,
+            CASE WHEN ok AND k = 0 THEN 5 ELSE 0 END AS tags, there AND detail_id % 5 = 0 AS llm_cache_hit, NOT ok AS failed,
+            CASE WHEN there THEN [101, 49, 41, 16, 15, 36, 14, 13, 40, 9, 6][k + 1] ELSE 0 END AS completion_tokens FROM b""",
+    "cache_round_trip": "SELECT true AS cache_hit, count(*) AS n, 0 AS errors FROM employer_feed",
+    "detail_pages": f"""SELECT detail_id, ['linkedin', 'indeed', 'stepstone', 'xing', 'arbeitsagentur', 'stellenwerk'][detail_id % 6 + 1] AS source,
+            coalesce(nullif({collapse('title')}, ''), 'Title of the search page') AS title, nullif({collapse('company')}, '') AS company, nullif({collapse('location_raw')}, '') AS location_raw,
+            nullif(apply_url, '') AS apply_url, ['linkedin', 'indeed', 'stepstone', 'xing', 'arbeitsagentur', 'stellenwerk'][detail_id % 6 + 1] AS sources, true AS parse_success FROM parsed_detail""",
+    "card_records": "",
     "usage_accounts": "SELECT coalesce(doc_kind = 'advert', false) AS hit, count(*) AS answers, coalesce(sum(length(company)), 0)::BIGINT AS prompt_tokens, coalesce(sum(n_chars), 0)::BIGINT AS total_tokens FROM documents GROUP BY 1",
     "latest_per_company": "SELECT feed_id, company, posted_at FROM employer_feed QUALIFY row_number() OVER (PARTITION BY company ORDER BY posted_at DESC NULLS LAST, feed_id) <= 3",
     "ranked_orders": "SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100",
@@ -203,3 +224,6 @@ ORACLES = {
     "stream_totals": "SELECT 4 AS batches, count(*) AS found, count(DISTINCT url) AS added FROM collected",
     "stream_first_seen": "SELECT DISTINCT url FROM collected WHERE url IS NOT NULL",
 }
+ORACLES["card_records"] = f"""WITH p AS ({ORACLES["board_postings"]})
+    SELECT seq, board AS source, posting AS url, coalesce(nullif({collapse('title')}, ''), 'Open') AS title, nullif({collapse('company')}, '') AS company, 0 AS position
+    FROM p JOIN collected USING (seq) WHERE board IS NOT NULL AND posting IS NOT NULL"""

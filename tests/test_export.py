@@ -2,8 +2,7 @@ import zipfile
 
 from pyspark.sql import functions as F
 
-from hirelake import cli
-from hirelake.operators import export
+from hirelake.operators import export, queue
 
 FIELDS = "detail_id bigint, title string, company string, location_raw string, employment_type_raw string, description_raw string, apply_url string, source_job_url string, url string, sources array<string>"
 
@@ -23,16 +22,15 @@ def test_splits_hold_every_row(spark, tmp_path):
 
 def test_queue_of_a_configuration(spark, tmp_path):
     config = {
-        "query_generation": {"query_groups": {"g": ["One", "Two", "one"]}},
-        "active_locations": ["A Stadt", "B"],
+        "query_generation": {"query_groups": {"g": ["One", "Two", "one"]}, "active_locations": ["A Stadt", "B"]},
         "sources": {
-            "indeed": {"enabled": True, "template": "https://i.example/?q={query_plus}&l={location_plus}", "max_pages": 2},
-            "off": {"template": "https://o.example"},
-            "xing": {"enabled": True, "template": "https://x.example/{query_slug}", "supported_locations": ["B"]},
+            "indeed": {"enabled": True, "url_template": "https://i.example/?q={query_plus}&l={location_plus}", "max_pages_per_search": 2},
+            "off": {"url_template": "https://o.example"},
+            "xing": {"enabled": True, "url_template": "https://x.example/{query_slug}", "supported_locations": ["B"]},
         },
         "run_safety": {"max_urls_per_source": 5, "max_total_urls": 6},
     }
-    got = [(r["place"], r["source"], r["url"]) for r in cli.plan_queue(spark, config, "g", None, None, None).orderBy("place").collect()]
+    got = [(r["place"], r["source"], r["url"]) for r in queue.planned_queue(spark, config, plan=queue.Plan("g")).orderBy("place").collect()]
     assert [p for p, _, _ in got] == list(range(1, 7))
     assert [s for _, s, _ in got] == ["indeed", "xing", "indeed", "indeed", "indeed", "indeed"]
     assert got[0][2] == "https://i.example/?q=One&l=A+Stadt"

@@ -108,9 +108,9 @@ def test_numbered_has_no_gaps_past_9999(spark):
 
 def test_unknown_group_is_named(spark):
     config = {"query_generation": {"query_groups": {"a": ["X", "x ", "Y"]}}}
-    assert queue.query_texts(spark, config, "a") == ["X", "Y"]
+    assert queue.query_texts(config, "a") == ["X", "Y"]
     try:
-        queue.query_texts(spark, config, "b")
+        queue.query_texts(config, "b")
     except ValueError as error:
         assert "a" in str(error)
     else:
