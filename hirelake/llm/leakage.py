@@ -1,17 +1,22 @@
 """Evaluation texts leaking into training text (problem 9): suffix arrays over corpus shards.
 
-Each task lays the documents of a shard end to end as word numbers, divided by a number no test
-item has, and sorts all word positions by the words that follow (prefix doubling: ranks of 1, 2, 4,
-8 and then `least` words, each from the one before). Every suffix of every test item is looked up
-by binary search, level by level; where its first `least` words occur, all occurrences are extended
-to their full length. Nothing of the corpus is shuffled; only matches leave a task.
-
-The test items travel with the tasks. Their size is checked: beyond `most_item_words` words they
-go through the corpus in several blocks, each under that bound.
+1. Each task lays documents end to end as word numbers, divided by a number no word has, up to
+   `SHARD_WORDS` words, and sorts all positions by the words that follow them: prefix doubling over the
+   whole shard up to 16 words, then over the positions that still tie. A shard is written once as a row
+   with its words, its text and its sorted positions, in the shared folder; nothing is shuffled.
+2. Every suffix of every test item is looked up in every shard by binary search, word by word, for all
+   suffixes at once. Where `least` words occur, each occurrence is followed to its end; occurrences that a
+   word before would make longer are parts of others and left out. What remains are all verbatim matches
+   of `least` words and more, with their places.
+3. Documents with a match are removed.
+
+The test items travel with the tasks. Their size is checked: beyond `most_item_words` words they are
+searched in several blocks, each under that bound, in the shards written once.
 
 Defined results: null and empty texts and texts shorter than `least` words match nothing; items
 shorter than `least` words match nothing; repeated items each get their matches; a document under
-two keys gets matches under both; empty tables give no rows; extra columns are ignored.
+two keys gets matches under both; a document longer than a shard is a shard of its own; empty tables give
+no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,113 +29,160 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hirelake.llm.words import WordIds, split_words
+from hirelake.runtime import stored
 
 LEAST_WORDS = 13
 SHARD_WORDS = 2_000_000
 MOST_ITEM_WORDS = 2_000_000
+#: Words by which all positions are sorted before only ties are.
+FIRST_WORDS = 16
 
 
-def _levels(least: int) -> list[tuple[int, int]]:
-    """(words known, offset of the second half) per doubling step, ending at exactly `least` words."""
-    steps, size = [], 1
-    while size < least:
-        take = min(size, least - size)
-        steps.append((size, take))
-        size += take
-    return steps
-
-
-class SuffixArray:
-    """Positions of a word sequence sorted by their first `least` words."""
-
-    def __init__(self, ids: np.ndarray, least: int):
-        self.ids, self.least, self.keys = ids, least, []
-        rank = ids.astype(np.int64)
-        for size, take in _levels(least):
-            key = self._pair(rank, take if take < size else size)
-            order = np.argsort(key, kind="quicksort" if size + take < least else "stable")
-            ordered = key[order]
-            first = np.ones(len(ordered), dtype=bool)
-            first[1:] = ordered[1:] != ordered[:-1]
-            self.keys.append(ordered[first])
-            dense = np.cumsum(first)
-            rank = np.empty(len(key), dtype=np.int64)
-            rank[order] = dense
-        self.order, self.starts = order, np.append(np.flatnonzero(first), len(ordered))
-
-    @staticmethod
-    def _pair(rank: np.ndarray, offset: int) -> np.ndarray:
+def suffix_array(text: np.ndarray) -> np.ndarray:
+    """The positions of text in the order of what follows them."""
+    n = len(text)
+    rank, size = text.astype(np.int64), 1
+    order = np.argsort(rank, kind="stable")
+    while size < FIRST_WORDS and size < n:
         key = rank << 32
-        key[: len(rank) - offset] |= rank[offset:]
-        return key
-
-    def find(self, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of each suffix of query, the numbers of the group its first words fall in (0: none)."""
-        rank = query.astype(np.int64)
-        alive = rank > 0
-        for (size, take), known in zip(_levels(self.least), self.keys):
-            offset = take if take < size else size
-            second = np.zeros(len(rank), dtype=np.int64)
-            second[: len(rank) - offset] = rank[offset:]
-            key = (rank << 32) | second
-            at = np.searchsorted(known, key)
-            at[at == len(known)] = 0
-            alive = alive & (second > 0) & (known[at] == key)
-            rank = np.where(alive, at + 1, 0)
-        suffix = np.flatnonzero(alive)
-        return suffix, rank[suffix] - 1
-
-    def occurrences(self, group: int) -> np.ndarray:
-        return self.order[self.starts[group] : self.starts[group + 1]]
-
-
-def _search_shard(keys, pieces, ids: WordIds, items, least: int):
-    """Rows (doc, item, words matched, word position in doc, in item): the longest match of each pair."""
-    lengths = np.array([len(p) for p in pieces], dtype=np.int64)
-    begins = np.concatenate(([0], np.cumsum(lengths + 1)))[:-1]
-    text = np.zeros(int(lengths.sum()) + len(pieces), dtype=np.int64)
-    for begin, piece in zip(begins, pieces):
-        text[begin : begin + len(piece)] = piece
-    if len(text) < least:
-        return
-    suffixes = SuffixArray(text, least)
-    for item_id, words in items:
-        query = np.fromiter((ids.get(w, -1) for w in words), dtype=np.int64, count=len(words))
-        best: dict[int, tuple[int, int, int]] = {}
-        for at, group in zip(*suffixes.find(query)):
-            for place in suffixes.occurrences(group):
-                length = min(len(query) - at, len(text) - place)
-                differ = np.flatnonzero(query[at : at + length] != text[place : place + length])
-                length = int(differ[0]) if len(differ) else int(length)
-                doc = int(np.searchsorted(begins, place, side="right")) - 1
-                if length > best.get(doc, (0,))[0]:
-                    best[doc] = (length, int(place - begins[doc]), int(at))
-        for doc, (length, place, at) in best.items():
-            yield keys[doc], item_id, length, place, at
-
-
-def _searcher(items: list[tuple[int, list[str]]], least: int, shard_words: int, schema: pa.Schema):
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, pieces, ids, size = [], [], WordIds(), 0
-
-        def flush():
-            rows = list(_search_shard(keys, pieces, ids, items, least))
-            columns = list(zip(*rows)) if rows else [[] for _ in schema]
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+        key[: n - size] |= rank[size:]
+        order = np.argsort(key, kind="stable")
+        ordered = key[order]
+        first = np.ones(n, dtype=bool)
+        first[1:] = ordered[1:] != ordered[:-1]
+        rank = np.empty(n, dtype=np.int64)
+        rank[order] = np.cumsum(first)
+        size *= 2
+    if size >= n:
+        return order
+    while True:
+        # ranks become places, so that a group's members can be told apart without touching other groups
+        group = np.cumsum(first)
+        place = np.flatnonzero(first)[group - 1]
+        rank[order] = place + 1
+        tied = np.flatnonzero(np.bincount(group)[group] > 1)
+        if not len(tied):
+            return order
+        at = order[tied]
+        after = np.zeros(len(at), dtype=np.int64)
+        inside = at + size < n
+        after[inside] = rank[at[inside] + size]
+        again = np.lexsort((after, place[tied]))
+        order[tied] = at[again]
+        new = np.ones(len(tied), dtype=bool)
+        new[1:] = (place[tied][1:] != place[tied][:-1]) | (after[again][1:] != after[again][:-1])
+        if new.all():
+            return order
+        first[tied] = new
+        size *= 2
+
+
+def _bound(text: np.ndarray, order: np.ndarray, low, high, depth: int, wanted, upper: bool) -> np.ndarray:
+    """Per query the first place in [low, high) whose word at depth isn't below (or, upper, is above) the wanted one."""
+    low, high = low.copy(), high.copy()
+    while True:
+        open_ = low < high
+        if not open_.any():
+            return low
+        middle = (low + high) // 2
+        at = order[np.minimum(middle, len(order) - 1)] + depth
+        word = np.where(at < len(text), text[np.minimum(at, len(text) - 1)], -1)
+        right = open_ & ((word <= wanted) if upper else (word < wanted))
+        low = np.where(right, middle + 1, low)
+        high = np.where(open_ & ~right, middle, high)
+
+
+def find(text: np.ndarray, order: np.ndarray, query: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place in text, place in query, words) of all verbatim matches of `least` words that can't begin a word earlier.
+
+    0 in text and in query divides documents and items and matches nothing; -1 is a word text hasn't.
+    """
+    none = np.zeros(0, dtype=np.int64)
+    starts = np.arange(max(0, len(query) - least + 1))
+    low, high = np.zeros(len(starts), dtype=np.int64), np.full(len(starts), len(order), dtype=np.int64)
+    for depth in range(least):
+        wanted = query[starts + depth]
+        known = wanted > 0
+        starts, low, high, wanted = starts[known], low[known], high[known], wanted[known]
+        if not len(starts):
+            return none, none, none
+        low, high = (_bound(text, order, low, high, depth, wanted, upper) for upper in (False, True))
+        alive = low < high
+        starts, low, high = starts[alive], low[alive], high[alive]
+    counts = high - low
+    q = np.repeat(starts, counts)
+    t = order[np.repeat(low - np.concatenate(([0], np.cumsum(counts)))[:-1], counts) + np.arange(counts.sum())].astype(np.int64)
+    earlier = (q > 0) & (t > 0) & (query[np.maximum(q - 1, 0)] == text[np.maximum(t - 1, 0)]) & (query[np.maximum(q - 1, 0)] > 0)
+    q, t = q[~earlier], t[~earlier]
+    length, growing = np.full(len(q), least, dtype=np.int64), np.arange(len(q))
+    while len(growing):
+        a, b = q[growing] + length[growing], t[growing] + length[growing]
+        inside = (a < len(query)) & (b < len(text))
+        growing, a, b = growing[inside], a[inside], b[inside]
+        same = (query[a] == text[b]) & (query[a] > 0)
+        growing = growing[same]
+        length[growing] += 1
+    return t, q, length
+
+
+_SHARD = [("begins", pa.binary()), ("text", pa.binary()), ("order", pa.binary()), ("words", pa.list_(pa.string()))]
+
+
+def _builder(least: int, shard_words: int):
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, pieces, ids, size, kind = [], [], WordIds(), 0, None
+
+        def shard() -> pa.RecordBatch:
+            lengths = np.array([len(p) + 1 for p in pieces], dtype=np.int64)
+            begins = np.concatenate(([0], np.cumsum(lengths)))
+            text = np.zeros(int(begins[-1]), dtype=np.int32)
+            for begin, piece in zip(begins, pieces):
+                text[begin : begin + len(piece)] = piece
+            order = suffix_array(text).astype(np.int32)
+            values = [begins[:-1].astype(np.int32).tobytes(), text.tobytes(), order.tobytes(), list(ids)]
+            return pa.RecordBatch.from_arrays(
+                [pa.array([keys], pa.list_(kind)), *(pa.array([v], t) for v, (_, t) in zip(values, _SHARD))], names=["keys", *(n for n, _ in _SHARD)]
+            )
 
         for batch in batches:
+            kind = batch.schema.field(0).type
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = split_words(text) if text else []
                 if len(words) < least:
                     continue
+                if pieces and size + len(words) > shard_words:
+                    yield shard()
+                    keys, pieces, ids, size = [], [], WordIds(), 0
                 keys.append(key)
                 pieces.append(np.fromiter(map(ids.__getitem__, words), dtype=np.int32, count=len(words)))
                 size += len(words)
-                if size >= shard_words:
-                    yield flush()
-                    keys, pieces, ids, size = [], [], WordIds(), 0
-        if keys:
-            yield flush()
+        if pieces:
+            yield shard()
+
+    return build
+
+
+def _searcher(block, least: int, item_kind: pa.DataType):
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = block.value
+        begins_of = np.concatenate(([0], np.cumsum([len(w) + 1 for _, w in items])))
+        for batch in batches:
+            kind = batch.schema.field(0).type.value_type
+            for keys, begins, text, order, words in zip(*(c.to_pylist() for c in batch.columns)):
+                ids = {w: n for n, w in enumerate(words, 1)}
+                begins, text, order = (np.frombuffer(x, dtype=np.int32) for x in (begins, text, order))
+                query = np.zeros(int(begins_of[-1]), dtype=np.int64)
+                for begin, (_, of) in zip(begins_of, items):
+                    query[begin : begin + len(of)] = [ids.get(w, -1) for w in of]
+                t, q, length = find(text, order, query, least)
+                doc, item = np.searchsorted(begins, t, side="right") - 1, np.searchsorted(begins_of, q, side="right") - 1
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([keys[d] for d in doc], kind), pa.array([items[i][0] for i in item], item_kind), pa.array(length, pa.int32()),
+                        pa.array(t - begins[doc], pa.int32()), pa.array(q - begins_of[item], pa.int32()),
+                    ],
+                    names=["doc", "item", "words", "doc_word", "item_word"],
+                )
 
     return search
 
@@ -149,6 +201,26 @@ def item_blocks(items: DataFrame, item_key: str, item_text: str, most_words: int
         yield block
 
 
+class SuffixShards:
+    """The suffix arrays of a corpus, written once; matches() searches them for test items."""
+
+    def __init__(self, documents: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST_WORDS, shard_words: int = SHARD_WORDS):
+        self.key, self.least, self.kind = key, least, documents.schema[key].dataType.simpleString()
+        rows = documents.select(F.col(key).alias("id"), F.col(text).alias("text"))
+        ddl = f"keys array<{self.kind}>, begins binary, text binary, order binary, words array<string>"
+        self.shards = stored(rows.mapInArrow(_builder(least, shard_words), ddl), "suffixes")
+
+    def matches(self, items: DataFrame, item_key: str = "item_id", item_text: str = "text", most_item_words: int = MOST_ITEM_WORDS) -> DataFrame:
+        """(key, item_key, words, doc_word, item_word) of all verbatim matches."""
+        spark, kind = items.sparkSession, items.schema[item_key].dataType.simpleString()
+        ddl = f"doc {self.kind}, item {kind}, words int, doc_word int, item_word int"
+        arrow = {"int": pa.int32(), "string": pa.string()}.get(kind, pa.int64())
+        found = spark.createDataFrame([], ddl)
+        for block in item_blocks(items, item_key, item_text, most_item_words):
+            found = found.unionByName(self.shards.mapInArrow(_searcher(spark.sparkContext.broadcast(block), self.least, arrow), ddl))
+        return found.distinct().withColumnsRenamed({"doc": self.key, "item": item_key})
+
+
 def matches(
     documents: DataFrame,
     items: DataFrame,
@@ -160,37 +232,11 @@ def matches(
     shard_words: int = SHARD_WORDS,
     most_item_words: int = MOST_ITEM_WORDS,
 ) -> DataFrame:
-    """(key, item_key, words, doc_word, item_word): the longest verbatim match of each leaking pair."""
-    spark = documents.sparkSession
-    kinds = documents.schema[key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
-    ddl = f"{key} {kinds[0]}, {item_key} {kinds[1]}, words int, doc_word int, item_word int"
-    arrow = pa.schema(
-        [
-            (key, pa.string() if kinds[0] == "string" else pa.int32() if kinds[0] == "int" else pa.int64()),
-            (item_key, pa.string() if kinds[1] == "string" else pa.int32() if kinds[1] == "int" else pa.int64()),
-            ("words", pa.int32()),
-            ("doc_word", pa.int32()),
-            ("item_word", pa.int32()),
-        ]
-    )
-    found = None
-    corpus = documents.select(F.col(key), F.col(text).alias("__text"))
-    for block in item_blocks(items, item_key, item_text, most_item_words):
-        part = corpus.mapInArrow(_searcher(block, least, shard_words, arrow), ddl)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return spark.createDataFrame([], ddl)
-    return (
-        found.groupBy(key, item_key)
-        .agg(F.max(F.struct("words", (-F.col("doc_word")).alias("d"), (-F.col("item_word")).alias("i"))).alias("m"))
-        .select(
-            key,
-            item_key,
-            F.col("m.words").alias("words"),
-            (-F.col("m.d")).alias("doc_word"),
-            (-F.col("m.i")).alias("item_word"),
-        )
-    )
+    """(key, item_key, words, doc_word, item_word): the longest verbatim match of each leaking pair, of equal ones the first."""
+    found = SuffixShards(documents, key, text, least, shard_words).matches(items, item_key, item_text, most_item_words)
+    order = F.struct("words", (-F.col("doc_word")).alias("d"), (-F.col("item_word")).alias("i"))
+    longest = found.groupBy(key, item_key).agg(F.max(order).alias("m"))
+    return longest.select(key, item_key, F.col("m.words").alias("words"), (-F.col("m.d")).alias("doc_word"), (-F.col("m.i")).alias("item_word"))
 
 
 def without_leaks(documents: DataFrame, found: DataFrame, key: str = "doc_id") -> DataFrame:

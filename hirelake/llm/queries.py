@@ -127,6 +127,11 @@ def p9_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.matches(documents, table(spark, sf_dir, "eval_items"))
 
 
+def p9_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return leakage.SuffixShards(documents).matches(table(spark, sf_dir, "eval_items"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_matches(spark, sf_dir).select("doc_id", "item_id")
 
@@ -167,6 +172,7 @@ QUERIES: dict[str, Query] = {
     "p8_packing": p8_packing,
     "p9_found": p9_found,
     "p9_matches": p9_matches,
+    "p9_locations": p9_locations,
     "p9_kept": p9_kept,
     "p10_found": p10_found,
     "p10_ledger": p10_ledger,

@@ -552,3 +552,31 @@ def test_languages_without_labels_or_letters(spark):
     got = langid.segments(texts, known, "id", "text", "label").collect()
     assert {(r["id"], r["segment_no"], r["language"]) for r in got} == {(1, 0, "german"), (1, 1, "german")}
     assert all(r["confidence"] > 0.99 for r in got)
+
+
+@pytest.mark.parametrize("size, letters", [(0, 1), (1, 1), (5, 1), (200, 1), (300, 2), (400, 3), (500, 40)])
+def test_suffix_arrays_are_in_complete_order(size, letters):
+    rng = np.random.default_rng(size)
+    text = rng.integers(1, letters + 1, size=size).astype(np.int32)
+    text = np.concatenate((text, [0], text, [0])).astype(np.int32)
+    order = leakage.suffix_array(text)
+    suffixes = [tuple(text[n:]) for n in order]
+    assert sorted(order) == list(range(len(text))) and suffixes == sorted(suffixes)
+
+
+def test_all_locations_equal_brute_force():
+    rng = np.random.default_rng(3)
+    text = np.concatenate([x for _ in range(6) for x in (rng.integers(1, 4, size=60), [0])])
+    query = np.concatenate((text[5:40], [0], rng.integers(1, 4, size=30), [-1], text[70:100]))
+    t, q, length = leakage.find(text, leakage.suffix_array(text), query, 6)
+    want = set()
+    for i in range(len(text)):
+        for j in range(len(query)):
+            if i and j and text[i - 1] == query[j - 1] > 0:
+                continue
+            n = 0
+            while i + n < len(text) and j + n < len(query) and text[i + n] == query[j + n] > 0:
+                n += 1
+            if n >= 6:
+                want.add((i, j, n))
+    assert set(zip(t.tolist(), q.tolist(), length.tolist())) == want and len(t) == len(want) > 3
