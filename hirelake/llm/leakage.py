@@ -41,7 +41,7 @@ FIRST_WORDS = 16
 def suffix_array(text: np.ndarray) -> np.ndarray:
     """The positions of text in the order of what follows them."""
     n = len(text)
-    rank, size = text.astype(np.int64), 1
+    rank, size = text.astype(np.int64) + 1, 1  # 0 is beyond the end
     order = np.argsort(rank, kind="stable")
     while size < FIRST_WORDS and size < n:
         key = rank << 32
