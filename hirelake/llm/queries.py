@@ -91,6 +91,10 @@ def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _near_duplicates(spark, sf_dir).groups()
 
 
+def p5_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _near_duplicates(spark, sf_dir).groups().select("detail_id", "group_id")
+
+
 def p7_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["title", "company", "location_raw", "source_job_url"]
     postings = table(spark, sf_dir, "parsed_detail").select("detail_id", "url", "apply_url", *columns)
@@ -165,6 +169,7 @@ QUERIES: dict[str, Query] = {
     "p4_forms": p4_forms,
     "p5_found": p5_found,
     "p5_groups": p5_groups,
+    "p5_members": p5_members,
     "p6_found": p6_found,
     "p6_mapping": p6_mapping,
     "p7_found": p7_found,

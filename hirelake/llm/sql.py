@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from hirelake.llm.canonical import FUZZY_LENGTH, SYNONYMS
-from hirelake.llm.charform import LOOK_ALIKES
 
 _WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
 
@@ -31,7 +32,12 @@ _ODD_CHARACTERS = (
     r"[\x{FF01}-\x{FF5E}\x{FB00}-\x{FB06}\x{1D400}-\x{1D7FF}\x{AD}\x{200B}-\x{200F}\x{2060}-\x{2064}\x{FEFF}"
     r"\x{A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}\t]|\p{L}\p{Mn}"
 )
-_ALIKE = "[" + "".join(LOOK_ALIKES) + "]"
+# Letters of other scripts and phonetic ones, and the Latin letters below them that they look like.
+_ALIKE_LETTERS = (
+    "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαικνορυχγϲϳАВЕЅІЈКМНОРСТУХҮԚԜавеѕіјкмнорстухүһԁԛԝӏӀѵѴɡɑɩɪʋᴀᴄᴏᴜᴠᴡᴢօսհոցՏՕՍ",
+    "ABEZHIKMNOPTYXaikvopuxycjABESIJKMHOPCTYXYQWabesijkmhopctyxyhdqwlIvVgaiIvacouvwzouhngSOU",
+)
+_ALIKE = f"[{_ALIKE_LETTERS[0]}]"
 _ODD_WORDS = rf"\p{{Latin}}\p{{L}}*{_ALIKE}|{_ALIKE}\p{{L}}*\p{{Latin}}"
 
 _ODD_FIELDS = f"""
@@ -42,6 +48,46 @@ WHERE regexp_matches(v, '{_ODD_CHARACTERS}') OR regexp_matches(v, '{_ODD_WORDS}'
 """
 
 
+def _simple_variants() -> tuple[str, str]:
+    """Width and style variants of single letters and digits, and what they become."""
+    found = [(chr(c), unicodedata.normalize("NFKC", chr(c))) for low, high in ((0xFF01, 0xFF5E), (0x1D400, 0x1D7FF)) for c in range(low, high + 1)]
+    pairs = [(a, b) for a, b in found if len(b) == 1 and a != b]
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+_VARIANTS = _simple_variants()
+_JOINED = (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "st"), ("ﬆ", "st"))
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _formed(v: str) -> str:
+    """A text in the form of problem 4, up to the look-alikes in its words."""
+    out = f"translate({v}, {_quoted(_VARIANTS[0])}, {_quoted(_VARIANTS[1])})"
+    for joined, plain in _JOINED:
+        out = f"replace({out}, '{joined}', '{plain}')"
+    return f"nfc_normalize(regexp_replace({out}, '[\\x{{AD}}\\x{{34F}}\\x{{61C}}\\x{{180E}}\\x{{200B}}-\\x{{200F}}\\x{{202A}}-\\x{{202E}}\\x{{2060}}-\\x{{206F}}\\x{{FE00}}-\\x{{FE0F}}\\x{{FEFF}}]', '', 'g'))"
+
+
+_LATIN_WORD = rf"lambda x: lower(CASE WHEN regexp_matches(x, '\p{{Latin}}') THEN translate(x, {_quoted(_ALIKE_LETTERS[0])}, {_quoted(_ALIKE_LETTERS[1])}) ELSE x END)"
+_NEAR_PAIRS = rf"""
+t AS (SELECT detail_id, list_transform(regexp_extract_all({_formed("concat(coalesce(title, ''), chr(10), coalesce(company, ''), chr(10), coalesce(description_raw, ''))")}, '[\p{{L}}\p{{N}}]+'), {_LATIN_WORD}) AS w
+      FROM parsed_detail WHERE len(regexp_extract_all(description_raw, '[^\s\x1c-\x1f\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+')) >= 40),
+g AS (SELECT DISTINCT detail_id, array_to_string(w[i:i+2], ' ') AS s FROM (SELECT detail_id, w, unnest(range(1, len(w) - 1)) AS i FROM t)),
+n AS (SELECT detail_id, count(*) AS n FROM g GROUP BY detail_id),
+p AS (SELECT a.detail_id AS detail_id_a, b.detail_id AS detail_id_b, count(*) AS n FROM g a JOIN g b ON a.s = b.s AND a.detail_id < b.detail_id GROUP BY 1, 2),
+near AS (SELECT detail_id_a, detail_id_b FROM p JOIN n x ON detail_id_a = x.detail_id JOIN n y ON detail_id_b = y.detail_id WHERE p.n >= 0.5 * (x.n + y.n - p.n))
+"""
+_GROUPED = f"""
+WITH RECURSIVE {_NEAR_PAIRS},
+sides AS (SELECT * FROM near UNION ALL SELECT detail_id_b, detail_id_a FROM near),
+reach(detail_id, r) AS (SELECT detail_id, detail_id FROM n UNION SELECT b.detail_id_b, reach.r FROM reach JOIN sides b ON b.detail_id_a = reach.detail_id)
+SELECT detail_id, min(r) AS group_id FROM reach GROUP BY detail_id
+"""
+
+
 def _values(rows) -> str:
     return ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in row) + ")" for row in rows)
 
@@ -98,6 +144,8 @@ SELECT DISTINCT detail_id, e.field_name, coalesce(f.ref_id, -1) AS ref_id FROM e
 def oracle_sql() -> dict[str, str]:
     return {
         "p4_found": _ODD_FIELDS,
+        "p5_found": f"WITH {_NEAR_PAIRS} SELECT * FROM near",
+        "p5_members": _GROUPED,
         "p6_found": _CANONICAL,
         "p9_found": _EXACT_MATCHES,
         "p9_kept": f"SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM ({_EXACT_MATCHES}))",
