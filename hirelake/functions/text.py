@@ -160,17 +160,20 @@ def trim_noise(value: Column) -> Column:
     return blank_to_null(F.aggregate(F.array(*map(F.lit, NOISE_MARKERS)), strip(value), step))
 
 
-def inferred_types(value: Column, most_lines: int = 45) -> tuple[Column, Column]:
-    """(workplace, employment) that the first lines mention."""
-    chunk = F.lower(F.array_join(F.slice(clean_lines(value), 1, most_lines), " "))
-    has = lambda *words: F.greatest(*(chunk.contains(w) for w in words)) if len(words) > 1 else chunk.contains(words[0])
-    workplace = F.when(has("remote"), "remote").when(has("hybrid"), "hybrid").when(has("on-site", "onsite", "vor ort"), "on-site")
-    employment = (
-        F.when(has("part-time", "teilzeit"), "part-time")
-        .when(has("full-time", "vollzeit"), "full-time")
-        .when(has("internship", "praktikum"), "internship")
-    )
-    return workplace, employment
+def inferred_types(value: Column, most_lines: int = 45) -> Column:
+    """struct(workplace, employment) that the first lines mention; the lines are taken once for both."""
+
+    def mentioned(chunk: Column) -> Column:
+        has = lambda *words: F.greatest(*(chunk.contains(w) for w in words)) if len(words) > 1 else chunk.contains(words[0])
+        workplace = F.when(has("remote"), "remote").when(has("hybrid"), "hybrid").when(has("on-site", "onsite", "vor ort"), "on-site")
+        employment = (
+            F.when(has("part-time", "teilzeit"), "part-time")
+            .when(has("full-time", "vollzeit"), "full-time")
+            .when(has("internship", "praktikum"), "internship")
+        )
+        return F.struct(workplace.alias("workplace"), employment.alias("employment"))
+
+    return _with(F.lower(F.array_join(F.slice(clean_lines(value), 1, most_lines), " ")), mentioned)
 
 
 def joined(values: Column) -> Column:

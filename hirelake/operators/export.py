@@ -11,7 +11,9 @@ from hirelake.functions import text as t
 from hirelake.operators.ordering import stable_ranking
 from hirelake.sinks.files import column_widths, write_workbook
 
-COLUMNS = ["Status", "Score", "Role Type", "Title", "Company", "Location", "Role Source", "Apply Link", "Notes"]
+COLUMNS = [
+    "Status", "Score", "Category", "Role Type", "Title", "Company", "Location", "Role Source", "Apply Link", "Reason", "Tags", "Notes",
+]
 MOST_ROWS = 1_000_000  # what a sheet holds
 
 #: workbook -> kinds of roles in it; None: all.
@@ -29,17 +31,23 @@ def export_rows(df: DataFrame, order: str, score: Column) -> DataFrame:
     """Display columns, with the order and score they are ranked by."""
     filled = lambda c: F.coalesce(t.strip(F.col(c)), F.lit(""))
     link = t.first_filled(F.col("apply_url"), F.col("source_job_url"), F.col("url"))
-    kind = t.role_kind(F.concat_ws(" ", "title", "employment_type_raw", "description_raw"), F.col("employment_type_raw"))
+    scored = [c for c in ("llm_reason",) if c in df.columns]
+    kind = t.role_kind(F.concat_ws(" ", "title", "employment_type_raw", *scored, "description_raw"), F.col("employment_type_raw"))
+    of = lambda c: filled(c) if c in df.columns else F.lit("")
+    tags = t.joined(F.col("llm_fit_tags")) if "llm_fit_tags" in df.columns else F.lit("")
     return df.select(
         F.col(order),
         F.lit("todo").alias("Status"),
         score.alias("Score"),
+        of("llm_category").alias("Category"),
         kind.alias("Role Type"),
         filled("title").alias("Title"),
         filled("company").alias("Company"),
         filled("location_raw").alias("Location"),
         t.joined(F.col("sources")).alias("Role Source"),
         F.coalesce(link, F.lit("")).alias("Apply Link"),
+        of("llm_reason").alias("Reason"),
+        F.coalesce(tags, F.lit("")).alias("Tags"),
         F.lit("").alias("Notes"),
     )
 

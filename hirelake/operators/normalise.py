@@ -38,20 +38,26 @@ def normalised(parsed: DataFrame, header_source: str | None = None) -> DataFrame
         title = F.when(own, t.first_filled(title, found[1])).otherwise(title)
         location = F.when(own, t.first_filled(location, found[2])).otherwise(location)
         body = F.when(own, t.trim_description(body)).otherwise(body)
-    workplace, employment = t.inferred_types(body)
+    has = lambda name: name in parsed.columns
+    location = t.first_filled(location, c("location")) if has("location") else location
+    queries = c("search_queries")
+    if has("searchQuery"):
+        queries = F.concat(F.coalesce(queries, F.array().cast("array<string>")), F.array_compact(F.array("searchQuery")))
     sources = F.when(F.size("sources") > 0, c("sources")).when(c("source") != "", F.array("source")).otherwise(F.array().cast("array<string>"))
+    # the description is trimmed and read for types once per record
+    parsed = parsed.withColumn("__body", body).withColumn("__types", t.inferred_types(c("__body")))
     return parsed.select(
         *(x for x in ("detail_id",) if x in parsed.columns),
         t.first_filled(c("url"), c("source_job_url")).alias("url"),
         c("source_job_url"),
         sources.alias("sources"),
-        keywords(c("search_queries"), c("search_urls")).alias("search_keywords"),
+        keywords(queries, c("search_urls")).alias("search_keywords"),
         title.alias("title"),
         company.alias("company"),
         location.alias("location_raw"),
-        t.trim_description(body).alias("description_raw"),
-        t.first_filled(c("workplace_type_raw"), workplace).alias("workplace_type_raw"),
-        t.first_filled(c("employment_type_raw"), employment).alias("employment_type_raw"),
+        t.trim_description(c("__body")).alias("description_raw"),
+        t.first_filled(c("workplace_type_raw"), c("__types.workplace")).alias("workplace_type_raw"),
+        t.first_filled(c("employment_type_raw"), c("__types.employment")).alias("employment_type_raw"),
         c("apply_url"),
     )
 

@@ -13,9 +13,11 @@ from hirelake.functions import urls as u
 from hirelake.operators import excerpt, export, normalise, ordering, queue, scoring
 from hirelake.plans import sql
 from hirelake.runtime import new_folder, ship, spread, table
-from hirelake.sinks.files import column_widths
+from hirelake.sinks.files import column_widths, write_jsonl, write_run
 from hirelake.sources import html
+from hirelake.sources.files import read_jsonl, read_queue
 from hirelake.streaming.pool import Pool, page_statistics
+from hirelake.streaming.runs import Runs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -241,8 +243,8 @@ def trimmed_descriptions(spark, d):
 
 @query
 def inferred_types(spark, d):
-    workplace, employment = t.inferred_types(F.col("description_raw"))
-    return _texts(spark, d, "parsed_detail", "detail_id", "description_raw").select("detail_id", workplace.alias("workplace"), employment.alias("employment"))
+    rows = _texts(spark, d, "parsed_detail", "detail_id", "description_raw")
+    return rows.select("detail_id", t.inferred_types(F.col("description_raw")).alias("types")).select("detail_id", "types.*")
 
 
 @query
@@ -488,6 +490,50 @@ def export_rows(spark, d):
     return rows.select("detail_id", F.col("Score").alias("score"), F.col("Role Type").alias("role_type"), F.col("Title").alias("title"), F.col("Apply Link").alias("link"))
 
 
+def _json_rows(spark, d) -> DataFrame:
+    return table(spark, d, "parsed_detail").select("detail_id", "title", "company", "sources", "parse_success")
+
+
+@query
+def jsonl_round_trip(spark, d):
+    """Postings written as lines in order and read back, with a line that is no JSON beside them."""
+    rows, path = _json_rows(spark, d), new_folder(spark, "lines")
+    write_jsonl(rows, path, [F.col("detail_id")])
+    spark.range(1).select(F.lit("{broken").alias("value")).write.mode("append").text(path)
+    return read_jsonl(spark, path, rows.schema).select("detail_id", "title", "company", F.array_join("sources", ",").alias("sources"), "parse_success")
+
+
+@query
+def run_export_round_trip(spark, d):
+    """Sightings exported by run and counted from the export."""
+    path = new_folder(spark, "runs")
+    write_run(table(spark, d, "collected").select("run_id", "seq", "url", "title"), path)
+    found = spark.read.schema("seq bigint, url string, title string, run_id bigint").json(path)
+    return found.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("url").alias("urls"), F.count("title").alias("titled"))
+
+
+@query
+def queue_file_round_trip(spark, d):
+    """The queue written as lines under its import names, and imported."""
+    path = new_folder(spark, "queue")
+    rows = table(spark, d, "queue_generated").select("source", "search_query", "search_location", F.col("page_number").alias("result_page_number"), "url")
+    write_jsonl(rows, path)
+    found = read_queue(spark, path)
+    return found.groupBy("source", "query", "location", F.col("pageNumber").alias("page")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def details_upserted(spark, d):
+    """Postings that arrive in micro-batches, one per address as seen (or clean address)."""
+    runs = Runs(spark, new_folder(spark, "runs"), run_id=1)
+    rows = table(spark, d, "parsed_detail").select("detail_id", "url", "source_job_url", "title")
+    path = new_folder(spark, "arriving")
+    rows.repartition(3).write.parquet(path)
+    runs.details.feed(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path), f"{runs.folder}/checkpoint").awaitTermination()
+    found = runs.details.current().select(t.first_filled(F.col("source_job_url"), F.col("url")).alias("address"))
+    return found.groupBy("address").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def export_widths(spark, d):
     rows = table(spark, d, "parsed_detail")

@@ -219,6 +219,11 @@ ORACLES = {
         SELECT workbook, (SELECT count(*) FROM k WHERE kinds IS NULL OR list_contains(kinds, kind)) AS n FROM b""",
     "export_rows": f"""SELECT detail_id, detail_id % 11 AS score, {_ROLE} AS role_type, title, link FROM (SELECT detail_id, coalesce({strip('title')}, '') AS title, coalesce(nullif(apply_url, ''), nullif(source_job_url, ''), nullif(url, ''), '') AS link,
         lower(concat_ws(' ', title, employment_type_raw, description_raw)) AS x, lower(coalesce(employment_type_raw, '')) AS e FROM parsed_detail)""",
+    "jsonl_round_trip": "SELECT detail_id, title, company, array_to_string(sources, ',') AS sources, parse_success FROM parsed_detail",
+    "run_export_round_trip": "SELECT run_id, count(*) AS n, count(DISTINCT url) AS urls, count(title) AS titled FROM collected GROUP BY run_id",
+    "queue_file_round_trip": """SELECT source, search_query AS query, search_location AS location, coalesce(nullif(page_number, 0), 1) AS page, count(*) AS n FROM queue_generated
+        WHERE url <> '' AND source <> '' GROUP BY ALL""",
+    "details_upserted": "SELECT DISTINCT coalesce(nullif(source_job_url, ''), nullif(url, '')) AS address, 1 AS n FROM parsed_detail WHERE coalesce(nullif(source_job_url, ''), nullif(url, '')) IS NOT NULL",
     "export_widths": "SELECT c AS \"column\", greatest(10, least(42, greatest(coalesce(n, 0), length(c)) + 2)) AS width FROM (SELECT unnest(['title', 'company', 'location_raw', 'apply_url']) AS c, unnest([max(length(title)), max(length(company)), max(length(location_raw)), max(length(apply_url))]) AS n FROM parsed_detail)",
     "user_activity": "SELECT user_id, count(*) AS events, count(DISTINCT event_type) AS kinds, min(ts) AS first, max(ts) AS last FROM events GROUP BY user_id",
     "stream_totals": "SELECT 4 AS batches, count(*) AS found, count(DISTINCT url) AS added FROM collected",

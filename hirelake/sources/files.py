@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import glob
 import os
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,8 +58,8 @@ def read_queue(spark: SparkSession, path: str) -> DataFrame:
         "source string, query string, search_query string, location string, search_location string, "
         "pageNumber bigint, result_page_number bigint, url string"
     )
-    head = Path(path).read_text(encoding="utf-8").lstrip()[:1] if os.path.exists(path) else ""
-    if head == "[":
+    first = spark.read.text(path).where(F.trim("value") != "").select(F.left(F.ltrim("value"), F.lit(1))).head(1)
+    if first and first[0][0] == "[":
         rows = read_json_document(spark, path, fields).drop("seq")
     else:
         lines = spark.read.text(path).where(F.trim("value") != "")
@@ -70,7 +69,7 @@ def read_queue(spark: SparkSession, path: str) -> DataFrame:
         "source",
         filled("query", "search_query").alias("query"),
         filled("location", "search_location").alias("location"),
-        F.coalesce("pageNumber", "result_page_number", F.lit(1)).alias("pageNumber"),
+        F.coalesce(F.nullif("pageNumber", F.lit(0)), F.nullif("result_page_number", F.lit(0)), F.lit(1)).alias("pageNumber"),
         "url",
     )
 

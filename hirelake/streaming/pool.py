@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -23,8 +23,10 @@ class Pool:
     Spark writes to. Of the pool, a batch reads the key column only.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, key: str, order: str):
-        self.spark, self.folder, self.key, self.order = spark, folder, key, order
+    def __init__(self, spark: SparkSession, folder: str, key: str | Column, order: str):
+        """key: a column's name, or an expression, which the pool then keeps as pool_key."""
+        self.spark, self.folder, self.order = spark, folder, order
+        self.key, self.expression = (key, None) if isinstance(key, str) else ("pool_key", key)
         self.rows, self.stats = f"{folder}/rows", f"{folder}/stats"
 
     def current(self, below: int | None = None) -> DataFrame | None:
@@ -34,6 +36,8 @@ class Pool:
         return found.where(F.col("batch") < below) if below is not None else found
 
     def _add(self, batch: DataFrame, number: int) -> None:
+        if self.expression is not None:
+            batch = batch.withColumn(self.key, self.expression)
         first = first_seen_batch(batch, self.key, self.order).persist()
         known = self.current(below=number)
         fresh = first if known is None else first.join(known.select(self.key), self.key, "left_anti")

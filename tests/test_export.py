@@ -17,7 +17,7 @@ def test_splits_hold_every_row(spark, tmp_path):
     assert len(paths) == len(export.SPLITS)
     with zipfile.ZipFile(paths[0]) as book:
         sheet = book.read("xl/worksheets/sheet1.xml").decode()
-    assert sheet.index("Clerk") < sheet.index("Praktikum A") and 'ref="A1:I3"' in sheet
+    assert sheet.index("Clerk") < sheet.index("Praktikum A") and 'ref="A1:L3"' in sheet
 
 
 def test_queue_of_a_configuration(spark, tmp_path):
