@@ -38,15 +38,16 @@ def interleave(df: DataFrame, key: str, order: str) -> DataFrame:
     Sorting by (turn, lane) gives the interleaved order. A frequent key spreads over as many ranges as
     it has rows for; turns are counted per key and range, and the counts of earlier ranges added.
     """
-    placed = _placed(df.select("*", F.struct(key).alias("__key")), [F.col("__key"), F.col(order)])
-    runs = placed.groupBy("__key", "__part").agg(
+    placed = _placed(df, [F.col(key), F.col(order)])
+    runs = placed.groupBy(F.col(key).alias("__key"), F.col("__part").alias("__of")).agg(
         F.count(F.lit(1)).alias("__rows"), F.min("__at").alias("__first"), F.min(order).alias("__least")
     )
-    earlier = Window.partitionBy("__key").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("__key").orderBy("__of").rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.withColumn("__before", F.coalesce(F.sum("__rows").over(earlier), F.lit(0)))
     runs = runs.withColumn("lane", F.min("__least").over(Window.partitionBy("__key"))).drop("__rows", "__least")
-    found = placed.join(runs, ["__key", "__part"]).withColumn("turn", F.col("__at") - F.col("__first") + F.col("__before") + 1)
-    return found.drop("__key", "__part", "__at", "__first", "__before")
+    same = placed[key].eqNullSafe(runs["__key"]) & (placed["__part"] == runs["__of"])
+    found = placed.join(runs, same).withColumn("turn", F.col("__at") - F.col("__first") + F.col("__before") + 1)
+    return found.drop("__key", "__of", "__part", "__at", "__first", "__before")
 
 
 def cap_per_group(df: DataFrame, group: str, order: list[Column], most: int) -> DataFrame:
