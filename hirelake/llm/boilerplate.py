@@ -100,21 +100,41 @@ def brand_of(host: str) -> str:
     return parts[-2] if len(parts) > 1 else ""
 
 
+class _Lines(dict):
+    """(line, brand) -> (masked line, its hash, whether it may be an entry of a list, hashes of its segments).
+
+    Template lines come again and again, so a task remembers what it has read, up to `most` lines.
+    """
+
+    def __init__(self, words: frozenset[str], most: int = 100_000):
+        super().__init__()
+        self.words, self.most = words, most
+
+    def __missing__(self, of: tuple[str, str]):
+        if len(self) >= self.most:
+            self.clear()
+        line, brand = of
+        parts = line.split()
+        key = masked(line, brand) if parts else ""
+        segments = ()
+        # a divider is a word of its own without a letter, or more than one blank
+        if len(line) > len(" ".join(parts)) or not all(p[0].isalnum() for p in parts):
+            between = _SEGMENTS.split(line.strip())
+            if len(between) > 1:
+                segments = tuple(hashed(k) for k in (masked(p, brand) for p in between) if k)
+        self[of] = found = key, hashed(key) if key else 0, _looks_listed(key, self.words), segments
+        return found
+
+
 class _Page:
-    """The lines of one page with their hashes; None for empty lines."""
+    """The lines of one page with their hashes; 0 for empty lines."""
 
-    __slots__ = ("lines", "keys", "segments")
+    __slots__ = ("lines", "keys", "listed", "segments")
 
-    def __init__(self, text: str, brand: str):
-        self.lines, self.keys, self.segments = [], [], {}
-        for n, line in enumerate(form(text).split("\n")):
-            key = masked(line, brand) if line.strip() else ""
-            self.lines.append(key)
-            self.keys.append(hashed(key) if key else 0)
-            parts = _SEGMENTS.split(line.strip())
-            if len(parts) > 1:
-                found = [masked(p, brand) for p in parts]
-                self.segments[n] = [hashed(p) for p in found if p]
+    def __init__(self, text: str, brand: str, known: _Lines):
+        found = [known[line, brand] for line in form(text).split("\n")]
+        self.lines, self.keys, self.listed, segments = map(list, zip(*found))
+        self.segments = {n: s for n, s in enumerate(segments) if s}
 
 
 def _rows(batch: pa.RecordBatch):
@@ -139,12 +159,12 @@ def _parser(words, keep_text: bool):
     """Pages as numbers: an element hash and flags per line, and the menu segments with their lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = words.value
+        known = _Lines(words.value)
         for batch in batches:
             ids, hosts, employers, postings, keys, blocks, flags, segments, at = [], [], [], [], [], [], [], [], []
             for key, host, text, company, titles in _rows(batch):
                 name = _employer(company)
-                page = _Page(text or "", brand_of(host))
+                page = _Page(text or "", brand_of(host), known)
                 named = len(name) > 2
                 ids.append(key)
                 hosts.append(host)
@@ -154,8 +174,8 @@ def _parser(words, keep_text: bool):
                 blocks.append([block_key(page.keys[i:j]) for i, j in runs(page.keys)])
                 flags.append(
                     bytes(
-                        LISTED * _looks_listed(line, frequent) + NAMES_EMPLOYER * (named and name in line)
-                        for line in page.lines
+                        LISTED * listed + NAMES_EMPLOYER * (named and name in line)
+                        for line, listed in zip(page.lines, page.listed)
                     )
                 )
                 segments.append([k for found in page.segments.values() for k in found])
