@@ -3,14 +3,15 @@
 1. Each task lays documents end to end as word numbers, divided by a number no word has, up to
    `SHARD_WORDS` words, and sorts all positions by the words that follow them: prefix doubling over the
    whole shard up to 16 words, then over the positions that still tie. A shard is written once as a row
-   with its words, its text and its sorted positions, in the shared folder; nothing is shuffled.
+   with its words, its text and its sorted positions, in the shared folder; nothing is shuffled. Each row is
+   a file of its own, so that a task holds one shard at a time, however large its part of the corpus is.
 2. Every suffix of every test item is looked up in every shard by binary search, word by word, for all
    suffixes at once. Where `least` words occur, each occurrence is followed to its end; occurrences that a
    word before would make longer are parts of others and left out. What remains are all verbatim matches
    of `least` words and more, with their places.
 3. Documents with a match are removed.
 
-The test items travel with the tasks. Their size is checked: beyond `most_item_words` words they are
+The test items travel with the tasks, as word numbers. Their size is checked: beyond `most_item_words` words they are
 searched in several blocks, each under that bound, in the shards written once.
 
 Defined results: null and empty texts and texts shorter than `least` words match nothing; items
@@ -25,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,12 +57,14 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         size *= 2
     if size >= n:
         return order
+    del key, ordered
     while True:
         # ranks become places, so that a group's members can be told apart without touching other groups
-        group = np.cumsum(first)
-        place = np.flatnonzero(first)[group - 1]
+        place = np.flatnonzero(first)[np.cumsum(first) - 1]
         rank[order] = place + 1
-        tied = np.flatnonzero(np.bincount(group)[group] > 1)
+        alone = first.copy()
+        alone[:-1] &= first[1:]
+        tied = np.flatnonzero(~alone)
         if not len(tied):
             return order
         at = order[tied]
@@ -125,6 +129,15 @@ def find(text: np.ndarray, order: np.ndarray, query: np.ndarray, least: int) ->
     return t, q, length
 
 
+def laid_out(pieces: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(where each piece begins, the pieces end to end with 0 after each)."""
+    begins = np.concatenate(([0], np.cumsum([len(p) + 1 for p in pieces], dtype=np.int64)))
+    text = np.zeros(int(begins[-1]), dtype=np.int32)
+    for begin, piece in zip(begins, pieces):
+        text[begin : begin + len(piece)] = piece
+    return begins[:-1].astype(np.int32), text
+
+
 _SHARD = [("begins", pa.binary()), ("text", pa.binary()), ("order", pa.binary()), ("words", pa.list_(pa.string()))]
 
 
@@ -133,27 +146,23 @@ def _builder(least: int, shard_words: int):
         keys, pieces, ids, size, kind = [], [], WordIds(), 0, None
 
         def shard() -> pa.RecordBatch:
-            lengths = np.array([len(p) + 1 for p in pieces], dtype=np.int64)
-            begins = np.concatenate(([0], np.cumsum(lengths)))
-            text = np.zeros(int(begins[-1]), dtype=np.int32)
-            for begin, piece in zip(begins, pieces):
-                text[begin : begin + len(piece)] = piece
+            begins, text = laid_out(pieces)
             order = suffix_array(text).astype(np.int32)
-            values = [begins[:-1].astype(np.int32).tobytes(), text.tobytes(), order.tobytes(), list(ids)]
+            values = [begins.tobytes(), text.tobytes(), order.tobytes(), list(ids)]
             return pa.RecordBatch.from_arrays(
                 [pa.array([keys], pa.list_(kind)), *(pa.array([v], t) for v, (_, t) in zip(values, _SHARD))], names=["keys", *(n for n, _ in _SHARD)]
             )
 
         for batch in batches:
             kind = batch.schema.field(0).type
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = split_words(text) if text else []
+            for key, text in zip(batch.column(0), batch.column(1)):
+                words = split_words(text.as_py() or "")
                 if len(words) < least:
                     continue
                 if pieces and size + len(words) > shard_words:
                     yield shard()
                     keys, pieces, ids, size = [], [], WordIds(), 0
-                keys.append(key)
+                keys.append(key.as_py())
                 pieces.append(np.fromiter(map(ids.__getitem__, words), dtype=np.int32, count=len(words)))
                 size += len(words)
         if pieces:
@@ -164,21 +173,17 @@ def _builder(least: int, shard_words: int):
 
 def _searcher(block, least: int, item_kind: pa.DataType):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = block.value
-        begins_of = np.concatenate(([0], np.cumsum([len(w) + 1 for _, w in items])))
+        items, begins_of, codes, item_words = block.value
         for batch in batches:
-            kind = batch.schema.field(0).type.value_type
-            for keys, begins, text, order, words in zip(*(c.to_pylist() for c in batch.columns)):
-                ids = {w: n for n, w in enumerate(words, 1)}
-                begins, text, order = (np.frombuffer(x, dtype=np.int32) for x in (begins, text, order))
-                query = np.zeros(int(begins_of[-1]), dtype=np.int64)
-                for begin, (_, of) in zip(begins_of, items):
-                    query[begin : begin + len(of)] = [ids.get(w, -1) for w in of]
+            for keys, begins, text, order, words in zip(*batch.columns):
+                begins, text, order = (np.frombuffer(x.as_buffer(), dtype=np.int32) for x in (begins, text, order))
+                known = pc.index_in(pa.array(item_words, words.type.value_type), value_set=words.values)
+                query = np.concatenate(([0], pc.add(known, 1).fill_null(-1).to_numpy()))[codes]
                 t, q, length = find(text, order, query, least)
                 doc, item = np.searchsorted(begins, t, side="right") - 1, np.searchsorted(begins_of, q, side="right") - 1
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([keys[d] for d in doc], kind), pa.array([items[i][0] for i in item], item_kind), pa.array(length, pa.int32()),
+                        keys.values.take(pa.array(doc)), pa.array([items[i] for i in item], item_kind), pa.array(length, pa.int32()),
                         pa.array(t - begins[doc], pa.int32()), pa.array(q - begins_of[item], pa.int32()),
                     ],
                     names=["doc", "item", "words", "doc_word", "item_word"],
@@ -188,17 +193,18 @@ def _searcher(block, least: int, item_kind: pa.DataType):
 
 
 def item_blocks(items: DataFrame, item_key: str, item_text: str, most_words: int):
-    """The items' words in blocks under the bound, read block by block."""
-    block, size = [], 0
+    """(items, where each begins, word numbers, words) of blocks under the bound, read block by block."""
+    keys, pieces, ids, size = [], [], WordIds(), 0
     for row in items.select(item_key, item_text).toLocalIterator():
         words = split_words(row[1] or "")
-        if block and size + len(words) > most_words:
-            yield block
-            block, size = [], 0
-        block.append((row[0], words))
+        if keys and size + len(words) > most_words:
+            yield keys, *laid_out(pieces), list(ids)
+            keys, pieces, ids, size = [], [], WordIds(), 0
+        keys.append(row[0])
+        pieces.append(np.fromiter(map(ids.__getitem__, words), dtype=np.int32, count=len(words)))
         size += len(words)
-    if block:
-        yield block
+    if keys:
+        yield keys, *laid_out(pieces), list(ids)
 
 
 class SuffixShards:
@@ -208,7 +214,7 @@ class SuffixShards:
         self.key, self.least, self.kind = key, least, documents.schema[key].dataType.simpleString()
         rows = documents.select(F.col(key).alias("id"), F.col(text).alias("text"))
         ddl = f"keys array<{self.kind}>, begins binary, text binary, order binary, words array<string>"
-        self.shards = stored(rows.mapInArrow(_builder(least, shard_words), ddl), "suffixes")
+        self.shards = stored(rows.mapInArrow(_builder(least, shard_words), ddl), "suffixes", large_rows=True)
 
     def matches(self, items: DataFrame, item_key: str = "item_id", item_text: str = "text", most_item_words: int = MOST_ITEM_WORDS) -> DataFrame:
         """(key, item_key, words, doc_word, item_word) of all verbatim matches."""

@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -128,6 +129,17 @@ def test_leakage_equals_brute_force(spark):
     assert leakage.matches(documents, passages.where("false")).count() == 0
 
 
+def test_a_task_holds_one_suffix_shard_at_a_time(spark):
+    rng = random.Random(4)
+    docs = [(n, sentence(rng, 150_000)) for n in range(4)]
+    passages = spark.createDataFrame([(n, " ".join(text.split()[-20:])) for n, text in docs], "item_id string, text string")
+    shards = leakage.SuffixShards(spark.createDataFrame(docs, "doc_id bigint, text string").coalesce(1), shard_words=200_000)
+    files = [pq.ParquetFile(path.removeprefix("file:")).metadata for path in shards.shards.inputFiles()]
+    assert [f.row_group(n).num_rows for f in files for n in range(f.num_row_groups)] == [1, 1, 1, 1]
+    got = {(r["doc_id"], r["item_id"], r["words"], r["doc_word"], r["item_word"]) for r in shards.matches(passages, most_item_words=50).collect()}
+    assert got == {(n, str(n), 20, 149_980, 0) for n in range(4)}
+
+
 # --- 8: packing
 
 
